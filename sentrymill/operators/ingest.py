@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import uuid_text
+from ..session import checkpointed
 from .joins import salted_join
 
 # Consecutive seq values ranked together; bounds a window partition.
@@ -39,8 +40,10 @@ def batch_gate(validated: DataFrame) -> DataFrame:
 
     Adds ``batch_accepted`` and ``batch_size`` to each row. The verdict is an
     aggregate per batch, brought back by a salted join, so a very large batch is
-    neither collected nor sent to one task.
+    neither collected nor sent to one task. The checked rows are written once, since
+    both the verdict and the join read them.
     """
+    validated = checkpointed(validated)
     verdict = validated.groupBy("batch_id").agg(
         F.bool_and(F.size("issues") == 0).alias("batch_accepted"), F.count("*").alias("batch_size")
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import utf16_length
@@ -15,50 +18,81 @@ DATETIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9
 
 
 def _collect(checks: list[Column]) -> Column:
-    """Keep the issues that were raised, in the order of the checks."""
-    return F.filter(F.array(*checks), lambda c: c.isNotNull())
+    """Keep the issues that were raised, in the order of the checks.
 
+    Joined and split rather than filtered with a lambda, which would leave
+    generated code.
+    """
+    raised = F.concat_ws("\n", *checks)
+    return F.when(raised == "", F.array().cast("array<string>")).otherwise(F.split(raised, "\n"))
 
-class _Body:
-    """Typed access to the fields of a JSON object held in a variant column."""
 
-    def __init__(self, variant: Column, path: str = "$"):
-        self.variant, self.path = variant, path
+class _Body:
+    """The parsed JSON body: per field its type word and typed values, as columns.
 
-    def _at(self, name: str) -> Column:
-        return F.try_variant_get(self.variant, f"{self.path}.{name}", "variant")
+    The parse sits in a one-element explode, so that a filter on the issues is not
+    pushed below it; the field reads are plain columns used by several checks each.
+    """
 
-    def kind(self, name: str) -> Column:
+    def __init__(self, texts: list[str] = (), numbers: list[str] = (), others: list[str] = ()):
+        self.texts, self.numbers, self.others = list(texts), list(numbers), list(others)
+
+    def read(self, requests: DataFrame) -> DataFrame:
+        paths = [*self.texts, *self.numbers, *self.others]
+        rows = requests.withColumn("_v", F.explode(F.array(F.try_parse_json("body")))).withColumn(
+            "_root", F.schema_of_variant("_v").startswith("OBJECT")
+        )
+        # One struct of variants per object level, outermost first.
+        level = {"": "_v"}
+        for prefix in sorted({p.rpartition(".")[0] for p in paths}, key=len):
+            names = [p.rpartition(".")[2] for p in paths if p.rpartition(".")[0] == prefix]
+            shape = ", ".join(f"`{n}`: variant" for n in names)
+            rows = rows.withColumn(
+                f"_object_{prefix}", F.try_variant_get(level[prefix], "$", f"struct<{shape}>")
+            )
+            level.update({f"{prefix}.{n}".lstrip("."): f"`_object_{prefix}`.`{n}`" for n in names})
+        fields = [F.schema_of_variant(level[p]).alias(self._name("kind", p)) for p in paths]
+        for typed, kind in ((self.texts, "string"), (self.numbers, "double")):
+            fields += [F.try_variant_get(level[p], "$", kind).alias(self._name(kind, p)) for p in typed]
+        return rows.select("*", *fields)
+
+    @staticmethod
+    def _name(kind: str, path: str) -> str:
+        return f"_{kind}_{path.replace('.', '_')}"
+
+    def is_root_object(self) -> Column:
+        return F.coalesce("_root", F.lit(False))
+
+    def kind(self, path: str) -> Column:
         """Type word of a field; null when the field is absent, VOID for JSON null."""
-        return F.schema_of_variant(self._at(name))
+        return F.col(self._name("kind", path))
 
-    def absent(self, name: str) -> Column:
-        return self._at(name).isNull()
+    def absent(self, path: str) -> Column:
+        return self.kind(path).isNull()
 
-    def text(self, name: str) -> Column:
-        return F.try_variant_get(self.variant, f"{self.path}.{name}", "string")
+    def text(self, path: str) -> Column:
+        return F.col(self._name("string", path))
 
-    def number(self, name: str) -> Column:
-        return F.try_variant_get(self.variant, f"{self.path}.{name}", "double")
+    def number(self, path: str) -> Column:
+        return F.col(self._name("double", path))
 
-    def is_number(self, name: str) -> Column:
-        k = self.kind(name)
+    def is_number(self, path: str) -> Column:
+        k = self.kind(path)
         return (k == "BIGINT") | (k == "DOUBLE") | k.startswith("DECIMAL")
 
-    def is_object(self, name: str) -> Column:
-        return self.kind(name).startswith("OBJECT")
+    def is_object(self, path: str) -> Column:
+        return F.coalesce(self.kind(path).startswith("OBJECT"), F.lit(False))
 
 
 def _issue(label: str, code: str) -> Column:
     return F.lit(f"{label}: {code}")
 
 
-def _text_check(b: _Body, name: str, required: bool, longest: int | None = MAX_TEXT, label: str | None = None) -> Column:
-    label = label or name
+def _text_check(b: _Body, name: str, required: bool, longest: int | None = MAX_TEXT) -> Column:
     n = utf16_length(b.text(name))
-    check = F.when(b.absent(name), _issue(label, "required") if required else F.lit(None))
-    check = check.when(b.kind(name) != "STRING", _issue(label, "invalid_type")).when(n < 1, _issue(label, "too_small"))
-    return check if longest is None else check.when(n > longest, _issue(label, "too_big"))
+    check = F.when(b.absent(name), _issue(name, "required") if required else F.lit(None))
+    check = check.when(b.kind(name) != "STRING", _issue(name, "invalid_type")).when(n < 1, _issue(name, "too_small"))
+    return check if longest is None else check.when(n > longest, _issue(name, "too_big"))
 
 
 def _object_check(b: _Body, name: str) -> Column:
@@ -75,12 +109,11 @@ def _int_check(b: _Body, name: str, least: int, required: bool) -> Column:
     )
 
 
-def _word_check(b: _Body, name: str, words: tuple[str, ...], required: bool, label: str | None = None) -> Column:
-    label = label or name
+def _word_check(b: _Body, name: str, words: tuple[str, ...], required: bool) -> Column:
     return (
-        F.when(b.absent(name), _issue(label, "required") if required else F.lit(None))
-        .when(b.kind(name) != "STRING", _issue(label, "invalid_type"))
-        .when(~b.text(name).isin(*words), _issue(label, "invalid_enum"))
+        F.when(b.absent(name), _issue(name, "required") if required else F.lit(None))
+        .when(b.kind(name) != "STRING", _issue(name, "invalid_type"))
+        .when(~b.text(name).isin(*words), _issue(name, "invalid_enum"))
     )
 
 
@@ -90,24 +123,23 @@ def _bool_check(b: _Body, name: str, required: bool) -> Column:
     )
 
 
-def _with_issues(requests: DataFrame, checks: list[Column], whole: Column | None = None) -> DataFrame:
+def _with_issues(requests: DataFrame, body: _Body, checks: list[Column]) -> DataFrame:
     """Evaluate ``checks`` on bodies that are JSON objects; others get one issue."""
-    is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
-    found = _collect(checks if whole is None else [*checks, whole])
-    return requests.withColumn("_v", F.try_parse_json("body")).withColumn(
-        "issues", F.when(is_object, found).otherwise(F.array(_issue("body", "invalid_type")))
+    return body.read(requests).withColumn(
+        "issues",
+        F.when(body.is_root_object(), _collect(checks)).otherwise(F.array(_issue("body", "invalid_type"))),
     )
 
 
 def validate_events(requests: DataFrame) -> DataFrame:
-    """Check JSON ``body`` texts of inbound events and unpack the valid parts.
+    """Check JSON ``body`` texts of inbound events and unpack their fields.
 
     Adds ``issues`` and the event fields as text; objects default to ``{}``.
     """
-    b = _Body(F.col("_v"))
+    b = _Body(texts=["event_id", "event_type", "source", "timestamp"], others=["payload", "metadata"])
     stamp = b.text("timestamp")
     checks = [
-        F.when(~b.absent("event_id") & (b.kind("event_id") != "STRING"), _issue("event_id", "invalid_type")).when(
+        F.when(b.kind("event_id") != "STRING", _issue("event_id", "invalid_type")).when(
             ~b.text("event_id").rlike(UUID), _issue("event_id", "invalid_uuid")
         ),
         _text_check(b, "event_type", True),
@@ -121,28 +153,39 @@ def validate_events(requests: DataFrame) -> DataFrame:
         _object_check(b, "payload"),
         _object_check(b, "metadata"),
     ]
-    checked = _with_issues(requests, checks)
-    texts = [b.text(f).alias(f) for f in ("event_id", "event_type", "source", "timestamp")]
-    objects = [F.coalesce(F.to_json(b._at(f)), F.lit("{}")).alias(f) for f in ("payload", "metadata")]
-    return checked.select(*requests.columns, *texts, *objects, "issues")
+    texts = [b.text(f).alias(f) for f in b.texts]
+    objects = [
+        F.coalesce(F.to_json(F.try_variant_get("_v", f"$.{f}", "variant")), F.lit("{}")).alias(f) for f in b.others
+    ]
+    return _with_issues(requests, b, checks).select(*requests.columns, *texts, *objects, "issues")
+
+
+RULE_FIELDS = ("name", "enabled", "severity", "window_seconds", "cooldown_seconds", "condition")
 
 
-def _condition_check(b: _Body, required: bool) -> list[Column]:
-    c = _Body(b.variant, "$.condition")
-    f = _Body(b.variant, "$.condition.filters")
+def _rule_body() -> _Body:
+    return _Body(
+        texts=[
+            "name", "severity", "condition.type", "condition.metric", "condition.operator",
+            "condition.filters.event_type", "condition.filters.source",
+        ],
+        numbers=["window_seconds", "cooldown_seconds", "condition.value"],
+        others=["enabled", "condition", "condition.filters"],
+    )
+
+
+def _condition_checks(b: _Body, required: bool) -> list[Column]:
+    value = b.number("condition.value")
     inside = [
-        _word_check(c, "type", ("threshold",), True, "condition.type"),
-        _word_check(c, "metric", ("count",), True, "condition.metric"),
-        F.when(~c.absent("filters") & ~c.is_object("filters"), _issue("condition.filters", "invalid_type")),
-        _text_check(f, "event_type", False, None, "condition.filters.event_type"),
-        _text_check(f, "source", False, None, "condition.filters.source"),
-        _word_check(c, "operator", OPERATORS, True, "condition.operator"),
-        F.when(c.absent("value"), _issue("condition.value", "required"))
-        .when(~c.is_number("value"), _issue("condition.value", "invalid_type"))
-        .when(
-            F.isnan(c.number("value")) | (F.abs(c.number("value")) == float("inf")),
-            _issue("condition.value", "not_finite"),
-        ),
+        _word_check(b, "condition.type", ("threshold",), True),
+        _word_check(b, "condition.metric", ("count",), True),
+        _object_check(b, "condition.filters"),
+        _text_check(b, "condition.filters.event_type", False, None),
+        _text_check(b, "condition.filters.source", False, None),
+        _word_check(b, "condition.operator", OPERATORS, True),
+        F.when(b.absent("condition.value"), _issue("condition.value", "required"))
+        .when(~b.is_number("condition.value"), _issue("condition.value", "invalid_type"))
+        .when(F.isnan(value) | (F.abs(value) == float("inf")), _issue("condition.value", "not_finite")),
     ]
     whole = F.when(b.absent("condition"), _issue("condition", "required") if required else F.lit(None)).when(
         ~b.is_object("condition"), _issue("condition", "invalid_type")
@@ -150,38 +193,40 @@ def _condition_check(b: _Body, required: bool) -> list[Column]:
     return [whole, *[F.when(b.is_object("condition"), check) for check in inside]]
 
 
-RULE_FIELDS = ("name", "enabled", "severity", "window_seconds", "cooldown_seconds", "condition")
-
-
-def _rule_checks(required: set[str]) -> list[Column]:
-    b = _Body(F.col("_v"))
+def _rule_checks(b: _Body, required: set[str]) -> list[Column]:
     return [
         _text_check(b, "name", "name" in required),
         _bool_check(b, "enabled", "enabled" in required),
         _word_check(b, "severity", RULE_SEVERITIES, "severity" in required),
         _int_check(b, "window_seconds", 1, "window_seconds" in required),
         _int_check(b, "cooldown_seconds", 0, "cooldown_seconds" in required),
-        *_condition_check(b, "condition" in required),
+        *_condition_checks(b, "condition" in required),
     ]
 
 
-def _rule_columns(requests: DataFrame, checked: DataFrame, defaults: bool) -> DataFrame:
-    """Unpack the fields of clean bodies; with ``defaults``, absent optional ones too."""
-    b, c = _Body(F.col("_v")), _Body(F.col("_v"), "$.condition")
-    clean = F.size("issues") == 0
+def _checked_rules(
+    requests: DataFrame, required: set[str], defaults: bool = False, at_least_one: bool = False
+) -> DataFrame:
+    """Check bodies and unpack the fields of clean ones; with ``defaults``, absent
+    optional fields get their value."""
+    b = _rule_body()
+    checks = _rule_checks(b, required)
+    if at_least_one:
+        none = reduce(and_, [b.absent(f) for f in RULE_FIELDS])
+        checks.append(F.when(none, _issue("body", "no_fields")))
     enabled = F.try_variant_get("_v", "$.enabled", "boolean")
     cooldown = b.number("cooldown_seconds").try_cast("int")
     condition = F.when(
         b.is_object("condition"),
         F.struct(
-            c.text("type").alias("type"),
-            c.text("metric").alias("metric"),
+            b.text("condition.type").alias("type"),
+            b.text("condition.metric").alias("metric"),
             F.struct(
-                F.try_variant_get("_v", "$.condition.filters.event_type", "string").alias("event_type"),
-                F.try_variant_get("_v", "$.condition.filters.source", "string").alias("source"),
+                b.text("condition.filters.event_type").alias("event_type"),
+                b.text("condition.filters.source").alias("source"),
             ).alias("filters"),
-            c.text("operator").alias("operator"),
-            c.number("value").alias("value"),
+            b.text("condition.operator").alias("operator"),
+            b.number("condition.value").alias("value"),
         ),
     )
     fields = {
@@ -192,30 +237,25 @@ def _rule_columns(requests: DataFrame, checked: DataFrame, defaults: bool) -> Da
         "cooldown_seconds": F.coalesce(cooldown, F.lit(0)) if defaults else cooldown,
         "condition": condition,
     }
-    return checked.select(
+    clean = F.size("issues") == 0
+    return _with_issues(requests, b, checks).select(
         *requests.columns, *[F.when(clean, x).alias(name) for name, x in fields.items()], "issues"
     )
 
 
 def validate_rules_create(requests: DataFrame) -> DataFrame:
     """All fields but ``enabled`` (true) and ``cooldown_seconds`` (0) are required."""
-    checked = _with_issues(requests, _rule_checks(set(RULE_FIELDS) - {"enabled", "cooldown_seconds"}))
-    return _rule_columns(requests, checked, defaults=True)
+    return _checked_rules(requests, set(RULE_FIELDS) - {"enabled", "cooldown_seconds"}, defaults=True)
 
 
 def validate_rules_replace(requests: DataFrame) -> DataFrame:
     """Every field is required; nothing is defaulted."""
-    return _rule_columns(requests, _with_issues(requests, _rule_checks(set(RULE_FIELDS))), defaults=False)
+    return _checked_rules(requests, set(RULE_FIELDS))
 
 
 def validate_rules_patch(requests: DataFrame) -> DataFrame:
     """Every field is optional, but at least one must be there."""
-    b = _Body(F.col("_v"))
-    none = b.absent(RULE_FIELDS[0])
-    for name in RULE_FIELDS[1:]:
-        none = none & b.absent(name)
-    checked = _with_issues(requests, _rule_checks(set()), F.when(none, _issue("body", "no_fields")))
-    return _rule_columns(requests, checked, defaults=False)
+    return _checked_rules(requests, set(), at_least_one=True)
 
 
 def validate_profiles(profiles: DataFrame) -> DataFrame:

@@ -186,7 +186,8 @@ def resent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = F.explode(F.expr(COPY_LIST.format("array(", ")")))
     return (
         events_with_k(spark, sf_dir)
-        .withColumn("copy", copies.cast("bigint"))
+        .withColumn("copy", copies)
+        .withColumn("copy", F.col("copy").cast("bigint"))
         .withColumn("payload", F.expr(COPY_PAYLOAD))
         .withColumn("seq", F.expr(COPY_SEQ))
         .drop("k", "iso", "copy")

@@ -11,7 +11,7 @@ from . import derived as d
 ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
 EV = f"""ev AS (
   SELECT *, cast(json_extract_string(payload, '$.k') AS integer) AS k, {ISO.format('"timestamp"')} AS iso,
-         epoch_ms("timestamp") AS ts_ms
+         epoch_us("timestamp") // 1000 AS ts_ms
   FROM (SELECT cast(event_id AS varchar) AS event_id, event_type, 'user-' || cast(user_id AS varchar) AS source,
                ts AS "timestamp", props AS payload, '{{}}' AS metadata, ts AS created_at, event_id AS seq
         FROM events))"""
@@ -277,7 +277,7 @@ def _metrics(key: str, where: str = "true") -> str:
 
 
 _CHANGES = f"""{EV}, changes AS (
-  SELECT seq, iso AS at, {', '.join(f'{e} AS {c}' for c, e in d.RULE_CHANGE.items())},
+  SELECT seq, iso AS "at", {', '.join(f'{e} AS {c}' for c, e in d.RULE_CHANGE.items())},
     ({d.CONDITION_SET}) AS has_condition, {d.CONDITION_TYPE} AS f_type, {d.CONDITION_SOURCE} AS f_source,
     {d.CONDITION_OPERATOR} AS operator, {d.CONDITION_VALUE} AS value FROM ev),
   gone AS (SELECT rule_id, max(seq) FILTER (WHERE reason = 'delete') AS d FROM changes GROUP BY rule_id),
@@ -287,9 +287,9 @@ _CHANGES = f"""{EV}, changes AS (
   current_rules AS (SELECT rule_id,
     {', '.join(f'arg_max({f}, seq) FILTER (WHERE {f} IS NOT NULL) AS {f}' for f in
                ('name', 'enabled', 'severity', 'window_seconds', 'cooldown_seconds'))},
-    {', '.join(f"list({f} ORDER BY seq DESC) FILTER (WHERE has_condition)[1] AS {f}" for f in
+    {', '.join(f"(list({f} ORDER BY seq DESC) FILTER (WHERE has_condition))[1] AS {f}" for f in
                ('f_type', 'f_source', 'operator', 'value'))},
-    arg_min(at, seq) AS created_at, arg_max(at, seq) AS updated_at
+    arg_min("at", seq) AS created_at, arg_max("at", seq) AS updated_at
     FROM live GROUP BY rule_id)"""
 
 _OUTBOX_TARGET = {"websocket": ("pending", ""), "slack": ("skipped_no_url", ""), "email": ("pending", "ops,oncall")}
