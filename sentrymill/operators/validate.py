@@ -282,7 +282,7 @@ NOTIFICATION_FIELDS = ("anomaly_id", "rule_id", "severity", "message", "detected
 def valid_notifications(messages: DataFrame) -> DataFrame:
     """Parse JSON ``message`` texts; drop those that do not parse or lack an
     anomaly id, rule id or severity."""
-    parsed = messages.withColumn("_v", F.try_parse_json("message"))
+    parsed = messages.withColumn("_v", F.explode(F.array(F.try_parse_json("message"))))
     fields = [F.try_variant_get("_v", f"$.{f}", "string").alias(f) for f in NOTIFICATION_FIELDS]
     return parsed.select(*[c for c in messages.columns if c != "message"], *fields).filter(
         " AND ".join(f"coalesce({f}, '') <> ''" for f in ("anomaly_id", "rule_id", "severity"))
