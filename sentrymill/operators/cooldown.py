@@ -16,7 +16,7 @@ A chain of that kind depends on its own past. Two exact ways to run it:
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import checkpointed
@@ -92,11 +92,10 @@ def walk(times: np.ndarray, cooldown: int, not_before: int = _NEVER) -> np.ndarr
 
 
 def _direct(times: DataFrame, key: str) -> DataFrame:
-    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["ts_ms"].to_numpy())
-        return pd.DataFrame({key: group[0], "ts_ms": walk(t, int(pdf["cooldown_ms"].iloc[0]))})
+    def run(group: tuple, rows: pa.Table) -> pa.Table:
+        return _fires(key, group[0], _sorted(rows), _cooldown(rows))
 
-    return times.groupBy(key).applyInPandas(run, f"{key} string, ts_ms bigint")
+    return times.groupBy(key).applyInArrow(run, f"{key} string, ts_ms bigint")
 
 
 def _chained(times: DataFrame, key: str, target_rows: int, fan_in: int) -> DataFrame:
@@ -107,25 +106,25 @@ def _chained(times: DataFrame, key: str, target_rows: int, fan_in: int) -> DataF
 
     table_type = f"{key} string, _blk bigint, cooldown_ms bigint, entry bigint, leave bigint"
 
-    def reduce_block(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["ts_ms"].to_numpy())
-        cooldown = int(pdf["cooldown_ms"].iloc[0])
+    def table(group: tuple, rows: pa.Table, entry: np.ndarray, leave: np.ndarray) -> pa.Table:
+        n = len(entry)
+        return pa.table({
+            key: pa.repeat(group[0], n),
+            "_blk": pa.repeat(group[1], n),
+            "cooldown_ms": np.full(n, _cooldown(rows), dtype="int64"),
+            "entry": entry,
+            "leave": leave,
+        })
+
+    def reduce_block(group: tuple, rows: pa.Table) -> pa.Table:
+        t, cooldown = _sorted(rows), _cooldown(rows)
         # Entries: candidates within one cooldown of the first, and the next one.
         # A superset of those within one cooldown of the block's edge.
         n = int(np.searchsorted(t, t[0] + cooldown)) + 1
-        return pd.DataFrame({
-            key: group[0],
-            "_blk": group[1],
-            "cooldown_ms": cooldown,
-            "entry": t[:n],
-            "leave": (t[_last_fire(t, cooldown)] + cooldown)[:n],
-        })
-
-    level = checkpointed(blocks.groupBy(key, "_blk").applyInPandas(reduce_block, table_type))
-    levels = [level]
+        return table(group, rows, t[:n], (t[_last_fire(t, cooldown)] + cooldown)[:n])
 
-    def chain_blocks(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = _tables(pdf)
+    def chain_blocks(group: tuple, rows: pa.Table) -> pa.Table:
+        parts = _tables(rows)
         final = [None] * len(parts)
         for k in range(len(parts) - 1, -1, -1):
             reached = parts[k][2].copy()
@@ -139,63 +138,71 @@ def _chained(times: DataFrame, key: str, target_rows: int, fan_in: int) -> DataF
                 if not pending.any():
                     break
             final[k] = reached
-        entry, leave = [parts[0][1]], [final[0]]
-        if len(parts) > 1:
-            entry.append(parts[1][1][:1])
-            leave.append(final[1][:1])
-        return pd.DataFrame({
-            key: group[0],
-            "_blk": group[1],
-            "cooldown_ms": int(pdf["cooldown_ms"].iloc[0]),
-            "entry": np.concatenate(entry),
-            "leave": np.concatenate(leave),
-        })
+        # The second block's first entry stands for all candidates past the first block.
+        entry = [parts[0][1]] + [p[1][:1] for p in parts[1:2]]
+        leave = [final[0]] + [f[:1] for f in final[1:2]]
+        return table(group, rows, np.concatenate(entry), np.concatenate(leave))
 
     parent = F.floor(F.col("_blk") / F.lit(fan_in)).cast("bigint")
+    levels = [checkpointed(blocks.groupBy(key, "_blk").applyInArrow(reduce_block, table_type))]
     while _longest_span(levels[-1], key) > fan_in:
-        up = levels[-1].withColumn("_parent", parent).groupBy(key, "_parent").applyInPandas(
-            chain_blocks, table_type
-        )
+        up = levels[-1].withColumn("_parent", parent).groupBy(key, "_parent").applyInArrow(chain_blocks, table_type)
         levels.append(checkpointed(up))
 
-    entry_type = f"{key} string, _blk bigint, not_before_ms bigint"
-
-    def enter_blocks(key_value, pdf: pd.DataFrame, at: int) -> pd.DataFrame:
-        out = []
-        for blk, entry, leave in _tables(pdf):
-            out.append((key_value, blk, at))
+    def enter_blocks(key_value: pa.Scalar, rows: pa.Table, at: int) -> pa.Table:
+        numbers, entered = [], []
+        for blk, entry, leave in _tables(rows):
+            numbers.append(blk)
+            entered.append(at)
             i = int(np.searchsorted(entry, at))
             if i < len(entry):
                 at = int(leave[i])
-        return pd.DataFrame(out, columns=[key, "_blk", "not_before_ms"])
+        return pa.table({
+            key: pa.repeat(key_value, len(numbers)),
+            "_blk": pa.array(numbers, pa.int64()),
+            "not_before_ms": pa.array(entered, pa.int64()),
+        })
 
-    def enter_top(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return enter_blocks(group[0], pdf, _NEVER)
+    def enter_top(group: tuple, rows: pa.Table) -> pa.Table:
+        return enter_blocks(group[0], rows, _NEVER)
 
-    def enter_children(group: tuple, pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        return enter_blocks(group[0], pdf, int(known["not_before_ms"].iloc[0]))
+    def enter_children(group: tuple, rows: pa.Table, known: pa.Table) -> pa.Table:
+        return enter_blocks(group[0], rows, known.column("not_before_ms")[0].as_py())
 
-    entries = levels[-1].groupBy(key).applyInPandas(enter_top, entry_type)
-    for table in reversed(levels[:-1]):
+    entry_type = f"{key} string, _blk bigint, not_before_ms bigint"
+    entries = levels[-1].groupBy(key).applyInArrow(enter_top, entry_type)
+    for below in reversed(levels[:-1]):
         entries = checkpointed(
-            table.withColumn("_parent", parent)
+            below.withColumn("_parent", parent)
             .groupBy(key, "_parent")
             .cogroup(entries.withColumnRenamed("_blk", "_parent").groupBy(key, "_parent"))
-            .applyInPandas(enter_children, entry_type)
+            .applyInArrow(enter_children, entry_type)
         )
 
-    def list_fires(group: tuple, pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["ts_ms"].to_numpy())
-        fired = walk(t, int(pdf["cooldown_ms"].iloc[0]), int(known["not_before_ms"].iloc[0]))
-        return pd.DataFrame({key: group[0], "ts_ms": fired})
+    def list_fires(group: tuple, rows: pa.Table, known: pa.Table) -> pa.Table:
+        start = known.column("not_before_ms")[0].as_py()
+        return _fires(key, group[0], _sorted(rows), _cooldown(rows), start)
 
     return (
         blocks.groupBy(key, "_blk")
         .cogroup(entries.groupBy(key, "_blk"))
-        .applyInPandas(list_fires, f"{key} string, ts_ms bigint")
+        .applyInArrow(list_fires, f"{key} string, ts_ms bigint")
     )
 
 
+def _sorted(rows: pa.Table) -> np.ndarray:
+    return np.sort(rows.column("ts_ms").to_numpy())
+
+
+def _cooldown(rows: pa.Table) -> int:
+    return rows.column("cooldown_ms")[0].as_py()
+
+
+def _fires(key: str, value: pa.Scalar, times: np.ndarray, cooldown: int, not_before: int = _NEVER) -> pa.Table:
+    fired = walk(times, cooldown, not_before)
+    return pa.table({key: pa.repeat(value, len(fired)), "ts_ms": fired})
+
+
 def _last_fire(t: np.ndarray, cooldown: int) -> np.ndarray:
     """Index of the last fire in ``t`` for each possible first fire."""
     n = len(t)
@@ -208,12 +215,14 @@ def _last_fire(t: np.ndarray, cooldown: int) -> np.ndarray:
         step = further
 
 
-def _tables(pdf: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def _tables(rows: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Block tables of a group in time order, each sorted by entry time."""
-    pdf = pdf.sort_values(["_blk", "entry"])
+    blk, entry, leave = (rows.column(c).to_numpy() for c in ("_blk", "entry", "leave"))
+    order = np.lexsort((entry, blk))
+    blk, entry, leave = blk[order], entry[order], leave[order]
+    numbers, starts = np.unique(blk, return_index=True)
     return [
-        (int(blk), part["entry"].to_numpy(), part["leave"].to_numpy())
-        for blk, part in pdf.groupby("_blk", sort=True)
+        (int(n), e, x) for n, e, x in zip(numbers, np.split(entry, starts[1:]), np.split(leave, starts[1:]))
     ]
 
 

@@ -33,6 +33,16 @@ def salted_join(
     return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def sized_join(
+    big: DataFrame, small: DataFrame, on: list[str], rows: int, max_broadcast: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Join with a side of ``rows`` rows, counted by the caller: broadcast within the
+    bound, salted beyond it."""
+    if rows <= max_broadcast:
+        return big.join(F.broadcast(small), on)
+    return salted_join(big, small, on)
+
+
 # Which of the two filters a control row sets, as bits.
 _TYPE, _SOURCE = 1, 2
 
@@ -93,6 +103,5 @@ def match_filters(events: DataFrame, control: DataFrame, max_broadcast: int = BR
 
 def attach_control(df: DataFrame, control: DataFrame, key: str, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """Bring the columns of a control row back by its unique key."""
-    if control.limit(max_broadcast + 1).count() <= max_broadcast:
-        return df.join(F.broadcast(control), key)
-    return salted_join(df, control, [key])
+    rows = control.limit(max_broadcast + 1).count()
+    return sized_join(df, control, [key], rows, max_broadcast)

@@ -12,7 +12,7 @@ from ..functions.text import anomaly_id, iso_from_ms, number_text, round4
 from ..session import checkpointed
 from ..sources.tables import with_ms
 from .cooldown import DIRECT_ROWS, apply_cooldown
-from .joins import attach_control, match_filters, salted_join
+from .joins import attach_control, match_filters, sized_join
 from .ranking import GROUP_ROWS, running_counts
 from .validate import validate_profiles
 
@@ -115,10 +115,12 @@ def zscore_candidates(
             zscore(F.col("count")) >= F.col("z_threshold")
         )
     )
-    largest = hot.agg(F.max("count")).first()[0] or 0
-    rows = salted_join(profile_matches(events, profiles), hot.drop("count"), ["profile_id", "bucket"])
+    size = hot.agg(F.count("*").alias("rows"), F.coalesce(F.max("count"), F.lit(0)).alias("largest")).first()
+    rows = sized_join(
+        profile_matches(events, profiles), hot.drop("count"), ["profile_id", "bucket"], size.rows
+    )
     return (
-        running_counts(rows, ["profile_id", "bucket"], largest, "current", group_rows)
+        running_counts(rows, ["profile_id", "bucket"], size.largest, "current", group_rows)
         .withColumn("z", zscore(F.col("current")))
         .filter(F.col("z") >= F.col("z_threshold"))
         .select(

@@ -214,14 +214,41 @@ ENTRY_FIELDS = {
 }
 
 
+def _literal(v) -> str:
+    if v is None:
+        return "cast(NULL AS string)"
+    return f"'{v}'" if isinstance(v, str) else str(v)
+
+
+def _local_table(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A control table as literal rows, which the planner can see and size."""
+    listed = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t({names})")
+
+
 def rule_table(spark: SparkSession) -> DataFrame:
-    rows = [
-        (r[0], r[1], r[2], r[3], r[4], r[5], ("threshold", "count", (r[6], r[7]), r[8], r[9]), None, None)
-        for r in RULE_LIST
-    ]
-    return spark.createDataFrame(rows, RULES)
+    flat = _local_table(
+        spark, RULE_LIST,
+        "rule_id, name, enabled, severity, window_seconds, cooldown_seconds, f_type, f_source, operator, value",
+    )
+    condition = F.struct(
+        F.lit("threshold").alias("type"),
+        F.lit("count").alias("metric"),
+        F.struct(F.col("f_type").alias("event_type"), F.col("f_source").alias("source")).alias("filters"),
+        "operator",
+        F.col("value").cast("double").alias("value"),
+    )
+    return flat.withColumn("condition", condition).select(
+        *RULES.fieldNames()[:7],
+        *[F.lit(None).cast("timestamp").alias(c) for c in ("created_at", "updated_at")],
+    )
 
 
 def profile_list(spark: SparkSession) -> DataFrame:
-    rows = [(p[0], float(p[1]), float(p[2]), p[3], float(p[4]), (p[5], p[6])) for p in PROFILE_LIST]
-    return spark.createDataFrame(rows, PROFILES)
+    names = "id, bucket_seconds, baseline_buckets, z_threshold, cooldown_seconds, f_type, f_source"
+    flat = _local_table(spark, PROFILE_LIST, names)
+    return flat.select(
+        "id",
+        *[F.col(c).cast("double").alias(c) for c in PROFILES.fieldNames()[1:5]],
+        F.struct(F.col("f_type").alias("event_type"), F.col("f_source").alias("source")).alias("filters"),
+    )

@@ -8,6 +8,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schemas import ANOMALIES, EVENTS, RULES
+from ..session import checkpointed
+
+# Keys of a micro-batch that may be broadcast; ids are a few dozen bytes each.
+BATCH_KEYS = 500_000
 
 
 def _stored(schema: T.StructType) -> T.StructType:
@@ -58,11 +62,17 @@ class Table:
         A replayed batch finds what an earlier attempt managed to write and adds
         only the rest, so repeating it any number of times stores each row once.
         """
-        spark = rows.sparkSession
-        present = self.read(spark).select(*self.key)
+        rows = checkpointed(rows)
+        key = list(self.key)
+        wanted = rows.select(*key)
+        if wanted.limit(BATCH_KEYS + 1).count() <= BATCH_KEYS:
+            wanted = F.broadcast(wanted)
+        # The keys of the batch go to the table, not the table to the batch: within
+        # the bound the stored keys are scanned in place, without a shuffle.
+        present = self.read(rows.sparkSession).select(*key).join(wanted, key, "left_semi").distinct()
         day = F.to_date(self.time) if self.time else F.current_date()
         (
-            rows.join(present, list(self.key), "left_anti")
+            rows.join(present, key, "left_anti")
             .select(*self.schema.fieldNames())
             .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
             .withColumn("event_date", day)

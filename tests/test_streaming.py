@@ -62,10 +62,7 @@ def test_stream_equals_batch_with_restart_and_copies(spark, tmp_path, events):
     want = {(r.rule_id, r.event_id, r.message) for r in threshold.threshold_anomalies(batch, rules).collect()}
     want |= {(r.rule_id, r.event_id, r.message) for r in zscore.zscore_anomalies(batch, profiles).collect()}
     found = [(r.rule_id, r.event_id, r.message) for r in layout.anomalies.read(spark).collect()]
-    got = {r for r in found if r[0] in {x[0] for x in RULES}}
-    assert got == {w for w in want if w[0] in {x[0] for x in RULES}}
-    assert len(found) == len(set(found))
-    # a bucket cut by a batch edge is complete only later; every fire names a real one
+    assert sorted(found) == sorted(want)
     assert {r[0] for r in found} >= {"any-cd", "hot", "a"}
 
     run(notify(spark, layout, str(tmp_path / "check2")))
