@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import checkpointed
+
 # A control table up to this many rows is broadcast. Its rows are validated to a
 # few hundred bytes each, so the broadcast stays in the tens of megabytes.
 BROADCAST_ROWS = 20_000
@@ -47,32 +50,38 @@ def sized_join(
 _TYPE, _SOURCE = 1, 2
 
 
-def control_stats(control: DataFrame) -> tuple[list[int], int]:
-    """Filter shapes in use and the row count; at most four rows reach the driver."""
-    shape = _shape(control)
-    rows = control.groupBy(shape.alias("s")).agg(F.count("*").alias("n")).collect()
-    return sorted(r["s"] for r in rows), sum(r["n"] for r in rows)
+@dataclass(frozen=True)
+class Control:
+    """A control table (rules, profiles) read once: its rows, how many there are, and
+    which filter shapes occur. Null ``f_type`` or ``f_source`` means "any"."""
+
+    rows: DataFrame
+    count: int
+    shapes: tuple[int, ...]
 
 
-def _shape(control: DataFrame):
-    return (
+def prepare_control(table: DataFrame) -> Control:
+    shape = (
         F.when(F.col("f_type").isNotNull(), _TYPE).otherwise(0)
         + F.when(F.col("f_source").isNotNull(), _SOURCE).otherwise(0)
     )
+    rows = checkpointed(table.withColumn("_rshape", shape))
+    seen = rows.agg(F.count("*").alias("n"), F.collect_set("_rshape").alias("shapes")).first()
+    return Control(rows, seen.n, tuple(sorted(seen.shapes)))
 
 
-def match_filters(events: DataFrame, control: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
-    """Pair each event with the control rows whose set filters all equal it.
+def match_filters(
+    events: DataFrame, control: Control, columns: list[str], max_broadcast: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Pair each event with the control rows whose set filters all equal it, adding
+    their ``columns``.
 
-    ``control`` carries ``f_type`` and ``f_source``, null meaning "any". Each
-    event gets one lookup key per filter shape in use, which makes the match an
+    Each event gets one lookup key per filter shape in use, which makes the match an
     equi-join: no nested loop over the rules. A control table within the checked
     bound is broadcast and the events are not shuffled; a larger one is joined by
     salted keys, since the key of unfiltered rows is shared by every event.
     """
-    shapes, n = control_stats(control)
-    if not shapes:
-        shapes = [0]
+    shapes = control.shapes or (0,)
     keys = F.array(*[
         F.struct(
             F.lit(s).alias("_shape"),
@@ -84,13 +93,13 @@ def match_filters(events: DataFrame, control: DataFrame, max_broadcast: int = BR
     keyed = events.withColumn("_k", F.explode(keys) if len(shapes) > 1 else keys[0]).select(
         *[F.col(c) for c in events.columns], "_k._shape", "_k._kt", "_k._ks"
     )
-    side = control.withColumn("_rshape", _shape(control))
+    side = control.rows.select(*columns, "f_type", "f_source", "_rshape")
     on = [
         F.col("_shape") == F.col("_rshape"),
         F.col("_kt").eqNullSafe(F.col("f_type")),
         F.col("_ks").eqNullSafe(F.col("f_source")),
     ]
-    if n <= max_broadcast:
+    if control.count <= max_broadcast:
         side = F.broadcast(side)
     else:
         keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int"))
@@ -101,7 +110,6 @@ def match_filters(events: DataFrame, control: DataFrame, max_broadcast: int = BR
     )
 
 
-def attach_control(df: DataFrame, control: DataFrame, key: str, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
-    """Bring the columns of a control row back by its unique key."""
-    rows = control.limit(max_broadcast + 1).count()
-    return sized_join(df, control, [key], rows, max_broadcast)
+def attach_control(df: DataFrame, control: Control, key: str, columns: list[str]) -> DataFrame:
+    """Bring ``columns`` of a control row back by its unique key."""
+    return sized_join(df, control.rows.select(key, *columns), [key], control.count)

@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import anomaly_id, number_text
 from ..sources.tables import with_ms
 from .cooldown import DIRECT_ROWS, apply_cooldown
-from .joins import attach_control, match_filters
+from .joins import Control, attach_control, match_filters, prepare_control
 from .ranking import GROUP_ROWS, trailing_counts
 
 
-def flat_rules(rules: DataFrame) -> DataFrame:
-    """Enabled rules with the condition unpacked; both filters null when unset."""
+def rule_control(rules: DataFrame | Control) -> Control:
+    """Enabled rules with the condition unpacked, read once."""
+    if isinstance(rules, Control):
+        return rules
     c = F.col("condition")
-    return rules.filter("enabled").select(
+    return prepare_control(rules.filter("enabled").select(
         "rule_id",
         "name",
         "severity",
@@ -28,17 +30,18 @@ def flat_rules(rules: DataFrame) -> DataFrame:
         c["value"].alias("value"),
         c["filters"]["event_type"].alias("f_type"),
         c["filters"]["source"].alias("f_source"),
-    )
+    ))
 
 
-def rule_matches(events: DataFrame, rules: DataFrame) -> DataFrame:
+def rule_matches(events: DataFrame, rules: DataFrame | Control) -> DataFrame:
     """One row per event and enabled rule whose filters it meets."""
-    side = flat_rules(rules).select("rule_id", "window_ms", "f_type", "f_source")
     slim = with_ms(events).select("event_id", "event_type", "source", "ts_ms", "seq")
-    return match_filters(slim, side).select("rule_id", "window_ms", "event_id", "ts_ms", "seq")
+    return match_filters(slim, rule_control(rules), ["rule_id", "window_ms"]).select(
+        "rule_id", "window_ms", "event_id", "ts_ms", "seq"
+    )
 
 
-def sliding_rule_counts(events: DataFrame, rules: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def sliding_rule_counts(events: DataFrame, rules: DataFrame | Control, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Per match, the rule's events in ``[ts - window, ts]`` so far, this one included.
 
     One window per rule over all sources.
@@ -59,12 +62,14 @@ def compare(count: Column, operator: Column, value: Column) -> Column:
     )
 
 
-def threshold_candidates(events: DataFrame, rules: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def threshold_candidates(events: DataFrame, rules: DataFrame | Control, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Matches whose count meets the rule's condition, before cooldown."""
-    counted = sliding_rule_counts(events, rules, group_rows)
-    side = flat_rules(rules).select("rule_id", "cooldown_ms", "operator", "value")
+    control = rule_control(rules)
     return (
-        attach_control(counted, side, "rule_id")
+        attach_control(
+            sliding_rule_counts(events, control, group_rows), control, "rule_id",
+            ["cooldown_ms", "operator", "value"],
+        )
         .filter(compare(F.col("count"), F.col("operator"), F.col("value")))
         .select("rule_id", "cooldown_ms", "event_id", "ts_ms", "seq", "count")
     )
@@ -72,7 +77,7 @@ def threshold_candidates(events: DataFrame, rules: DataFrame, group_rows: int =
 
 def threshold_fires(
     candidates: DataFrame,
-    rules: DataFrame,
+    rules: DataFrame | Control,
     last_fire: DataFrame | None = None,
     direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
@@ -89,12 +94,12 @@ def threshold_fires(
         unset_last_fire_ms=0,
         direct_rows=direct_rows,
     )
-    side = flat_rules(rules).select("rule_id", "name", "severity", "operator", "value")
+    control = rule_control(rules)
     message = F.concat(
         F.lit('Threshold rule "'), "name", F.lit('" triggered: count('), F.col("count").cast("string"),
         F.lit(") "), "operator", F.lit(" "), number_text(F.col("value")),
     )
-    return attach_control(fired, side, "rule_id").select(
+    return attach_control(fired, control, "rule_id", ["name", "severity", "operator", "value"]).select(
         anomaly_id(F.col("rule_id"), F.col("event_id")).alias("anomaly_id"),
         "event_id",
         "rule_id",
@@ -104,5 +109,6 @@ def threshold_fires(
     )
 
 
-def threshold_anomalies(events: DataFrame, rules: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    return threshold_fires(threshold_candidates(events, rules, group_rows), rules)
+def threshold_anomalies(events: DataFrame, rules: DataFrame | Control, group_rows: int = GROUP_ROWS) -> DataFrame:
+    control = rule_control(rules)
+    return threshold_fires(threshold_candidates(events, control, group_rows), control)

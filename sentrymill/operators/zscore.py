@@ -12,7 +12,7 @@ from ..functions.text import anomaly_id, iso_from_ms, number_text, round4
 from ..session import checkpointed
 from ..sources.tables import with_ms
 from .cooldown import DIRECT_ROWS, apply_cooldown
-from .joins import attach_control, match_filters, sized_join
+from .joins import Control, attach_control, match_filters, prepare_control, sized_join
 from .ranking import GROUP_ROWS, running_counts
 from .validate import validate_profiles
 
@@ -31,9 +31,11 @@ DEFAULT_SEVERITY = "warning"
 BLOCK_BUCKETS = 1024
 
 
-def flat_profiles(profiles: DataFrame) -> DataFrame:
-    """Profiles that pass validation, in milliseconds."""
-    return validate_profiles(profiles).filter(F.size("issues") == 0).select(
+def profile_control(profiles: DataFrame | Control) -> Control:
+    """Profiles that pass validation, in milliseconds, read once."""
+    if isinstance(profiles, Control):
+        return profiles
+    return prepare_control(validate_profiles(profiles).filter(F.size("issues") == 0).select(
         F.col("id").alias("profile_id"),
         F.round(F.col("bucket_seconds") * 1000).cast("bigint").alias("bucket_ms"),
         F.col("baseline_buckets").cast("int").alias("n_buckets"),
@@ -41,14 +43,13 @@ def flat_profiles(profiles: DataFrame) -> DataFrame:
         F.round(F.coalesce("cooldown_seconds", F.lit(0.0)) * 1000).cast("bigint").alias("cooldown_ms"),
         F.col("filters.event_type").alias("f_type"),
         F.col("filters.source").alias("f_source"),
-    )
+    ))
 
 
-def profile_matches(events: DataFrame, profiles: DataFrame) -> DataFrame:
+def profile_matches(events: DataFrame, profiles: DataFrame | Control) -> DataFrame:
     """One row per event and profile it counts for, with the bucket number."""
-    side = flat_profiles(profiles).select("profile_id", "bucket_ms", "f_type", "f_source")
     slim = with_ms(events).select("event_id", "event_type", "source", "ts_ms", "seq")
-    return match_filters(slim, side).select(
+    return match_filters(slim, profile_control(profiles), ["profile_id", "bucket_ms"]).select(
         "profile_id",
         F.floor(F.col("ts_ms") / F.col("bucket_ms")).alias("bucket"),
         "event_id",
@@ -57,18 +58,14 @@ def profile_matches(events: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
-def zscore_baseline(events: DataFrame, profiles: DataFrame) -> DataFrame:
+def zscore_baseline(events: DataFrame, profiles: DataFrame | Control) -> DataFrame:
     """Per profile and bucket with enough history: its count, and mean and population
     deviation of the N latest non-empty earlier buckets no older than N + 1 buckets."""
-    counts = profile_matches(events, profiles).groupBy("profile_id", "bucket").agg(F.count("*").alias("count"))
-    return bucket_baseline(counts, profiles)
-
-
-def bucket_baseline(counts: DataFrame, profiles: DataFrame) -> DataFrame:
-    flat = flat_profiles(profiles)
-    widest = flat.agg(F.max("n_buckets")).first()[0] or 2
+    control = profile_control(profiles)
+    counts = profile_matches(events, control).groupBy("profile_id", "bucket").agg(F.count("*").alias("count"))
+    widest = control.rows.agg(F.max("n_buckets")).first()[0] or 2
     block = max(BLOCK_BUCKETS, widest + 1)
-    rows = attach_control(counts, flat.select("profile_id", "n_buckets", "bucket_ms"), "profile_id")
+    rows = attach_control(counts, control, "profile_id", ["n_buckets", "bucket_ms"])
 
     # Blocks of buckets, each preceded by a copy of the tail of the one before.
     blk = F.floor(F.col("bucket") / F.lit(block))
@@ -102,22 +99,21 @@ def zscore(count: Column) -> Column:
 
 
 def zscore_candidates(
-    events: DataFrame, profiles: DataFrame, group_rows: int = GROUP_ROWS
+    events: DataFrame, profiles: DataFrame | Control, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """Events at which their bucket's running count reaches the threshold.
 
     The score grows with the count, so only buckets whose full count reaches the
     threshold can hold such events; events of all others drop out before ranking.
     """
-    limits = flat_profiles(profiles).select("profile_id", "z_threshold", "cooldown_ms")
-    hot = checkpointed(
-        attach_control(zscore_baseline(events, profiles).filter("stddev > 0"), limits, "profile_id").filter(
-            zscore(F.col("count")) >= F.col("z_threshold")
-        )
+    control = profile_control(profiles)
+    scored = attach_control(
+        zscore_baseline(events, control).filter("stddev > 0"), control, "profile_id", ["z_threshold", "cooldown_ms"]
     )
+    hot = checkpointed(scored.filter(zscore(F.col("count")) >= F.col("z_threshold")))
     size = hot.agg(F.count("*").alias("rows"), F.coalesce(F.max("count"), F.lit(0)).alias("largest")).first()
     rows = sized_join(
-        profile_matches(events, profiles), hot.drop("count"), ["profile_id", "bucket"], size.rows
+        profile_matches(events, control), hot.drop("count"), ["profile_id", "bucket"], size.rows
     )
     return (
         running_counts(rows, ["profile_id", "bucket"], size.largest, "current", group_rows)
@@ -132,7 +128,7 @@ def zscore_candidates(
 
 def zscore_fires(
     candidates: DataFrame,
-    profiles: DataFrame,
+    profiles: DataFrame | Control,
     severity: str = DEFAULT_SEVERITY,
     rule_id_prefix: str = "",
     last_fire: DataFrame | None = None,
@@ -147,8 +143,9 @@ def zscore_fires(
         last_fire=last_fire,
         direct_rows=direct_rows,
     )
-    flat = flat_profiles(profiles).drop("cooldown_ms", "z_threshold")
-    rows = attach_control(fired, flat, "profile_id")
+    rows = attach_control(
+        fired, profile_control(profiles), "profile_id", ["bucket_ms", "n_buckets", "f_type", "f_source"]
+    )
     details = F.struct(
         F.col("profile_id"),
         iso_from_ms(F.col("bucket_start_ms")).alias("bucket_start"),
@@ -192,5 +189,6 @@ def zscore_fires(
     )
 
 
-def zscore_anomalies(events: DataFrame, profiles: DataFrame, **options) -> DataFrame:
-    return zscore_fires(zscore_candidates(events, profiles), profiles, **options)
+def zscore_anomalies(events: DataFrame, profiles: DataFrame | Control, **options) -> DataFrame:
+    control = profile_control(profiles)
+    return zscore_fires(zscore_candidates(events, control), control, **options)

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import outbox, threshold, zscore
 from ..operators.ingest import dedup_events
+from ..operators.joins import Control
 from ..schemas import RULES, STREAM_ENTRY
 from ..session import checkpointed, use_utc
 from ..sources.codec import decode_events
@@ -69,8 +70,8 @@ class Pipeline:
     ):
         self.spark, self.layout, self.severity = spark, layout, severity
         self.load_rules = load_rules or (lambda: read_rules(spark, layout))
-        self.profiles = profiles
-        self.rules: DataFrame | None = None
+        self.profiles = None if profiles is None else zscore.profile_control(profiles)
+        self.rules: Control | None = None
         layout.create(spark)
 
     def start(self, log_path: str, checkpoint: str, **read_options) -> StreamingQuery:
@@ -114,10 +115,10 @@ class Pipeline:
         )
         self.layout.events.append_new(dedup_events(events), batch_id)
 
-    def current_rules(self) -> DataFrame | None:
+    def current_rules(self) -> Control | None:
         """The rules as of now; the previous snapshot when they cannot be read."""
         try:
-            self.rules = checkpointed(self.load_rules())
+            self.rules = threshold.rule_control(self.load_rules())
         except Exception:
             log.exception("rules not reloaded")
         return self.rules
@@ -126,7 +127,9 @@ class Pipeline:
         rules = self.current_rules()
         if rules is None:
             return None
-        reach = rules.filter("enabled").agg(F.max("window_seconds").alias("w"), F.max("cooldown_seconds").alias("c")).first()
+        reach = rules.rows.agg(
+            (F.max("window_ms") / 1000).alias("w"), (F.max("cooldown_ms") / 1000).alias("c")
+        ).first()
         if reach.w is None:
             return None
         history = self.history(lo, hi, reach.w, batch_id)
@@ -138,8 +141,7 @@ class Pipeline:
     def detect_spikes(self, fresh: DataFrame, lo: datetime, hi: datetime, batch_id: int) -> DataFrame | None:
         if self.profiles is None:
             return None
-        flat = zscore.flat_profiles(self.profiles)
-        reach = flat.agg(
+        reach = self.profiles.rows.agg(
             F.max((F.col("n_buckets") + 2) * F.col("bucket_ms") / 1000).alias("w"),
             F.max(F.col("cooldown_ms") / 1000).alias("c"),
         ).first()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sentrymill.operators import cooldown, ranking, threshold, zscore
 from sentrymill.operators.builtin import invalid_payload, rate_spike, timestamp_drift
-from sentrymill.operators.joins import match_filters
+from sentrymill.operators.joins import match_filters, prepare_control
 
 from . import simulate
 from .fixtures import at, day, event_frame, make_events, numbered, profile_frame, rule_frame
@@ -105,8 +105,9 @@ def test_large_control_table_is_not_broadcast(spark):
     control = spark.createDataFrame(
         [("r1", None, None), ("r2", "error", None), ("r3", None, "hot"), ("r4", "view", "hot")],
         "rule_id string, f_type string, f_source string")
-    small = match_filters(ev, control).select("rule_id", "event_id")
-    large = match_filters(ev, control, max_broadcast=0).select("rule_id", "event_id")
+    control = prepare_control(control)
+    small = match_filters(ev, control, ["rule_id"]).select("rule_id", "event_id")
+    large = match_filters(ev, control, ["rule_id"], max_broadcast=0).select("rule_id", "event_id")
     assert sorted(small.collect()) == sorted(large.collect())
     assert small.count() > 120
 
