@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import iso_millis
 from ..operators import builtin, ingest, listing, metrics, outbox, retention, rules, threshold, validate, zscore
+from ..schemas import ANOMALIES
+from ..session import shared_folder
 from ..sources import codec
 from ..sources.tables import bind_events
+from ..streaming.pipeline import Pipeline
+from ..streaming.tables import Layout
 from . import derived as d
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +107,21 @@ def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.batch_gate(ingest.assign_event_id(checked))
 
 
+def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events through the streaming pipeline, in two runs over one checkpoint:
+    the second half of the log is written after the first run has stopped."""
+    ev = _events(spark, sf_dir)
+    half = ev.agg(F.floor((F.min("seq") + F.max("seq")) / 2)).first()[0]
+    root = shared_folder(spark, "stream")
+    pipe = Pipeline(
+        spark, Layout(f"{root}/tables"), load_rules=lambda: d.rule_table(spark), profiles=d.profile_list(spark)
+    )
+    for part in (ev.filter(F.col("seq") <= half), ev.filter(F.col("seq") > half)):
+        codec.append_log(part, f"{root}/log")
+        pipe.start(f"{root}/log", f"{root}/offsets", until_caught_up=True).awaitTermination()
+    return pipe.layout.anomalies.read(spark).select(*ANOMALIES.fieldNames())
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
 
@@ -207,6 +226,9 @@ def queries() -> dict[str, Query]:
     ))
     q["builtin_anomalies"] = lambda s, p: present(builtin_pack(s, p))
 
+    # the pipeline
+    q["stream_anomalies"] = lambda s, p: present(stream_anomalies(s, p))
+
     # notifications
     q["notification_outbox"] = lambda s, p: outbox.notification_outbox(stateless_anomalies(s, p), d.CHANNELS)
     return q

@@ -392,6 +392,8 @@ def oracle_sql() -> dict[str, str]:
       named AS (SELECT *, 'stat-' || profile_id AS rule_id FROM fired)
       SELECT {anomaly_id()} AS anomaly_id, event_id, rule_id, 'warning' AS severity, {_Z_MESSAGE} AS message,
         {iso_ms('ts_ms')} AS detected_at FROM named"""
+    renamed = q["zscore_anomalies"].replace("'stat-' || profile_id", "profile_id")
+    q["stream_anomalies"] = f"SELECT * FROM ({q['threshold_anomalies']}) UNION ALL SELECT * FROM ({renamed})"
 
     q["rate_spike"] = f"{ev}, {_RATE} SELECT {_ANOMALY_COLUMNS} FROM rate"
     q["invalid_payload"] = f"{ev}, {_INVALID} SELECT {_ANOMALY_COLUMNS} FROM invalid"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.text import iso_millis
+
 # The fields of a stream entry.
 TEXT_FIELDS = ("event_id", "event_type", "source", "timestamp")
 JSON_FIELDS = ("payload", "metadata")
@@ -11,8 +13,6 @@ JSON_FIELDS = ("payload", "metadata")
 
 def encode_events(events: DataFrame) -> DataFrame:
     """One row per event with six string fields; time as ISO text, objects as JSON."""
-    from ..functions.text import iso_millis
-
     return events.select(
         "seq",
         "event_id",
@@ -30,6 +30,11 @@ def as_entries(encoded: DataFrame) -> DataFrame:
     return encoded.select("seq", F.create_map(*pairs).alias("fields"))
 
 
+def append_log(events: DataFrame, path: str) -> None:
+    """Append events to the log as JSON lines, one entry per line."""
+    as_entries(encode_events(events)).write.mode("append").json(path)
+
+
 def decode_events(entries: DataFrame) -> DataFrame:
     """Read ``fields`` back; an absent text field is '' and an absent object '{}'.
 

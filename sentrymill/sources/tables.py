@@ -49,16 +49,13 @@ def with_ms(events: DataFrame) -> DataFrame:
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     """Store events by day, so that time filters and retention prune folders.
 
-    Rows are clustered by day before the write; a busy day is cut into files by
-    ``maxRecordsPerFile`` and, through the spread column, over several tasks.
+    The rebalance gathers each day into few files and splits a day that is much
+    larger than the others, by its size at run time.
     """
     (
         events.withColumn("event_date", F.to_date("timestamp"))
-        .withColumn("_spread", F.pmod(F.xxhash64("event_id"), F.lit(32)))
-        .repartition("event_date", "_spread")
-        .drop("_spread")
+        .hint("rebalance", F.col("event_date"))
         .write.mode(mode)
-        .option("maxRecordsPerFile", 5_000_000)
         .partitionBy("event_date")
         .parquet(path)
     )

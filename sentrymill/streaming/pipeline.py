@@ -74,13 +74,16 @@ class Pipeline:
         self.rules: Control | None = None
         layout.create(spark)
 
-    def start(self, log_path: str, checkpoint: str, **read_options) -> StreamingQuery:
-        return (
+    def start(
+        self, log_path: str, checkpoint: str, until_caught_up: bool = False, **read_options
+    ) -> StreamingQuery:
+        """Follow the log; with ``until_caught_up``, stop at its present end."""
+        writer = (
             read_log(self.spark, log_path, **read_options)
             .writeStream.option("checkpointLocation", checkpoint)
             .foreachBatch(self.handle)
-            .start()
         )
+        return (writer.trigger(availableNow=True) if until_caught_up else writer).start()
 
     def handle(self, entries: DataFrame, batch_id: int) -> None:
         """Store, then detect. A failing detector is logged and blocks neither the

@@ -76,6 +76,7 @@ class Table:
             .select(*self.schema.fieldNames())
             .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
             .withColumn("event_date", day)
+            .hint("rebalance", F.col("event_date"))
             .write.mode("append")
             .partitionBy("event_date")
             .parquet(self.path)
