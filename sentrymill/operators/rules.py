@@ -4,11 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.text import iso_millis, uuid_text
+from ..schemas import RULES
+from ..session import checkpointed
 from .joins import salted_join
 
 FIELDS = ("name", "enabled", "severity", "window_seconds", "cooldown_seconds", "condition")
 
 
+CHANGE_COLUMNS = ("rule_id", "seq", "at", "reason", *FIELDS)
+
+
+def as_changes(requests: DataFrame, reason: str) -> DataFrame:
+    """Turn requests with their arrival number ``seq`` and time ``at`` into changes.
+
+    Creates, updates and patches come from the rule validators, and those with
+    issues drop out. A create gets an id fixed by its number and name; the other
+    kinds carry ``rule_id``. A delete needs no more than that.
+    """
+    if reason != "delete":
+        requests = requests.filter(F.size("issues") == 0)
+    if reason == "create":
+        requests = requests.withColumn("rule_id", uuid_text(F.md5(F.concat_ws("|", F.col("seq").cast("string"), "name"))))
+    types = {f.name: f.dataType for f in RULES}
+    fields = [
+        F.col(f) if f in requests.columns else F.lit(None).cast(types[f]).alias(f) for f in FIELDS
+    ]
+    return requests.select("rule_id", "seq", "at", F.lit(reason).alias("reason"), *fields)
+
+
+def change_messages(changes: DataFrame) -> DataFrame:
+    """The message published per change: when, why, which rule."""
+    body = F.to_json(F.struct(iso_millis(F.col("at")).alias("ts"), "reason", "rule_id"))
+    return changes.select(body.alias("message"))
+
+
+def write_rules(rules: DataFrame, path: str) -> None:
+    """Replace the stored rule table; readers keep their old copy if they hit the swap."""
+    checkpointed(rules.select(*RULES.fieldNames())).write.mode("overwrite").parquet(path)
+
+
 def apply_rule_changes(changes: DataFrame) -> DataFrame:
     """Fold ordered changes per rule into the current rules.
 

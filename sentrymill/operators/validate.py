@@ -124,11 +124,13 @@ def _bool_check(b: _Body, name: str, required: bool) -> Column:
 
 
 def _with_issues(requests: DataFrame, body: _Body, checks: list[Column]) -> DataFrame:
-    """Evaluate ``checks`` on bodies that are JSON objects; others get one issue."""
-    return body.read(requests).withColumn(
-        "issues",
-        F.when(body.is_root_object(), _collect(checks)).otherwise(F.array(_issue("body", "invalid_type"))),
-    )
+    """Evaluate ``checks`` on bodies that are JSON objects; others get one issue.
+
+    The one-element explode makes the result a column that later filters test, in
+    place of copies of all checks in each filter.
+    """
+    issues = F.when(body.is_root_object(), _collect(checks)).otherwise(F.array(_issue("body", "invalid_type")))
+    return body.read(requests).withColumn("issues", F.explode(F.array(issues)))
 
 
 def validate_events(requests: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrymill.functions.text import anomaly_id, number_text, rate4, round4
 from sentrymill.operators import ingest, listing, metrics, outbox, retention, rules, validate
+from sentrymill.schemas import RULES
 from sentrymill.sources import codec, tables
 
 from .fixtures import T0, at, event_frame, make_events, numbered
@@ -256,6 +257,33 @@ def test_rule_changes_equal_one_by_one(spark, seed):
         assert stamp(got[rid]["created_at"]) == row["created_at"] and stamp(got[rid]["updated_at"]) == row["updated_at"]
 
 
+def test_requests_become_rules(spark, tmp_path):
+    def requests(check, first_seq, *bodies, rule_id=None):
+        rows = [(first_seq + i, T0 + timedelta(seconds=first_seq + i), rule_id, json.dumps(b)) for i, b in enumerate(bodies)]
+        return check(spark.createDataFrame(rows, "seq bigint, at timestamp, rule_id string, body string"))
+
+    created = rules.as_changes(
+        requests(validate.validate_rules_create, 0, rule(name="a", enabled=...), rule(name="b"), rule(name="")), "create")
+    ids = {r.name: r.rule_id for r in created.collect()}
+    assert set(ids) == {"a", "b"}
+    patched = rules.as_changes(requests(validate.validate_rules_patch, 10, {"enabled": False}, {}, rule_id=ids["a"]), "patch")
+    replaced = rules.as_changes(
+        requests(validate.validate_rules_replace, 20, rule(name="b2", severity="info"), rule_id=ids["b"]), "update")
+    absent = rules.as_changes(requests(validate.validate_rules_patch, 30, {"name": "x"}, rule_id="none"), "patch")
+    log = created.unionByName(patched).unionByName(replaced).unionByName(absent)
+    path = str(tmp_path / "rules")
+    rules.write_rules(rules.apply_rule_changes(log), path)
+    now = spark.read.schema(RULES).parquet(path)
+    assert sorted((r.name, r.enabled, r.severity) for r in now.collect()) == [("a", False, "warning"), ("b2", True, "info")]
+    assert [r.name for r in rules.enabled_rules(now).collect()] == ["b2"]
+    assert rules.get_rule(now, ids["a"]).count() == 1
+    gone = spark.createDataFrame([(40, T0, ids["a"])], "seq bigint, at timestamp, rule_id string")
+    rules.write_rules(rules.apply_rule_changes(log.unionByName(rules.as_changes(gone, "delete"))), path)
+    assert [r.name for r in spark.read.schema(RULES).parquet(path).collect()] == ["b2"]
+    message = json.loads(rules.change_messages(replaced).first()[0])
+    assert message == {"ts": "2024-01-01T00:00:20.000Z", "reason": "update", "rule_id": ids["b"]}
+
+
 def test_outbox(spark):
     anomalies = spark.createDataFrame(
         [("a1", "e1", "r1", "warning", 'say "hi"', T0)],
