@@ -47,7 +47,7 @@ def at(seconds, **fields):
 
 
 def numbered(events):
-    return [{"event_id": f"e{i}", "seq": i, **e} for i, e in enumerate(events)]
+    return [{"event_id": f"e{i}"} | e | {"seq": i} for i, e in enumerate(events)]
 
 
 def rule_frame(spark, rules):
