@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import uuid_text
 from ..session import checkpointed
-from .joins import salted_join
-
-# Consecutive seq values ranked together; bounds a window partition.
-SEQ_RUN = 1 << 20
+from .joins import seq_run, with_group_values
 
 
 def assign_event_id(events: DataFrame) -> DataFrame:
@@ -38,16 +35,17 @@ def new_events(batch: DataFrame, stored: DataFrame) -> DataFrame:
 def batch_gate(validated: DataFrame) -> DataFrame:
     """Reject a batch as a whole when any of its events has issues.
 
-    Adds ``batch_accepted`` and ``batch_size`` to each row. The verdict is an
-    aggregate per batch, brought back by a salted join, so a very large batch is
-    neither collected nor sent to one task. The checked rows are written once, since
-    both the verdict and the join read them.
+    Adds ``batch_accepted`` and ``batch_size`` to each row. A very large batch is
+    neither collected nor sent to one task: its verdict is folded from runs of
+    arrival numbers. The checked rows are written once, since both the verdict and
+    the join read them.
     """
-    validated = checkpointed(validated)
-    verdict = validated.groupBy("batch_id").agg(
-        F.bool_and(F.size("issues") == 0).alias("batch_accepted"), F.count("*").alias("batch_size")
+    return with_group_values(
+        checkpointed(validated),
+        "batch_id",
+        {"batch_accepted": F.bool_and(F.size("issues") == 0), "batch_size": F.count("*")},
+        {"batch_accepted": F.bool_and, "batch_size": F.sum},
     )
-    return salted_join(validated, verdict, ["batch_id"])
 
 
 def batch_receipt(gated: DataFrame) -> DataFrame:
@@ -57,7 +55,7 @@ def batch_receipt(gated: DataFrame) -> DataFrame:
     The position is a rank within a run of seq values plus the sizes of the runs
     before it, so the ids of a batch are never gathered in one place.
     """
-    accepted = gated.filter("batch_accepted").withColumn("_run", F.floor(F.col("seq") / F.lit(SEQ_RUN)))
+    accepted = gated.filter("batch_accepted").withColumn("_run", seq_run())
     before = Window.partitionBy("batch_id").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     runs = (
         accepted.groupBy("batch_id", "_run")

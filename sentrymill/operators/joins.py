@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import checkpointed
 
@@ -16,6 +17,27 @@ BROADCAST_ROWS = 20_000
 
 SALTS = 16
 
+# Consecutive values of the unique arrival number that may share a join key.
+SEQ_RUN = 1 << 20
+
+
+def seq_run() -> Column:
+    """The run of arrival numbers a row belongs to."""
+    return F.floor(F.col("seq") / F.lit(SEQ_RUN))
+
+
+def with_group_values(rows: DataFrame, key: str, partial: dict[str, Column], total: dict[str, Callable]) -> DataFrame:
+    """Add values of a whole group to each of its rows, whatever the group's size.
+
+    ``partial`` aggregates each run of a group, before the shuffle where possible;
+    ``total`` folds the runs of a group, by the same names. Rows then join on group
+    and run, so no join key has more rows than a run is long.
+    """
+    whole = Window.partitionBy(key)
+    runs = rows.groupBy(key, seq_run().alias("_run")).agg(*[agg.alias(name) for name, agg in partial.items()])
+    values = runs.select(key, "_run", *[fold(F.col(name)).over(whole).alias(name) for name, fold in total.items()])
+    return rows.withColumn("_run", seq_run()).join(values, [key, "_run"]).drop("_run")
+
 
 def salted_join(
     big: DataFrame,

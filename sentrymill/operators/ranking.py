@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .joins import seq_run
+
 # Rows one window partition may hold before the bounded form is used.
 GROUP_ROWS = 2_000_000
 # Time slice of the bounded form: at most this many distinct milliseconds each.
 SLICE_MS = 600_000
-# Rows of one millisecond are cut into runs of this many consecutive seq values.
-SEQ_RUN = 1 << 20
 
 
 def trailing_counts(
@@ -88,13 +88,12 @@ def _curve_counts(rows: DataFrame, group: list[str], lookback: str | None, out:
     with partial sums before the shuffle. The cumulative curve over milliseconds
     is built per time slice plus a prefix over slice totals, and read at each
     occupied millisecond and at that millisecond minus the lookback. Rows then
-    meet the curve on (group, millisecond, run), at most SEQ_RUN rows per key.
+    meet the curve on (group, millisecond, run), at most a run's length of rows per key.
     """
-    run = F.floor(F.col("seq") / F.lit(SEQ_RUN)).alias("_run")
     cell_keys = [*group, "ts_ms", "_run"]
     in_ms = Window.partitionBy(*group, "ts_ms").orderBy("_run").rowsBetween(Window.unboundedPreceding, 0)
     cells = (
-        rows.groupBy(*group, "ts_ms", run)
+        rows.groupBy(*group, "ts_ms", seq_run().alias("_run"))
         .agg(F.count("*").alias("_n"))
         .withColumn("_before", F.sum("_n").over(in_ms) - F.col("_n"))
     )
@@ -143,7 +142,7 @@ def _curve_counts(rows: DataFrame, group: list[str], lookback: str | None, out:
     )
     in_cell = Window.partitionBy(*cell_keys).orderBy("seq")
     return (
-        rows.withColumn("_run", F.floor(F.col("seq") / F.lit(SEQ_RUN)))
+        rows.withColumn("_run", seq_run())
         .withColumn("_rn", F.row_number().over(in_cell))
         .join(curve, cell_keys)
         .withColumn(out, F.col("_base") + F.col("_rn"))

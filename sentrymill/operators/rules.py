@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import iso_millis, uuid_text
 from ..schemas import RULES
 from ..session import checkpointed
-from .joins import salted_join
+from .joins import with_group_values
 
 FIELDS = ("name", "enabled", "severity", "window_seconds", "cooldown_seconds", "condition")
 
@@ -56,10 +56,10 @@ def apply_rule_changes(changes: DataFrame) -> DataFrame:
     before the shuffle and never gathered as a list.
     """
     reason = F.col("reason")
-    deleted = changes.groupBy("rule_id").agg(
-        F.coalesce(F.max(F.when(reason == "delete", F.col("seq"))), F.lit(-1 << 62)).alias("_deleted")
+    last_delete = F.max(F.when(reason == "delete", F.col("seq")))
+    since = with_group_values(changes, "rule_id", {"_deleted": last_delete}, {"_deleted": F.max}).filter(
+        F.col("_deleted").isNull() | (F.col("seq") > F.col("_deleted"))
     )
-    since = salted_join(changes, deleted, ["rule_id"]).filter(F.col("seq") > F.col("_deleted"))
     is_create, is_edit = reason == "create", reason.isin("update", "patch")
 
     # The latest edit that sets a field, as (seq, value); max of a struct compares seq first.

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sentrymill.operators import cooldown, ranking, threshold, zscore
+from sentrymill.operators import cooldown, joins, ranking, threshold, zscore
 from sentrymill.operators.builtin import invalid_payload, rate_spike, timestamp_drift
 from sentrymill.operators.joins import match_filters, prepare_control
 
@@ -31,7 +31,7 @@ PROFILES = [
 @pytest.mark.parametrize("group_rows", [10**6, 0], ids=["one-shuffle", "bounded"])
 def test_threshold_equals_event_by_event(spark, group_rows, monkeypatch):
     monkeypatch.setattr(ranking, "SLICE_MS", 7_000)
-    monkeypatch.setattr(ranking, "SEQ_RUN", 5)
+    monkeypatch.setattr(joins, "SEQ_RUN", 5)
     events = make_events()
     counts, fires = simulate.threshold(events, RULES)
     ev, rules = event_frame(spark, events), rule_frame(spark, RULES)
@@ -48,7 +48,7 @@ def test_threshold_equals_event_by_event(spark, group_rows, monkeypatch):
 @pytest.mark.parametrize("group_rows", [10**6, 0], ids=["one-shuffle", "bounded"])
 def test_zscore_equals_event_by_event(spark, group_rows, monkeypatch):
     monkeypatch.setattr(zscore, "BLOCK_BUCKETS", 8)
-    monkeypatch.setattr(ranking, "SEQ_RUN", 5)
+    monkeypatch.setattr(joins, "SEQ_RUN", 5)
     events = make_events(seed=3)
     ev, profiles = event_frame(spark, events), profile_frame(spark, PROFILES)
     cands = zscore.zscore_candidates(ev, profiles, group_rows)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentrymill.functions.text import anomaly_id, number_text, rate4, round4
-from sentrymill.operators import ingest, listing, metrics, outbox, retention, rules, validate
+from sentrymill.operators import ingest, joins, listing, metrics, outbox, retention, rules, validate
 from sentrymill.schemas import RULES
 from sentrymill.sources import codec, tables
 
@@ -110,7 +110,7 @@ def test_profile_validation(spark):
 
 
 def test_batches_are_all_or_nothing(spark, monkeypatch):
-    monkeypatch.setattr(ingest, "SEQ_RUN", 4)
+    monkeypatch.setattr(joins, "SEQ_RUN", 4)
     bodies = [(i, "big", json.dumps(event(event_id=..., source=f"s{i}"))) for i in range(30)]
     bodies += [(100, "bad", json.dumps(event())), (101, "bad", json.dumps(event(source="")))]
     df = spark.createDataFrame(bodies, "seq bigint, batch_id string, body string").repartition(3)
@@ -230,7 +230,8 @@ def fold(changes):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_rule_changes_equal_one_by_one(spark, seed):
+def test_rule_changes_equal_one_by_one(spark, seed, monkeypatch):
+    monkeypatch.setattr(joins, "SEQ_RUN", 32)
     rnd = random.Random(seed)
     changes = []
     for i in range(400):
