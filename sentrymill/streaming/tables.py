@@ -65,7 +65,10 @@ class Table:
         rows = checkpointed(rows)
         key = list(self.key)
         wanted = rows.select(*key)
-        if wanted.limit(BATCH_KEYS + 1).count() <= BATCH_KEYS:
+        n = wanted.limit(BATCH_KEYS + 1).count()
+        if n == 0:
+            return
+        if n <= BATCH_KEYS:
             wanted = F.broadcast(wanted)
         # The keys of the batch go to the table, not the table to the batch: within
         # the bound the stored keys are scanned in place, without a shuffle.
