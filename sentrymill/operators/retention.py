@@ -30,7 +30,8 @@ def drop_expired_days(spark: SparkSession, path: str, as_of: datetime, days: int
     """Apply retention to a table stored by ``event_date``.
 
     Whole days before the cut are deleted as folders, without reading a row; only
-    the day of the cut is rewritten. Returns the days removed.
+    the day of the cut is rewritten, beside the table and then swapped in. A swap
+    that was cut short is finished first. Returns the days removed.
     """
     if days <= 0:
         return []
@@ -38,19 +39,25 @@ def drop_expired_days(spark: SparkSession, path: str, as_of: datetime, days: int
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    prefix = "event_date="
-    found = sorted(
-        s.getPath().getName()[len(prefix):] for s in fs.listStatus(root) if s.getPath().getName().startswith(prefix)
-    )
-    removed = [d for d in found if d < cut.date().isoformat()]
+
+    def folder(name: str):
+        return jvm.org.apache.hadoop.fs.Path(root, name)
+
+    prefix, staged = "event_date=", "_retained_"
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    for name in names:
+        day = name.removeprefix(staged)
+        if name.startswith(staged) and prefix + day not in names:
+            fs.rename(folder(name), folder(prefix + day))
+            names.append(prefix + day)
+    found = sorted(n.removeprefix(prefix) for n in names if n.startswith(prefix))
     day = cut.date().isoformat()
     if day in found:
-        folder = f"{path}/{prefix}{day}"
-        kept = spark.read.parquet(folder).filter(F.col(time_column) >= F.lit(cut))
-        staged = f"{path}/_retained_{day}"
-        kept.write.mode("overwrite").parquet(staged)
-        fs.delete(jvm.org.apache.hadoop.fs.Path(folder), True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(folder))
+        kept = spark.read.parquet(f"{path}/{prefix}{day}").filter(F.col(time_column) >= F.lit(cut))
+        kept.write.mode("overwrite").parquet(f"{path}/{staged}{day}")
+        fs.delete(folder(prefix + day), True)
+        fs.rename(folder(staged + day), folder(prefix + day))
+    removed = [d for d in found if d < day]
     for d in removed:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{prefix}{d}"), True)
+        fs.delete(folder(prefix + d), True)
     return removed

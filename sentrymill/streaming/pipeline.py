@@ -22,7 +22,7 @@ from ..operators.joins import Control
 from ..schemas import RULES, STREAM_ENTRY
 from ..session import checkpointed, use_utc
 from ..sources.codec import decode_events
-from .tables import Layout
+from .tables import Layout, utc
 
 log = logging.getLogger(__name__)
 
@@ -88,21 +88,21 @@ class Pipeline:
     def handle(self, entries: DataFrame, batch_id: int) -> None:
         """Store, then detect. A failing detector is logged and blocks neither the
         stored events nor the other detector."""
-        self.store(entries, batch_id)
-        fresh = self.layout.events.batch(self.spark, batch_id)
-        span = fresh.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).first()
-        if span.lo is None:
+        span = self.store(entries, batch_id)
+        if span is None:
             return
+        fresh = self.layout.events.read(self.spark, *span).filter(F.col("batch_id") == batch_id)
         for detect in (self.detect_thresholds, self.detect_spikes):
             try:
-                found = detect(fresh, _utc(span.lo), _utc(span.hi), batch_id)
+                found = detect(fresh, *span, batch_id)
                 if found is not None:
                     self.layout.anomalies.append_new(found, batch_id)
             except Exception:
                 log.exception("batch %s: %s failed", batch_id, detect.__name__)
 
-    def store(self, entries: DataFrame, batch_id: int) -> None:
-        """Insert the events of a batch that are new; park entries that are no events."""
+    def store(self, entries: DataFrame, batch_id: int) -> tuple[datetime, datetime] | None:
+        """Insert the events of a batch that are new; park entries that are no events.
+        Returns the time range of its events."""
         decoded = checkpointed(
             decode_events(entries)
             .withColumn("_at", F.try_to_timestamp("timestamp"))
@@ -117,6 +117,8 @@ class Pipeline:
             .select(*self.layout.events.schema.fieldNames())
         )
         self.layout.events.append_new(dedup_events(events), batch_id)
+        seen = events.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).first()
+        return None if seen.lo is None else (utc(seen.lo), utc(seen.hi))
 
     def current_rules(self) -> Control | None:
         """The rules as of now; the previous snapshot when they cannot be read."""
@@ -193,7 +195,3 @@ def notify(spark: SparkSession, layout: Layout, checkpoint: str, config: dict |
         .start()
     )
 
-
-def _utc(local: datetime) -> datetime:
-    """Collected timestamps are naive in the driver's zone."""
-    return local.astimezone()

@@ -14,6 +14,11 @@ from ..session import checkpointed
 BATCH_KEYS = 500_000
 
 
+def utc(local: datetime) -> datetime:
+    """Collected timestamps are naive in the driver's zone."""
+    return local.astimezone()
+
+
 def _stored(schema: T.StructType) -> T.StructType:
     extra = [T.StructField("batch_id", T.LongType()), T.StructField("event_date", T.DateType())]
     return T.StructType([*schema.fields, *extra])
@@ -34,12 +39,17 @@ PARKED = T.StructType([
 
 @dataclass(frozen=True)
 class Table:
-    """A Parquet table by day. ``key`` identifies a row; ``time`` gives its day."""
+    """A Parquet table by day. ``key`` identifies a row; ``time`` gives its day.
+
+    ``fixed_time`` says that rows of one key always have the same time, so that a
+    look for stored keys can keep to the days of the new rows.
+    """
 
     path: str
     schema: T.StructType
     key: tuple[str, ...]
     time: str | None
+    fixed_time: bool = False
 
     def create(self, spark: SparkSession) -> None:
         spark.createDataFrame([], self.schema).write.mode("append").parquet(self.path)
@@ -53,9 +63,6 @@ class Table:
             df = df.filter((F.col("event_date") <= F.to_date(F.lit(until))) & (F.col(self.time) <= F.lit(until)))
         return df
 
-    def batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        return self.read(spark).filter(F.col("batch_id") == batch_id)
-
     def append_new(self, rows: DataFrame, batch_id: int) -> None:
         """Append the rows whose key is not stored yet.
 
@@ -64,15 +71,17 @@ class Table:
         """
         rows = checkpointed(rows)
         key = list(self.key)
-        wanted = rows.select(*key)
-        n = wanted.limit(BATCH_KEYS + 1).count()
-        if n == 0:
+        time = F.col(self.time) if self.time else F.lit(None).cast("timestamp")
+        seen = rows.agg(F.count("*").alias("n"), F.min(time).alias("lo"), F.max(time).alias("hi")).first()
+        if seen.n == 0:
             return
-        if n <= BATCH_KEYS:
-            wanted = F.broadcast(wanted)
         # The keys of the batch go to the table, not the table to the batch: within
         # the bound the stored keys are scanned in place, without a shuffle.
-        present = self.read(rows.sparkSession).select(*key).join(wanted, key, "left_semi").distinct()
+        span = (utc(seen.lo), utc(seen.hi)) if self.fixed_time else ()
+        wanted = rows.select(*key)
+        if seen.n <= BATCH_KEYS:
+            wanted = F.broadcast(wanted)
+        present = self.read(rows.sparkSession, *span).select(*key).join(wanted, key, "left_semi").distinct()
         day = F.to_date(self.time) if self.time else F.current_date()
         (
             rows.join(present, key, "left_anti")
@@ -98,7 +107,7 @@ class Layout:
 
     @property
     def anomalies(self) -> Table:
-        return Table(f"{self.root}/anomalies", ANOMALIES, ("anomaly_id",), "detected_at")
+        return Table(f"{self.root}/anomalies", ANOMALIES, ("anomaly_id",), "detected_at", fixed_time=True)
 
     @property
     def outbox(self) -> Table:

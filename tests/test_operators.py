@@ -1,4 +1,5 @@
 import json
+import os
 import random
 from datetime import timedelta
 
@@ -318,5 +319,10 @@ def test_retention(spark, tmp_path):
     assert removed == ["2024-01-01", "2024-01-02"]
     kept = tables.read_events(spark, path)
     assert kept.count() == 7
+    # a swap cut short after the old folder went is finished by the next run
+    os.rename(f"{path}/event_date=2024-01-05", f"{path}/_retained_2024-01-05")
+    assert tables.read_events(spark, path).count() == 5
+    assert retention.drop_expired_days(spark, path, as_of - timedelta(hours=18), 3) == []
+    assert tables.read_events(spark, path).count() == 7
     day3 = tables.read_events(spark, path, T0 + timedelta(days=2), T0 + timedelta(days=3, hours=2))
     assert sorted(r.event_id for r in day3.collect()) == ["e5", "e6"]
