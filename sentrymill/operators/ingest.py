@@ -55,6 +55,7 @@ def batch_receipt(gated: DataFrame) -> DataFrame:
     The position is a rank within a run of seq values plus the sizes of the runs
     before it, so the ids of a batch are never gathered in one place.
     """
+    gated = checkpointed(gated.select("batch_id", "seq", "event_id", "issues", "batch_accepted", "batch_size"))
     accepted = gated.filter("batch_accepted").withColumn("_run", seq_run())
     before = Window.partitionBy("batch_id").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     runs = (
