@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_files
+from . import simhash_vp, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_vp.near_duplicate_components(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_files,)}
+    return {f.__name__: f for f in (op1_token_files, op4_simhash_vp)}
 

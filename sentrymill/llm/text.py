@@ -64,14 +64,23 @@ class Words:
 
     ``data``: mapped bytes; ``start``, ``end``: byte ranges of the words in it;
     ``first``: index of the first word of each text, with the total at the end.
+    ``collapse`` makes one space of each run of separators, so that ``data`` from the start
+    of a word to the end of a later one has the words between them joined by one space.
     """
 
-    def __init__(self, column: pa.Array, table: bytes, separators: bytes = b"\x20"):
+    def __init__(self, column: pa.Array, table: bytes, separators: bytes = b"\x20", collapse: bool = False):
         body, ends = flat(column)
         self.data = np.frombuffer(table, np.uint8)[body]
         apart = np.zeros(256, bool)
         apart[list(separators)] = True
         inside = ~apart[self.data]
+        if collapse:
+            kept = inside.copy()
+            kept[1:] |= inside[:-1]
+            kept[ends[:-1][ends[:-1] < len(kept)]] = True
+            self.data = np.where(inside, self.data, np.uint8(0x20))[kept]
+            ends = np.concatenate(([0], np.cumsum(kept)))[ends]
+            inside = inside[kept]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         cuts = ends[1:-1]
