@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_vp, token_files
+from . import simhash_vp, spaced_seeds, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,10 +22,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.benchmark_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.near_duplicate_components(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_files, op4_simhash_vp)}
+    return {f.__name__: f for f in (op1_token_files, op3_spaced_seeds, op4_simhash_vp)}
 
