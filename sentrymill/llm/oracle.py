@@ -3,5 +3,24 @@
 from __future__ import annotations
 
 
+POISSON = """
+WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (
+    SELECT source, (SELECT sum(n) FROM n) / (SELECT sum(sqrt(n)) FROM n) * sqrt(n) / n AS rate FROM n),
+cdf AS (
+    SELECT source, rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
+    FROM rates, range(0, 200) AS r(k)),
+drawn AS (
+    SELECT doc_id, source, ('0x' || substr(md5('20240131:' || doc_id || ':0'), 1, 13))::BIGINT / pow(2, 52) AS u
+    FROM documents),
+counted AS (
+    SELECT doc_id, d.source, any_value(rate) AS rate, count(*) AS n_copies
+    FROM drawn d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source AND c <= u GROUP BY doc_id, d.source)
+SELECT doc_id, source, round(rate, 9) AS rate, n_copies::INTEGER AS n_copies, copy::INTEGER AS copy,
+    substr(md5('20240132:' || doc_id || ':' || copy), 1, 16) AS shuffle_key
+FROM (SELECT *, unnest(range(0, n_copies)) AS copy FROM counted)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_poisson_mix": POISSON}

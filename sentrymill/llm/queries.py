@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import simhash_vp, spaced_seeds, token_files
+from . import poisson_mix, simhash_vp, spaced_seeds, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,11 @@ def op4_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.near_duplicate_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poisson_mix.replicated(_table(spark, sf_dir, "documents")).select(
+        "doc.doc_id", "doc.source", F.round("rate", 9).alias("rate"), "n_copies", "copy", "shuffle_key")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_files, op3_spaced_seeds, op4_simhash_vp)}
+    return {f.__name__: f for f in (op1_token_files, op3_spaced_seeds, op4_simhash_vp, op8_poisson_mix)}
 
