@@ -30,6 +30,11 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(_digits(seed, *parts), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
+def shuffle_key(id_col: Column, copy: Column, seed: int = SEED) -> Column:
+    """Where a copy stands in the global order: 16 hex digits."""
+    return F.substring(_digits(seed + 1, id_col, copy), 1, 16)
+
+
 def source_rates(docs: DataFrame, source_col: str = "source", weights: dict | None = None, rows: float | None = None) -> DataFrame:
     """(source, n, rate, draws, cdf) of each source.
 
@@ -97,7 +102,7 @@ def replicated(
     out = (
         joined.withColumn("n_copies", repetitions(seed, id_, F.col("draws"), F.col("cdf"))).where("n_copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-        .withColumn("shuffle_key", F.substring(_digits(seed + 1, id_, F.col("copy")), 1, 16))
+        .withColumn("shuffle_key", shuffle_key(id_, F.col("copy"), seed))
         .select("doc", "rate", "n_copies", "copy", "shuffle_key")
     )
     return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import poisson_mix, simhash_vp, spaced_seeds, token_files
+from . import line_crf, poisson_mix, simhash_vp, spaced_seeds, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,11 @@ def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc.doc_id", "doc.source", F.round("rate", 9).alias("rate"), "n_copies", "copy", "shuffle_key")
 
 
+def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return line_crf.scored(docs, line_crf.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_files, op3_spaced_seeds, op4_simhash_vp, op8_poisson_mix)}
+    return {f.__name__: f for f in (op1_token_files, op3_spaced_seeds, op4_simhash_vp, op8_poisson_mix, op9_line_crf)}
 

@@ -19,6 +19,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ WIDTHS = (8, 8, 16)
 # A file is closed after the documents that bring it to so many tokens.
 SHARD_TOKENS = 1 << 22
 # Distinct words whose ids a task remembers at a time.
-REMEMBERED_WORDS = 1 << 20
+REMEMBERED_WORDS = 1 << 19
 
 MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long"
 
@@ -166,56 +167,85 @@ class WordEncoder:
     """Ids of texts, by encoding each distinct word of a stretch of texts once.
 
     Exact for tokenizers that never join characters across ASCII white space, such as those
-    that split on it before they apply merges. ``whole_texts`` encodes text by text instead.
+    that split on it before they apply merges; ``whole_texts`` encodes text by text instead.
+    Where the tokenizer lower-cases, and splits letters from the punctuation after them, words
+    that differ in these alone share the work.
     """
 
+    TAILS = ".,;:!?#$%&*"
+
     def __init__(self, tokenizer_path: str, end_id: int | None, whole_texts: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer = t = Tokenizer.from_file(tokenizer_path)
         self.end = [] if end_id is None else [end_id]
         self.whole_texts = whole_texts
+        upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        self.lowers = t.normalizer is not None and t.normalizer.normalize_str(upper) == upper.lower()
+        self.splits = t.pre_tokenizer is not None and all(
+            [w for w, _ in t.pre_tokenizer.pre_tokenize_str(f"ab{c}{d}")] == ["ab", f"{c}{d}"]
+            for c in self.TAILS for d in self.TAILS)
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.parts: dict[str, list[int]] = {"": []}
         self.ids = np.array(self.end, np.uint32)
         self.at = np.array([0, len(self.end)], np.int64)
 
+    def _encode_parts(self, parts: list[str]) -> None:
+        """Words of letters alone are encoded many in a row, if each is one piece to the tokenizer."""
+        alone = [p for p in parts if not p.isalpha()]
+        joined = [p for p in parts if p.isalpha()]
+        groups = [joined[k:k + 500] for k in range(0, len(joined), 500)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            piece = np.array(e.word_ids, float)
+            first = np.flatnonzero(np.diff(piece, prepend=-1))
+            if len(first) == len(group):
+                ids = e.ids
+                self.parts.update((w, ids[a:b]) for w, a, b in zip(group, first.tolist(), [*first[1:].tolist(), len(ids)]))
+            else:
+                alone += group
+        for k in range(0, len(alone), 20_000):
+            part = alone[k:k + 20_000]
+            self.parts.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+
     def _learn(self, fresh: list[bytes]) -> None:
         if len(self.known) + len(fresh) > REMEMBERED_WORDS:
             self._forget()
-        ids, lengths = [self.ids], []
-        for k in range(0, len(fresh), 20_000):
-            part = [w.decode() for w in fresh[k:k + 20_000]]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            lengths += map(len, found)
-            ids.append(np.fromiter((i for x in found for i in x), np.uint32))
+        pairs = []
+        for word in fresh:
+            w = (word.lower() if self.lowers else word).decode()
+            head = w.rstrip(self.TAILS) if self.splits else w
+            pairs.append((head, w[len(head):]) if head and head[-1].isalpha() else (w, ""))
+        self._encode_parts([p for p in {p for pair in pairs for p in pair} if p not in self.parts])
+        found = [self.parts[head] + self.parts[tail] for head, tail in pairs]
         first = len(self.at) - 1
         self.known.update(zip(fresh, range(first, first + len(fresh))))
-        self.ids = np.concatenate(ids)
-        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(lengths, dtype=np.int64)))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.uint32)))
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(list(map(len, found)), dtype=np.int64)))
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has; the end id closes each text."""
         if self.whole_texts:
             found = [e.ids + self.end for e in self.tokenizer.encode_batch_fast(
                 [t.decode() for t in texts], add_special_tokens=False)]
-            return np.fromiter((i for x in found for i in x), np.uint32), np.array(list(map(len, found)), np.int64)
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.array(list(map(len, found)), np.int64)
         words = [t.split() for t in texts]  # bytes.split() splits on ASCII white space alone
-        seen = set().union(*words)
+        seen = set(chain.from_iterable(words))
         fresh = seen.difference(self.known)
         if len(self.known) + len(fresh) > REMEMBERED_WORDS:
             fresh = seen
         if fresh:
             self._learn(list(fresh))
-        known = self.known
-        which = np.fromiter((i for w in words for i in (*map(known.__getitem__, w), 0)), np.int64)
+        last = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64)
+        which = np.insert(which, last, 0)
         lengths = self.at[which + 1] - self.at[which]
         ids = self.ids[np.repeat(self.at[which], lengths) + runs(lengths)]
-        last = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        through = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], last))]
+        ends = last + np.arange(1, len(last) + 1)
+        through = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], ends))]
         return ids, np.diff(through)
 
 
