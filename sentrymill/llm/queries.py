@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_crf, poisson_mix, simhash_vp, spaced_seeds, token_files
+from . import line_crf, poisson_mix, quality_rules, simhash_vp, spaced_seeds, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,11 @@ def op4_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.near_duplicate_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules.judged(docs, quality_rules.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.replicated(_table(spark, sf_dir, "documents")).select(
         "doc.doc_id", "doc.source", F.round("rate", 9).alias("rate"), "n_copies", "copy", "shuffle_key")
@@ -41,5 +46,5 @@ def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_files, op3_spaced_seeds, op4_simhash_vp, op8_poisson_mix, op9_line_crf)}
+    return {f.__name__: f for f in (op1_token_files, op3_spaced_seeds, op4_simhash_vp, op6_quality_rules, op8_poisson_mix, op9_line_crf)}
 

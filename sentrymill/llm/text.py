@@ -94,6 +94,7 @@ class Words:
         self.end = np.flatnonzero(stops)
         self.first = np.searchsorted(self.start, ends)
         self.ends = ends
+        self._hashes = None
 
     def __len__(self) -> int:
         return len(self.start)
@@ -109,11 +110,18 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        power, inverse = _powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * inverse[self.start])
+        if self._hashes is None:
+            self._hashes = span_hashes(self.data, self.start, self.end)
+        return self._hashes
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: a polynomial in an odd number modulo 2**64, mixed."""
+    n = len(data)
+    power, inverse = _powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inverse[start])
 
 
 _TABLES: dict[str, np.ndarray] = {}
