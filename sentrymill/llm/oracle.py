@@ -21,6 +21,39 @@ SELECT doc_id, source, round(rate, 9) AS rate, n_copies::INTEGER AS n_copies, co
 FROM (SELECT *, unnest(range(0, n_copies)) AS copy FROM counted)
 """
 
+# Words joined by single spaces; templates as patterns over them.
+LICENSES = r"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+p AS (
+    SELECT doc_id, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS line,
+        list_filter(range(len(w)), lambda i: w[i + 1] = 'mit' AND w[i + 2] = 'license') AS mit,
+        list_filter(range(len(w)), lambda i: w[i + 1] = 'apache' AND w[i + 2] = 'license') AS apache,
+        list_filter(range(len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS gpl
+    FROM w),
+l AS (
+    SELECT doc_id, n_words, list_concat(list_concat(mit, apache), gpl) AS places,
+        list_filter([
+            CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END,
+            CASE WHEN len(mit) > 0 THEN 'mit' END], lambda x: x IS NOT NULL) AS base,
+        list_filter([
+            CASE WHEN regexp_matches(line, ' licensed under the (terms of the )?apache license (version )?2 0 ') THEN 'apache-2.0-notice' END,
+            CASE WHEN regexp_matches(line, ' redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met ') THEN 'bsd-conditions' END,
+            CASE WHEN regexp_matches(line, ' licensed under (the )?cc by nc [0-9]+ ') THEN 'cc-by-nc-notice' END,
+            CASE WHEN regexp_matches(line, ' licensed under the (terms of the )?gnu general public license ') THEN 'gpl-notice' END,
+            CASE WHEN regexp_matches(line, ' (released|licensed|distributed|available) under the (terms of the )?mit license ') THEN 'mit-notice' END,
+            CASE WHEN regexp_matches(line, ' permission is hereby granted free of charge to any person obtaining a copy of this ([^ ]+ ){1,3}(and associated documentation files )?(the [^ ]+ )?to deal in the [^ ]+ without restriction ') THEN 'mit-permission' END
+        ], lambda x: x IS NOT NULL) AS more
+    FROM p)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+    array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_concat(base, more)), ',') AS labels,
+    CASE WHEN len(more) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM l
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_poisson_mix": POISSON}
+    return {"op2_license_templates": LICENSES, "op8_poisson_mix": POISSON}

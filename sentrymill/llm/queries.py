@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_crf, poisson_mix, quality_rules, simhash_vp, spaced_seeds, token_files
+from . import licenses, line_crf, poisson_mix, quality_rules, simhash_vp, spaced_seeds, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.benchmark_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -46,5 +50,5 @@ def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_files, op3_spaced_seeds, op4_simhash_vp, op6_quality_rules, op8_poisson_mix, op9_line_crf)}
+    return {f.__name__: f for f in (op1_token_files, op2_license_templates, op3_spaced_seeds, op4_simhash_vp, op6_quality_rules, op8_poisson_mix, op9_line_crf)}
 
