@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, line_crf, poisson_mix, quality_rules, simhash_vp, spaced_seeds, token_files
+from . import licenses, line_crf, pii_crf, poisson_mix, quality_rules, simhash_vp, spaced_seeds, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs, quality_rules.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii_crf.personal_data(docs, pii_crf.fit(docs))
+
+
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.replicated(_table(spark, sf_dir, "documents")).select(
         "doc.doc_id", "doc.source", F.round("rate", 9).alias("rate"), "n_copies", "copy", "shuffle_key")
@@ -50,5 +55,5 @@ def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_files, op2_license_templates, op3_spaced_seeds, op4_simhash_vp, op6_quality_rules, op8_poisson_mix, op9_line_crf)}
+    return {f.__name__: f for f in (op1_token_files, op2_license_templates, op3_spaced_seeds, op4_simhash_vp, op6_quality_rules, op7_pii_crf, op8_poisson_mix, op9_line_crf)}
 
