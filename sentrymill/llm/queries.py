@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, line_crf, pii_crf, poisson_mix, quality_rules, simhash_vp, spaced_seeds, token_files
+from . import fuzzy_lines, licenses, line_crf, pii_crf, poisson_mix, quality_rules, simhash_vp, spaced_seeds, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op4_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.near_duplicate_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.fuzzy_line_groups(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_rules.judged(docs, quality_rules.fit(docs, _table(spark, sf_dir, "labels")))
@@ -55,5 +59,5 @@ def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_files, op2_license_templates, op3_spaced_seeds, op4_simhash_vp, op6_quality_rules, op7_pii_crf, op8_poisson_mix, op9_line_crf)}
+    return {f.__name__: f for f in (op1_token_files, op2_license_templates, op3_spaced_seeds, op4_simhash_vp, op5_fuzzy_lines, op6_quality_rules, op7_pii_crf, op8_poisson_mix, op9_line_crf)}
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .components import Forest, connected_components
-from .text import LOWER_TABLE, SPACES, Words, mix, runs, steps, written
+from .text import LOWER_TABLE, SPACES, Words, mix, new_name, runs, steps, written
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 2
@@ -200,7 +200,7 @@ def drop_near_duplicates(
 
     Rows equal in id are told apart by their place, so one of repeated rows stays.
     """
-    f, place = (_new_name(docs, x) for x in ("fingerprint", "place"))
+    f, place = (new_name(docs, x) for x in ("fingerprint", "place"))
     rows = written(
         with_fingerprint(docs, text_col, f, shingle).withColumn(place, F.monotonically_increasing_id()), "simhash-docs")
     item = F.struct(F.col("id").isNull().alias("none"), "id", "place")
@@ -212,8 +212,3 @@ def drop_near_duplicates(
     )
     return rows.join(kept, place, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
-
-def _new_name(df: DataFrame, name: str) -> str:
-    while name.lower() in {c.lower() for c in df.columns}:
-        name = f"_{name}"
-    return name

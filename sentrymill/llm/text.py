@@ -118,7 +118,7 @@ class Words:
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span: a polynomial in an odd number modulo 2**64, mixed."""
     n = len(data)
-    power, inverse = _powers(n + 1)
+    power, inverse = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
     return mix((sums[end] - sums[start]) * inverse[start])
@@ -127,7 +127,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 _TABLES: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd multiplier and of its inverse, modulo 2**64."""
     for name, factor in (("up", _MULTIPLIER), ("down", pow(_MULTIPLIER, -1, 1 << 64))):
         if len(_TABLES.get(name, ())) < n:
@@ -187,3 +187,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def new_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it where ``df`` has a column of that name."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
