@@ -89,6 +89,16 @@ class Lines:
         self.size[slot] = size
 
 
+    @classmethod
+    def of(cls, texts: pa.Array) -> Lines:
+        """As the constructor, with a step's memory at a time."""
+        parts = [cls(b.column("text")) for b in steps([pa.RecordBatch.from_arrays([texts], ["text"])], "text")]
+        whole = parts[0] if parts else cls(texts)
+        for name in ("x", "size", "count"):
+            setattr(whole, name, np.concatenate([getattr(p, name) for p in parts or [whole]]))
+        return whole
+
+
 class Chains:
     """Forward-backward over many chains of two labels, position by position for all at once."""
 
@@ -144,7 +154,7 @@ class LineCrf:
     @classmethod
     def fit(cls, texts: pa.Array, labels: np.ndarray) -> LineCrf:
         """Maximum likelihood of the line labels, each document counting once, with weight decay."""
-        lines = Lines(texts)
+        lines = Lines.of(texts)
         model = cls(lines.x.shape[1])
         if len(set(labels.tolist())) < 2:
             return model

@@ -124,7 +124,14 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * inverse[start])
 
 
-_TABLES: dict[str, np.ndarray] = {}
+class _Tables(dict):
+    """Filled where it is used: what is sent to other processes is empty."""
+
+    def __reduce__(self):
+        return (_Tables, ())
+
+
+_TABLES = _Tables()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
