@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame, functions as F
 from .text import LOWER_TABLE, SPACES, Words, remainder, steps, written
 
 HELD_OUT = (7, 2)
-UNITS = 24
-CLASSES, CLASS_WORDS = 32, 32
+UNITS = 16
+CLASSES, CLASS_WORDS = 16, 32
 SHAPES = 16
 # Words whose counts every task holds, at most; the counts of the others are joined.
 HEAD_WORDS = 1 << 19
 TRAIN_ROUNDS = 3
-RATE = 0.08
-WINDOW, TRAIN_LANES, SCORE_WINDOW, SCORE_LANES = 16, 128, 32, 512
+RATE = 0.01
+WINDOW, TRAIN_LANES, SCORE_WINDOW, SCORE_LANES = 16, 256, 32, 512
 # Words that a task counts, trains on or scores at a time (one longer document is alone).
 CHUNK_WORDS = 4 << 20
 END = np.uint64(0x656E64206F662074)  # stands for the end of a document
@@ -114,6 +114,17 @@ class Lanes:
         size = count[docs] if docs else np.zeros(0, np.int64)
         self.order = np.repeat(first[docs], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
 
+    @classmethod
+    def even(cls, n: int, lanes: int) -> Lanes:
+        """Lanes of equal length over ``n`` tokens in a row; a document may go on in the next lane."""
+        out = cls.__new__(cls)
+        lanes = max(1, min(lanes, n // WINDOW))
+        edges = np.linspace(0, n, lanes + 1).astype(np.int64)
+        size = np.diff(edges)
+        longest = np.argsort(-size, kind="stable")
+        out.length, out.start, out.order = size[longest], edges[:-1][longest], np.arange(n)
+        return out
+
     def windows(self, steps_: int) -> Iterator[list[np.ndarray]]:
         """Lists of steps; each step has the token places of the lanes that still read."""
         longest = int(self.length[0]) if len(self.length) else 0
@@ -216,10 +227,13 @@ class Gru:
             out[p] = self.log_probability(np.concatenate(h), code[p])
         return out
 
-    def train(self, code: np.ndarray, count: np.ndarray, squares: list[np.ndarray]) -> None:
-        """One pass over the documents, a step after each window (Adagrad; ``squares`` is its memory)."""
-        lanes = Lanes(count, TRAIN_LANES)
+    def train(self, code: np.ndarray, count: np.ndarray, memory: dict) -> None:
+        """One pass over the documents, an Adam step after each window; ``memory`` goes on from call to call."""
+        m = memory.setdefault("m", [np.zeros_like(w) for w in self.weights])
+        v = memory.setdefault("v", [np.zeros_like(w) for w in self.weights])
+        lanes = Lanes.even(len(code), TRAIN_LANES)
         inputs, starts = _inputs(code, count)
+        inputs[lanes.start], starts[lanes.start] = CLASSES * CLASS_WORDS + SHAPES, True
         state = np.zeros((len(lanes.length), UNITS), np.float32)
         for window in lanes.windows(WINDOW):
             kept: list = []
@@ -228,10 +242,13 @@ class Gru:
             p = np.concatenate(window)
             _, dh = self.log_probability(np.concatenate(h), code[p], grads)
             self._back(kept, np.split(dh, np.cumsum([len(x) for x in h])[:-1]), grads)
-            for w, g, s in zip(self.weights, grads, squares):
-                g /= len(p)
-                s += g * g
-                w += RATE * g / (np.sqrt(s) + 1e-6)
+            k = memory["k"] = memory.get("k", 0) + 1
+            rate = np.float32(RATE * np.sqrt(1 - 0.99**k) / (1 - 0.9**k))
+            for w, g, m_, v_ in zip(self.weights, grads, m, v):
+                g *= np.float32(1 / len(p))
+                m_ += np.float32(0.1) * (g - m_)
+                v_ += np.float32(0.01) * (g * g - v_)
+                w += rate * m_ / (np.sqrt(v_) + np.float32(1e-5))
 
     def _back(self, kept: list, dhs: list[np.ndarray], grads: list[np.ndarray]) -> None:
         u = self.weights[1]
@@ -355,9 +372,9 @@ def train(rows: DataFrame, vocabulary: Vocabulary) -> Gru:
 
         def work(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             own = Gru(unpack(np.frombuffer(start.value, np.float32)))
-            squares, n = [np.full(s, 1e-4, np.float32) for s in shapes], 0
+            memory, n = {}, 0
             for _, t in _chunks(batches):
-                own.train(codes(t, known.value)[0], t.count, squares)
+                own.train(codes(t, known.value)[0], t.count, memory)
                 n += len(t.hash)
             if n:
                 yield pa.RecordBatch.from_pydict({"n": [n], "weights": pa.array([pack(own.weights)], pa.binary())})

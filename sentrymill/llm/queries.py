@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fuzzy_lines, licenses, line_crf, pii_crf, poisson_mix, quality_rules, simhash_vp, spaced_seeds, token_files
+from . import fuzzy_lines, gru_lm, licenses, line_crf, pii_crf, poisson_mix, quality_rules, simhash_vp, spaced_seeds, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,10 @@ def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.scored(docs, line_crf.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op10_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.scored(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_files, op2_license_templates, op3_spaced_seeds, op4_simhash_vp, op5_fuzzy_lines, op6_quality_rules, op7_pii_crf, op8_poisson_mix, op9_line_crf)}
+    return {f.__name__: f for f in (op1_token_files, op2_license_templates, op3_spaced_seeds, op4_simhash_vp, op5_fuzzy_lines, op6_quality_rules, op7_pii_crf, op8_poisson_mix, op9_line_crf, op10_gru_lm)}
 
