@@ -107,7 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("id"))
-    target = ngram_counts(rows.join(good, "id", "left_semi"))
+    # labels grow with the documents, so their join is planned as one of two large tables
+    target = ngram_counts(rows.join(good.hint("merge"), "id", "left_semi"))
     return log_ratios(target, ngram_counts(rows)) if target.any() else np.zeros(BUCKETS)
 
 
