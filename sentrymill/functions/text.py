@@ -6,15 +6,44 @@ from pyspark.sql import Column, functions as F
 
 
 def number_text(x: Column) -> Column:
-    """Text of a double the way a JSON writer prints it: 2, 0.5, 0.0005, 1e+21."""
-    digits = x.cast("double").cast("string")
+    """Text of a double the way a JSON writer prints it: 2, 0.5, 0.0005, 1e+21.
+
+    The fewest digits that read back as the same double, for every finite one. They are taken
+    from the cast to text, which has at times a digit or two more than needed; so the value with one
+    digit less, and again, is kept where it reads back.
+    """
     size = F.abs(x.cast("double"))
-    scientific = F.regexp_replace(F.regexp_replace(digits, r"\.0E", "E"), r"E(\d)", "e+$1")
-    return (
-        F.when((size >= 1e21) | ((size > 0) & (size < 1e-6)), F.lower(scientific))
-        .when(size == F.floor(size), digits.try_cast("decimal(38,0)").cast("string"))
-        .otherwise(F.rtrim(digits.try_cast("decimal(38,18)").cast("string"), F.lit("0")))
-    )
+    text = size.cast("string")
+    mantissa, tens = F.substring_index(text, "E", 1), F.when(text.contains("E"), F.substring_index(text, "E", -1)).otherwise("0").cast("int")
+    whole, part = F.substring_index(mantissa, ".", 1), F.regexp_replace(F.substring_index(mantissa, ".", -1), "^0$", "")
+    parsed = F.struct(F.concat(whole, part).try_cast("bigint").alias("n"), (tens - F.length(part)).alias("e"))
+
+    def shorter(p: Column) -> Column:
+        down = ((p["n"] - p["n"] % 10).cast("decimal(20,0)") / F.lit(10).cast("decimal(2,0)")).cast("bigint")
+        near, far = F.when(p["n"] % 10 > 5, down + 1).otherwise(down), F.when(p["n"] % 10 > 5, down).otherwise(down + 1)
+        out = p
+        for n in (far, near):
+            same = F.concat(n.cast("string"), F.lit("E"), (p["e"] + 1).cast("string")).try_cast("double") == size
+            out = F.when(same, F.struct(n.alias("n"), (p["e"] + 1).alias("e"))).otherwise(out)
+        return out
+
+    def formatted(p: Column) -> Column:
+        digits = F.regexp_replace(p["n"].cast("string"), "(?<=[0-9])0+$", "")
+        point = F.length(p["n"].cast("string")) + p["e"]  # digits before the point
+        n = F.length(digits)
+        rest = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, 2, 40))).otherwise(F.lit(""))
+        power = F.concat(
+            F.substring(digits, 1, 1), rest, F.lit("e"), F.when(point > 0, "+").otherwise("-"), F.abs(point - 1).cast("string"))
+        return (
+            F.when(p["n"] == 0, F.lit("0"))
+            .when((point > 21) | (point < -5), power)
+            .when(point >= n, F.rpad(digits, point, "0"))
+            .when(point > 0, F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
+            .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        )
+
+    chosen = F.transform(F.transform(F.transform(F.array(parsed), shorter), shorter), formatted)[0]
+    return F.when(x < 0, F.concat(F.lit("-"), chosen)).otherwise(chosen)
 
 
 def iso_millis(ts: Column) -> Column:

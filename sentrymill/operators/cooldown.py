@@ -44,32 +44,28 @@ def apply_cooldown(
     cands: DataFrame,
     key: str,
     payload: list[str],
-    last_fire: DataFrame | None = None,
-    unset_last_fire_ms: int | None = None,
+    earlier: DataFrame | None = None,
+    first_fire_ms: int | None = None,
     direct_rows: int = DIRECT_ROWS,
     fan_in: int = FAN_IN,
 ) -> DataFrame:
     """Candidates that fire. ``cands`` has ``key, cooldown_ms, ts_ms, seq`` and the
     payload columns.
 
-    ``last_fire`` optionally gives ``key, last_fire_ms`` (one row per key) from
-    before this input; ``unset_last_fire_ms`` stands in for keys without one, None
-    meaning that they may fire at once.
+    ``earlier`` optionally gives ``key, fire_ms`` of fires decided before this input. A
+    candidate less than the cooldown after one of them can't fire; one before it can. Since
+    what is left between two of them is past the wait of the first, the chain over the rest is
+    the chain that takes them in. ``first_fire_ms`` is a fire that every key had.
     """
     firsts = checkpointed(first_candidates(cands, key, payload))
     free = firsts.filter(F.col("cooldown_ms") <= 0)
     held = firsts.filter(F.col("cooldown_ms") > 0)
 
     times = held.select(key, "cooldown_ms", "ts_ms")
-    if last_fire is not None:
-        times = salted_join(times, last_fire, [key], salt_by="ts_ms", how="left")
-        since = F.coalesce("last_fire_ms", F.lit(unset_last_fire_ms))
-    else:
-        since = F.lit(unset_last_fire_ms)
-    # Candidates still inside the wait of an earlier fire can be dropped up front.
-    times = times.filter(since.isNull() | (F.col("ts_ms") - since >= F.col("cooldown_ms"))).select(
-        key, "cooldown_ms", "ts_ms"
-    )
+    if first_fire_ms is not None:
+        times = times.filter(F.col("ts_ms") - first_fire_ms >= F.col("cooldown_ms"))
+    if earlier is not None:
+        times = _not_held(times, earlier, key)
 
     busiest = held.groupBy(key).count().agg(F.max("count")).first()[0]
     if busiest is None:
@@ -81,14 +77,38 @@ def apply_cooldown(
     return free.unionByName(held.join(fires, [key, "ts_ms"]).select(*firsts.columns))
 
 
+def _not_held(times: DataFrame, earlier: DataFrame, key: str) -> DataFrame:
+    """Times that no earlier fire of their key holds back: they meet in slices one cooldown wide."""
+    width = times.groupBy(key).agg(F.max("cooldown_ms").alias("_width"))
+    slice_ = F.floor(F.col("fire_ms") / F.col("_width"))
+    fires = (
+        earlier.select(F.col(key).alias("_key"), "fire_ms").join(width, F.col("_key") == F.col(key))
+        .select("_key", "fire_ms", F.explode(F.array(slice_, slice_ + 1)).alias("_slice")).distinct()
+    )
+    waited = F.col("ts_ms") - F.col("fire_ms")
+    holds = (
+        (F.col(key) == F.col("_key")) & (F.floor(F.col("ts_ms") / F.col("cooldown_ms")) == F.col("_slice"))
+        & (waited >= 0) & (waited < F.col("cooldown_ms"))
+    )
+    return times.join(fires, holds, "left_anti")
+
+
 def walk(times: np.ndarray, cooldown: int, not_before: int = _NEVER) -> np.ndarray:
-    """Fire times among sorted distinct candidate times."""
-    fired = []
-    i = int(np.searchsorted(times, not_before))
-    while i < len(times):
-        fired.append(times[i])
-        i = int(np.searchsorted(times, times[i] + cooldown))
-    return np.asarray(fired, dtype="int64")
+    """Fire times among sorted distinct candidate times: from the known fires, those twice as
+    many steps on, until all are past the end."""
+    start = int(np.searchsorted(times, not_before))
+    if start >= len(times):
+        return np.zeros(0, dtype="int64")
+    n = len(times)
+    step = np.append(np.searchsorted(times, times + cooldown), n)
+    fired = np.array([start])
+    while True:
+        further = step[fired]
+        further = further[further < n]
+        if not len(further):
+            return times[fired].astype("int64")
+        fired = np.concatenate((fired, further))
+        step = step[step]
 
 
 def _direct(times: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import uuid_text
 from ..session import checkpointed
-from .joins import seq_run, with_group_values
+from .joins import join_same, seq_run, with_group_values
 
 
 def assign_event_id(events: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def batch_receipt(gated: DataFrame) -> DataFrame:
     in_run = Window.partitionBy("batch_id", "_run").orderBy("seq")
     listed = (
         accepted.withColumn("_rn", F.row_number().over(in_run))
-        .join(runs, ["batch_id", "_run"])
+        .transform(lambda rows: join_same(rows, runs, ["batch_id", "_run"]))
         .select(
             "batch_id",
             F.lit("accepted").alias("status"),

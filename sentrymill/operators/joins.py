@@ -22,8 +22,15 @@ SEQ_RUN = 1 << 20
 
 
 def seq_run() -> Column:
-    """The run of arrival numbers a row belongs to."""
-    return F.floor(F.col("seq") / F.lit(SEQ_RUN))
+    """The run of arrival numbers a row belongs to; rows without one are a run of their own."""
+    return F.coalesce(F.floor(F.col("seq") / F.lit(SEQ_RUN)), F.lit(-(1 << 62)))
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys come from ``left``."""
+    renamed = right.select(*[F.col(c).alias(f"_same_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in keys])
+    return left.join(renamed, on, how).drop(*[f"_same_{c}" for c in keys])
 
 
 def with_group_values(rows: DataFrame, key: str, partial: dict[str, Column], total: dict[str, Callable]) -> DataFrame:
@@ -36,7 +43,7 @@ def with_group_values(rows: DataFrame, key: str, partial: dict[str, Column], tot
     whole = Window.partitionBy(key)
     runs = rows.groupBy(key, seq_run().alias("_run")).agg(*[agg.alias(name) for name, agg in partial.items()])
     values = runs.select(key, "_run", *[fold(F.col(name)).over(whole).alias(name) for name, fold in total.items()])
-    return rows.withColumn("_run", seq_run()).join(values, [key, "_run"]).drop("_run")
+    return join_same(rows.withColumn("_run", seq_run()), values, [key, "_run"]).drop("_run")
 
 
 def salted_join(

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .joins import seq_run
+from .joins import join_same, seq_run
 
 # Rows one window partition may hold before the bounded form is used.
 GROUP_ROWS = 2_000_000
@@ -129,22 +129,22 @@ def _curve_counts(rows: DataFrame, group: list[str], lookback: str | None, out:
         .drop("_total")
     )
     base = (
-        marks.withColumn(
-            "_inside",
-            F.sum("_n").over(in_slice.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"),
+        join_same(
+            marks.withColumn(
+                "_inside",
+                F.sum("_n").over(in_slice.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"),
+            ),
+            prefix, [*group, "_slice"],
         )
-        .join(prefix, [*group, "_slice"])
         .groupBy(*group, F.col("_ms").alias("ts_ms"))
         .agg(F.sum(F.col("_sign") * (F.col("_prefix") + F.col("_inside"))).alias("_base"))
     )
-    curve = cells.join(base, [*group, "ts_ms"]).select(
+    curve = join_same(cells, base, [*group, "ts_ms"]).select(
         *cell_keys, (F.col("_base") + F.col("_before")).alias("_base")
     )
     in_cell = Window.partitionBy(*cell_keys).orderBy("seq")
     return (
-        rows.withColumn("_run", seq_run())
-        .withColumn("_rn", F.row_number().over(in_cell))
-        .join(curve, cell_keys)
+        join_same(rows.withColumn("_run", seq_run()).withColumn("_rn", F.row_number().over(in_cell)), curve, cell_keys)
         .withColumn(out, F.col("_base") + F.col("_rn"))
         .select(*rows.columns, out)
     )

@@ -78,7 +78,7 @@ def threshold_candidates(events: DataFrame, rules: DataFrame | Control, group_ro
 def threshold_fires(
     candidates: DataFrame,
     rules: DataFrame | Control,
-    last_fire: DataFrame | None = None,
+    earlier: DataFrame | None = None,
     direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Apply the cooldown and build anomaly rows.
@@ -90,8 +90,8 @@ def threshold_fires(
         candidates,
         "rule_id",
         ["event_id", "count"],
-        last_fire=last_fire,
-        unset_last_fire_ms=0,
+        earlier=earlier,
+        first_fire_ms=0,
         direct_rows=direct_rows,
     )
     control = rule_control(rules)

@@ -17,6 +17,10 @@ UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]
 DATETIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?Z$"
 
 
+# Fixed value: whole numbers of a rule are stored in 32 bits.
+INT_MAX = 2_147_483_647
+
+
 def _collect(checks: list[Column]) -> Column:
     """Keep the issues that were raised, in the order of the checks.
 
@@ -106,6 +110,7 @@ def _int_check(b: _Body, name: str, least: int, required: bool) -> Column:
         .when(~b.is_number(name), _issue(name, "invalid_type"))
         .when(x != F.floor(x), _issue(name, "not_integer"))
         .when(x < least, _issue(name, "too_small"))
+        .when(x > INT_MAX, _issue(name, "too_big"))
     )
 
 

@@ -6,9 +6,10 @@ plain double arithmetic: results at the exact threshold depend on that order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import anomaly_id, iso_from_ms, number_text, round4
+from ..schemas import PROFILES
 from ..session import checkpointed
 from ..sources.tables import with_ms
 from .cooldown import DIRECT_ROWS, apply_cooldown
@@ -31,6 +32,11 @@ DEFAULT_SEVERITY = "warning"
 BLOCK_BUCKETS = 1024
 
 
+def default_profiles(spark: SparkSession) -> DataFrame:
+    """The profile used where none is given, as a table."""
+    return spark.createDataFrame([tuple(DEFAULT_PROFILE[f] for f in PROFILES.fieldNames())], PROFILES)
+
+
 def profile_control(profiles: DataFrame | Control) -> Control:
     """Profiles that pass validation, in milliseconds, read once."""
     if isinstance(profiles, Control):
@@ -131,7 +137,7 @@ def zscore_fires(
     profiles: DataFrame | Control,
     severity: str = DEFAULT_SEVERITY,
     rule_id_prefix: str = "",
-    last_fire: DataFrame | None = None,
+    earlier: DataFrame | None = None,
     direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Apply the cooldown per profile and build anomaly rows with a details struct.
@@ -140,7 +146,7 @@ def zscore_fires(
         candidates,
         "profile_id",
         ["event_id", "current", "mean", "stddev", "z", "bucket_start_ms"],
-        last_fire=last_fire,
+        earlier=earlier,
         direct_rows=direct_rows,
     )
     rows = attach_control(

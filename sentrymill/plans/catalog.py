@@ -107,21 +107,35 @@ def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.batch_gate(ingest.assign_event_id(checked))
 
 
+# Appends of the log, in the order in which they are published.
+APPENDS = (1, 0, 2, 4, 3), (5, 7, 6)
+
+
 def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events through the streaming pipeline, in two runs over one checkpoint:
-    the second half of the log is written after the first run has stopped."""
+    """All events through the streaming pipeline: eight appends of the log, published out of
+    order, one per micro-batch, in two runs over one checkpoint."""
     ev = _events(spark, sf_dir)
-    half = ev.agg(F.floor((F.min("seq") + F.max("seq")) / 2)).first()[0]
+    ends = ev.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    n = sum(map(len, APPENDS))
+    part = F.least(F.floor((F.col("seq") - ends.lo) * n / (ends.hi - ends.lo + 1)), F.lit(n - 1))
     root = shared_folder(spark, "stream")
     pipe = Pipeline(
         spark, Layout(f"{root}/tables"), load_rules=lambda: d.rule_table(spark), profiles=d.profile_list(spark)
     )
-    for part in (ev.filter(F.col("seq") <= half), ev.filter(F.col("seq") > half)):
-        codec.append_log(part, f"{root}/log")
-        pipe.start(f"{root}/log", f"{root}/offsets", until_caught_up=True).awaitTermination()
+    for run in APPENDS:
+        for k in run:
+            codec.append_log(ev.filter(part == k), f"{root}/log", k)
+            codec.publish(spark, f"{root}/log", k)
+        pipe.start(f"{root}/log", f"{root}/offsets", until_caught_up=True, appends_per_batch=1).awaitTermination()
     return pipe.layout.anomalies.read(spark).select(*ANOMALIES.fieldNames())
 
 
+def _bounded_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule_control = threshold.rule_control(d.rule_table(spark))
+    found = threshold.threshold_candidates(_events(spark, sf_dir), rule_control, group_rows=0)
+    return threshold.threshold_fires(found, rule_control, direct_rows=0)
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
 
@@ -199,6 +213,11 @@ def queries() -> dict[str, Query]:
     q["sliding_rule_counts"] = lambda s, p: threshold.sliding_rule_counts(_events(s, p), d.rule_table(s)).select(
         "rule_id", "event_id", "count"
     )
+    # the forms for groups too large for a task, and for chains of very many candidates
+    q["sliding_rule_counts_bounded"] = lambda s, p: threshold.sliding_rule_counts(
+        _events(s, p), d.rule_table(s), group_rows=0
+    ).select("rule_id", "event_id", "count")
+    q["threshold_anomalies_bounded"] = lambda s, p: present(_bounded_fires(s, p))
     q["threshold_candidates"] = lambda s, p: threshold.threshold_candidates(
         _events(s, p), d.rule_table(s)
     ).select("rule_id", "event_id", "count")

@@ -50,8 +50,8 @@ CASE WHEN k = 96 THEN 'null' WHEN k = 86 THEN '{oops' ELSE '{' ||
   CASE WHEN k = 12 THEN '"severity":"high",' WHEN k % 3 = 0 THEN '"severity":"critical",'
        WHEN k % 3 = 1 THEN '"severity":"warning",' ELSE '"severity":"info",' END ||
   CASE WHEN k = 22 THEN '"window_seconds":0,' WHEN k = 32 THEN '"window_seconds":1.5,'
-       WHEN k = 42 THEN '"window_seconds":"60",' ELSE '"window_seconds":' || cast(60 * (1 + k) AS string) || ',' END ||
-  CASE WHEN k = 52 THEN '"cooldown_seconds":-1,' WHEN k % 8 = 0 THEN '' ELSE '"cooldown_seconds":' || cast(k AS string) || ',' END ||
+       WHEN k = 42 THEN '"window_seconds":"60",' WHEN k = 62 THEN '"window_seconds":3000000000,' ELSE '"window_seconds":' || cast(60 * (1 + k) AS string) || ',' END ||
+  CASE WHEN k = 52 THEN '"cooldown_seconds":-1,' WHEN k = 82 THEN '"cooldown_seconds":2147483648,' WHEN k % 8 = 0 THEN '' ELSE '"cooldown_seconds":' || cast(k AS string) || ',' END ||
   CASE WHEN k = 43 THEN '"other":1' WHEN k = 93 THEN '"condition":[]' ELSE '"condition":{"type":"threshold",' ||
     CASE WHEN k = 73 THEN '"metric":"sum",' ELSE '"metric":"count",' END ||
     CASE WHEN k = 83 THEN '"filters":{"event_type":""},' WHEN k % 4 = 0 THEN '"filters":{"source":"' || source || '"},'
@@ -63,7 +63,7 @@ CASE WHEN k = 96 THEN 'null' WHEN k = 86 THEN '{oops' ELSE '{' ||
 PATCH_BODY = """
 CASE WHEN k = 96 THEN '[1]' WHEN k % 6 = 0 THEN '{}' WHEN k % 6 = 1 THEN '{"unknown":' || cast(k AS string) || '}'
   WHEN k % 6 = 2 THEN '{"enabled":' || CASE WHEN k % 4 = 2 THEN 'true' ELSE 'null' END || '}'
-  WHEN k % 6 = 3 THEN '{"window_seconds":' || cast(k - 30 AS string) || ',"severity":"info"}'
+  WHEN k % 6 = 3 THEN '{"window_seconds":' || CASE WHEN k = 63 THEN '3000000000' ELSE cast(k - 30 AS string) END || ',"severity":"info"}'
   WHEN k % 6 = 4 THEN '{"cooldown_seconds":' || cast(k - 50 AS string) || ',"name":"' || source || '"}'
   ELSE '{"condition":{"type":"threshold","metric":"count","operator":"<","value":' || cast(k AS string) || '}}' END
 """
@@ -117,6 +117,7 @@ RULE_LIST = [
     ("r-signup-slow", "few signups", True, "info", 3600, 86400, "signup", None, "<=", 1.0),
     ("r-view-below", "views below", True, "info", 900, 600, "view", None, "<", 1.5),
     ("r-purchase-two", "two purchases", True, "warning", 1800, 300, "purchase", None, "==", 2.0),
+    ("r-exact", "exact value", True, "info", 600, 0, "purchase", "user-3", ">", 0.0012345678901234567),
     ("r-unknown-op", "unknown operator", True, "info", 60, 0, None, None, "~", 1.0),
     ("r-off", "switched off", False, "critical", 3600, 0, None, None, ">", 0.0),
 ]

@@ -42,11 +42,8 @@ EVENT_COLUMNS = f"""event_id, event_type, source, iso AS "timestamp", payload, m
 
 
 def number(x: str) -> str:
-    """Text of a double: no trailing zeros, no point for whole numbers."""
-    return (
-        f"CASE WHEN {x} = floor({x}) THEN cast(cast({x} AS bigint) AS varchar) "
-        f"ELSE rtrim(cast(cast({x} AS decimal(38, 10)) AS varchar), '0') END"
-    )
+    """Text of a double of everyday size: its shortest digits, no point for whole numbers."""
+    return f"regexp_replace(cast(cast({x} AS double) AS varchar), '\\.0$', '')"
 
 
 # ---- validation ----------------------------------------------------------
@@ -85,7 +82,8 @@ def _int_issue(path: str, least: int, required: bool) -> str:
     return (
         f"CASE WHEN {_kind(path)} IS NULL THEN {req} WHEN {_kind(path)} NOT IN {_NUM} THEN {lit(path + ': invalid_type')} "
         f"WHEN {_dbl(path)} <> floor({_dbl(path)}) THEN {lit(path + ': not_integer')} "
-        f"WHEN {_dbl(path)} < {least} THEN {lit(path + ': too_small')} END"
+        f"WHEN {_dbl(path)} < {least} THEN {lit(path + ': too_small')} "
+        f"WHEN {_dbl(path)} > 2147483647 THEN {lit(path + ': too_big')} END"
     )
 
 
@@ -380,9 +378,9 @@ def oracle_sql() -> dict[str, str]:
     q["rules_enabled"] = f"WITH {_CHANGES} SELECT rule_id, name FROM current_rules WHERE enabled"
 
     q["rule_matches"] = f"WITH {_MATCHES} SELECT rule_id, event_id FROM matches"
-    q["sliding_rule_counts"] = f"WITH {_COUNTS} SELECT rule_id, event_id, count FROM counts"
+    q["sliding_rule_counts"] = q["sliding_rule_counts_bounded"] = f"WITH {_COUNTS} SELECT rule_id, event_id, count FROM counts"
     q["threshold_candidates"] = f"WITH {_CANDIDATES} SELECT rule_id, event_id, count FROM cands"
-    q["threshold_anomalies"] = f"""WITH RECURSIVE {_CANDIDATES}, {_fires('cands', 'rule_id')}
+    q["threshold_anomalies"] = q["threshold_anomalies_bounded"] = f"""WITH RECURSIVE {_CANDIDATES}, {_fires('cands', 'rule_id')}
       SELECT {anomaly_id()} AS anomaly_id, event_id, rule_id, severity,
         'Threshold rule "' || name || '" triggered: count(' || count || ') ' || operator || ' ' || {number('value')} AS message,
         {iso_ms('ts_ms')} AS detected_at FROM fired"""

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (a bare local test session) gets a folder of
-    its own, and only when the master is local.
+    Only a local session that names none, as in tests, gets a folder of its own, beside its
+    warehouse.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
@@ -22,7 +25,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named:
         sc.setCheckpointDir(named)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "sentrymill-checkpoints"))
+        sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
@@ -31,12 +34,43 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
     Used where one result feeds several later passes, so that the passes agree
-    with each other and survive the loss of executors.
+    with each other and survive the loss of executors. Within ``tables_in`` it is a table there.
     """
+    folder = _scratch.get()
+    if folder is not None:
+        path = f"{folder}/{uuid.uuid4()}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def tables_in(folder: str) -> Iterator[None]:
+    """What is checkpointed inside becomes a table in ``folder``."""
+    token = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is checkpointed inside is deleted at the end: for work that stores its results itself."""
+    folder = shared_folder(spark, "scratch")
+    try:
+        with tables_in(folder):
+            yield
+    finally:
+        delete_folder(spark, folder)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder next to the checkpoints, where all executors can write."""
     ensure_checkpoint_dir(spark)

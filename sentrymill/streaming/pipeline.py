@@ -2,9 +2,14 @@
 
 Each micro-batch is stored first; detectors then run over the batch and as much
 stored history as their windows reach back, with the operators used in batch. All
-state lives in the tables: events give the windows, anomalies give the last fires.
+state lives in the tables: events give the windows, anomalies give the earlier fires.
 So a busy rule is spread over tasks like in batch, nothing is lost with an
 executor, and a replayed batch gives the same rows.
+
+The log is read by whole appends in the order of their numbers. An append that is
+seen before an earlier one waits for it, so neither file times nor the cut into
+micro-batches change the result. A detector that fails on a batch takes it up
+again, and the batches after it in turn, when the next batch comes.
 """
 
 from __future__ import annotations
@@ -20,14 +25,16 @@ from ..operators import outbox, threshold, zscore
 from ..operators.ingest import dedup_events
 from ..operators.joins import Control
 from ..schemas import RULES, STREAM_ENTRY
-from ..session import checkpointed, use_utc
-from ..sources.codec import decode_events
-from .tables import Layout, utc
+from ..session import checkpointed, delete_folder, scratch, shared_folder, tables_in, use_utc
+from ..sources.codec import data_folder, decode_events
+from .tables import APPENDS, BATCHES, DONE, Layout, utc
 
 log = logging.getLogger(__name__)
 
-# Fixed value: entries of the log taken per read; here files, whose size the writer sets.
+# Fixed value: entries of the log taken per read; here appends, whose size the writer sets.
 FILES_PER_BATCH = 100
+# Events so much older than the newest of earlier batches are also listed as late.
+LATE_SECONDS = 3600
 
 
 def read_log(
@@ -47,6 +54,16 @@ def read_log(
     return stream
 
 
+def read_commits(spark: SparkSession, path: str, appends_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """The published append numbers of a log as a stream."""
+    use_utc(spark)
+    return (
+        spark.readStream.schema(APPENDS)
+        .option("maxFilesPerTrigger", appends_per_batch)
+        .json(f"{path}/commits")
+    )
+
+
 def drop_recent_copies(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Drop copies of an event id that arrive within ``delay`` of event time, in the
     stream itself. Bounded state; the insert still refuses any older copy."""
@@ -67,11 +84,14 @@ class Pipeline:
         load_rules: Callable[[], DataFrame] | None = None,
         profiles: DataFrame | None = None,
         severity: str = zscore.DEFAULT_SEVERITY,
+        late_seconds: float = LATE_SECONDS,
     ):
-        self.spark, self.layout, self.severity = spark, layout, severity
+        """Without ``profiles`` the default one is used; an empty table turns spikes off."""
+        self.spark, self.layout, self.severity, self.late_seconds = spark, layout, severity, late_seconds
         self.load_rules = load_rules or (lambda: read_rules(spark, layout))
-        self.profiles = None if profiles is None else zscore.profile_control(profiles)
+        self.profiles = zscore.profile_control(zscore.default_profiles(spark) if profiles is None else profiles)
         self.rules: Control | None = None
+        self._rules_folder: str | None = None
         layout.create(spark)
 
     def start(
@@ -79,26 +99,56 @@ class Pipeline:
     ) -> StreamingQuery:
         """Follow the log; with ``until_caught_up``, stop at its present end."""
         writer = (
-            read_log(self.spark, log_path, **read_options)
+            read_commits(self.spark, log_path, **read_options)
             .writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(self.handle)
+            .foreachBatch(lambda commits, batch_id: self.handle_commits(commits, log_path, batch_id))
         )
         return (writer.trigger(availableNow=True) if until_caught_up else writer).start()
 
+    def handle_commits(self, commits: DataFrame, log_path: str, batch_id: int) -> None:
+        """Handle the appends that are next in line: those whose predecessors are all published."""
+        self.layout.appends.note(commits, batch_id)
+        ready = range(self._ready(batch_id - 1), self._ready(batch_id))
+        if ready:
+            folders = [data_folder(log_path, n) for n in ready]
+            self.handle(self.spark.read.schema(STREAM_ENTRY).json(folders), batch_id)
+
+    def _ready(self, batch_id: int) -> int:
+        """How many appends from 0 on, without a gap, were published up to a batch."""
+        known = self.layout.appends.read(self.spark).filter(F.col("batch_id") <= batch_id).select("append").distinct()
+        zero = self.spark.createDataFrame([(-1,)], "append bigint")
+        known = known.filter("append >= 0").unionByName(zero)
+        following = known.select((F.col("append") - 1).alias("append"))
+        return known.join(following, "append", "left_anti").agg(F.min("append")).first()[0] + 1
+
     def handle(self, entries: DataFrame, batch_id: int) -> None:
         """Store, then detect. A failing detector is logged and blocks neither the
-        stored events nor the other detector."""
-        span = self.store(entries, batch_id)
-        if span is None:
-            return
-        fresh = self.layout.events.read(self.spark, *span).filter(F.col("batch_id") == batch_id)
-        for detect in (self.detect_thresholds, self.detect_spikes):
-            try:
-                found = detect(fresh, *span, batch_id)
-                if found is not None:
-                    self.layout.anomalies.append_new(found, batch_id)
-            except Exception:
-                log.exception("batch %s: %s failed", batch_id, detect.__name__)
+        stored events nor the other detector; its batches stay due."""
+        with scratch(self.spark):
+            span = self.store(entries, batch_id)
+            if span is not None:
+                self.layout.batches.note(self.spark.createDataFrame([(batch_id, *span)], BATCHES), batch_id)
+            for detect in (self.detect_thresholds, self.detect_spikes):
+                for due in self._due(detect.__name__, batch_id):
+                    try:
+                        self._run(detect, due.batch, utc(due.lo), utc(due.hi))
+                    except Exception:
+                        log.exception("batch %s: %s failed", due.batch, detect.__name__)
+                        break  # later batches need this one's fires
+
+    def _due(self, detector: str, batch_id: int) -> list:
+        """Stored batches a detector isn't through with, oldest first."""
+        through = self.layout.done.read(self.spark).filter(F.col("detector") == detector)
+        batches = self.layout.batches.read(self.spark).filter(F.col("batch") <= batch_id)
+        due = batches.join(through, "batch", "left_anti").groupBy("batch")
+        return due.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("batch").collect()
+
+    def _run(self, detect: Callable, batch_id: int, lo: datetime, hi: datetime) -> None:
+        fresh = self.layout.events.read(self.spark, lo, hi).filter(F.col("batch_id") == batch_id)
+        found = detect(fresh, lo, hi, batch_id)
+        if found is not None:
+            self.layout.anomalies.append_new(found, batch_id)
+        self.layout.done.note(self.spark.createDataFrame([(detect.__name__, batch_id)], DONE), batch_id)
 
     def store(self, entries: DataFrame, batch_id: int) -> tuple[datetime, datetime] | None:
         """Insert the events of a batch that are new; park entries that are no events.
@@ -106,24 +156,40 @@ class Pipeline:
         decoded = checkpointed(
             decode_events(entries)
             .withColumn("_at", F.try_to_timestamp("timestamp"))
-            .withColumn("_ok", ~F.col("malformed") & F.col("_at").isNotNull() & (F.col("event_id") != ""))
+            .withColumn("_ok", ~F.col("malformed") & F.col("_at").isNotNull() & (F.col("event_id") != "") & F.col("seq").isNotNull())
         )
-        self.layout.parked.append_new(decoded.filter(~F.col("_ok")), batch_id)
-        events = (
+        newest = self.layout.batches.read(self.spark).filter(F.col("batch") < batch_id).agg(F.max("hi")).first()[0]
+        limit = None if newest is None else utc(newest) - timedelta(seconds=self.late_seconds)
+        ok, late = F.col("_ok"), F.col("_at") < F.lit(limit).cast("timestamp")
+        seen = decoded.agg(
+            F.count_if(~ok).alias("bad"), F.count_if(ok & late).alias("late"),
+            F.min(F.when(ok, F.col("_at"))).alias("lo"), F.max(F.when(ok, F.col("_at"))).alias("hi"),
+        ).first()
+        if seen.bad:
+            self.layout.parked.append_new(decoded.filter(~ok), batch_id)
+        if seen.lo is None:
+            return None
+        events = dedup_events(
             decoded.filter("_ok")
             .drop("timestamp")
             .withColumnRenamed("_at", "timestamp")
             .withColumn("created_at", F.current_timestamp())
             .select(*self.layout.events.schema.fieldNames())
         )
-        self.layout.events.append_new(dedup_events(events), batch_id)
-        seen = events.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).first()
-        return None if seen.lo is None else (utc(seen.lo), utc(seen.hi))
+        if seen.late:
+            self.layout.late.append_new(events.filter(F.col("timestamp") < F.lit(limit)), batch_id)
+        self.layout.events.append_new(events, batch_id)
+        return utc(seen.lo), utc(seen.hi)
 
     def current_rules(self) -> Control | None:
         """The rules as of now; the previous snapshot when they cannot be read."""
+        folder, old = shared_folder(self.spark, "rules"), self._rules_folder
         try:
-            self.rules = threshold.rule_control(self.load_rules())
+            with tables_in(folder):
+                self.rules = threshold.rule_control(self.load_rules())
+            self._rules_folder = folder
+            if old is not None:
+                delete_folder(self.spark, old)
         except Exception:
             log.exception("rules not reloaded")
         return self.rules
@@ -140,12 +206,10 @@ class Pipeline:
         history = self.history(lo, hi, reach.w, batch_id)
         found = threshold.threshold_candidates(history, rules)
         return threshold.threshold_fires(
-            self.only_fresh(found, fresh), rules, self.last_fires("rule_id", lo, reach.c, batch_id)
+            self.only_fresh(found, fresh), rules, self.earlier_fires("rule_id", lo, hi, reach.c, batch_id)
         )
 
     def detect_spikes(self, fresh: DataFrame, lo: datetime, hi: datetime, batch_id: int) -> DataFrame | None:
-        if self.profiles is None:
-            return None
         reach = self.profiles.rows.agg(
             F.max((F.col("n_buckets") + 2) * F.col("bucket_ms") / 1000).alias("w"),
             F.max(F.col("cooldown_ms") / 1000).alias("c"),
@@ -155,7 +219,7 @@ class Pipeline:
         found = zscore.zscore_candidates(self.history(lo, hi, reach.w, batch_id), self.profiles)
         fires = zscore.zscore_fires(
             self.only_fresh(found, fresh), self.profiles, self.severity,
-            last_fire=self.last_fires("profile_id", lo, reach.c, batch_id),
+            earlier=self.earlier_fires("profile_id", lo, hi, reach.c, batch_id),
         )
         return fires.drop("details")
 
@@ -169,14 +233,12 @@ class Pipeline:
         """Candidates that arrived with this batch; earlier ones were decided then."""
         return candidates.join(fresh.select("event_id"), "event_id", "left_semi")
 
-    def last_fires(self, key: str, lo: datetime, cooldown_seconds: float, batch_id: int) -> DataFrame:
-        """When each rule last fired, from anomalies of earlier batches."""
-        earlier = self.layout.anomalies.read(self.spark, lo - timedelta(seconds=cooldown_seconds)).filter(
+    def earlier_fires(self, key: str, lo: datetime, hi: datetime, cooldown_seconds: float, batch_id: int) -> DataFrame:
+        """When each rule fired, from anomalies of earlier batches that can hold back a candidate."""
+        earlier = self.layout.anomalies.read(self.spark, lo - timedelta(seconds=cooldown_seconds), hi).filter(
             F.col("batch_id") < batch_id
         )
-        return earlier.groupBy(F.col("rule_id").alias(key)).agg(
-            F.unix_millis(F.max("detected_at")).alias("last_fire_ms")
-        )
+        return earlier.select(F.col("rule_id").alias(key), F.unix_millis("detected_at").alias("fire_ms"))
 
 
 def notify(spark: SparkSession, layout: Layout, checkpoint: str, config: dict | None = None) -> StreamingQuery:

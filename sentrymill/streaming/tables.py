@@ -37,6 +37,18 @@ PARKED = T.StructType([
 ])
 
 
+# An append of the log, by the batch that saw it published.
+APPENDS = T.StructType([T.StructField("append", T.LongType())])
+# The time range of a batch's events; ``batch_id`` of each row is the batch itself.
+BATCHES = T.StructType([
+    T.StructField("batch", T.LongType()),
+    T.StructField("lo", T.TimestampType()),
+    T.StructField("hi", T.TimestampType()),
+])
+# A batch that a detector is through with.
+DONE = T.StructType([T.StructField("detector", T.StringType()), T.StructField("batch", T.LongType())])
+
+
 @dataclass(frozen=True)
 class Table:
     """A Parquet table by day. ``key`` identifies a row; ``time`` gives its day.
@@ -63,6 +75,15 @@ class Table:
             df = df.filter((F.col("event_date") <= F.to_date(F.lit(until))) & (F.col(self.time) <= F.lit(until)))
         return df
 
+    def note(self, rows: DataFrame, batch_id: int) -> None:
+        """Append a few bookkeeping rows as they are; readers take repeated ones as one."""
+        (
+            rows.select(*self.schema.fieldNames())
+            .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            .withColumn("event_date", F.current_date())
+            .coalesce(1).write.mode("append").partitionBy("event_date").parquet(self.path)
+        )
+
     def append_new(self, rows: DataFrame, batch_id: int) -> None:
         """Append the rows whose key is not stored yet.
 
@@ -117,11 +138,29 @@ class Layout:
     def parked(self) -> Table:
         return Table(f"{self.root}/parked", PARKED, ("seq",), None)
 
+    @property
+    def late(self) -> Table:
+        return Table(f"{self.root}/late", EVENTS, ("event_id",), "timestamp")
+
+    @property
+    def appends(self) -> Table:
+        return Table(f"{self.root}/appends", APPENDS, ("append",), None)
+
+    @property
+    def batches(self) -> Table:
+        return Table(f"{self.root}/batches", BATCHES, ("batch",), None)
+
+    @property
+    def done(self) -> Table:
+        return Table(f"{self.root}/done", DONE, ("detector", "batch"), None)
+
     @property
     def rules(self) -> str:
         return f"{self.root}/rules"
 
     def create(self, spark: SparkSession) -> None:
-        for table in (self.events, self.anomalies, self.outbox, self.parked):
+        for table in (
+            self.events, self.anomalies, self.outbox, self.parked, self.late, self.appends, self.batches, self.done,
+        ):
             table.create(spark)
         spark.createDataFrame([], RULES).write.mode("append").parquet(self.rules)

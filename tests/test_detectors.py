@@ -86,14 +86,30 @@ def test_parallel_cooldown_equals_greedy(spark, seed, monkeypatch):
         assert sorted((r.rule_id, r.ts_ms) for r in got) == sorted(want), (direct_rows, fan_in)
 
 
-def test_cooldown_carries_last_fire(spark):
+def test_cooldown_heeds_earlier_fires(spark):
     df = spark.createDataFrame(
         [("r", 100, t, t, str(t)) for t in range(0, 1000, 30)],
         "rule_id string, cooldown_ms bigint, ts_ms bigint, seq bigint, event_id string")
-    last = spark.createDataFrame([("r", 55)], "rule_id string, last_fire_ms bigint")
-    got = cooldown.apply_cooldown(df, "rule_id", ["event_id"], last_fire=last)
-    times = [t for t in range(0, 1000, 30) if t >= 155]
-    assert sorted(r.ts_ms for r in got.collect()) == simulate.greedy(times, 100)
+    earlier = spark.createDataFrame([("r", 55), ("r", 615), ("r", 5000), ("other", 300)], "rule_id string, fire_ms bigint")
+    got = cooldown.apply_cooldown(df, "rule_id", ["event_id"], earlier=earlier)
+    want, last, known = [], -1000, [55, 615, 5000]
+    for t in range(0, 1000, 30):  # earlier fires restart the wait when their time comes
+        last = max([last] + [f for f in known if f <= t])
+        if t - last >= 100:
+            want.append(t)
+            last = t
+    assert sorted(r.ts_ms for r in got.collect()) == want
+
+
+def test_walk_equals_one_step_at_a_time():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        times = np.unique(rng.integers(0, 500, rng.integers(0, 80)))
+        wait, start, want = int(rng.integers(1, 60)), int(rng.integers(-5, 520)), []
+        for t in times:
+            if t >= start and (not want or t - want[-1] >= wait):
+                want.append(t)
+        assert cooldown.walk(times, wait, start).tolist() == want
 
 
 def test_walk_fires_at_equality():

@@ -1,6 +1,8 @@
 import json
 import os
 import random
+import re
+import struct
 from datetime import timedelta
 
 import pytest
@@ -208,6 +210,15 @@ def test_number_texts(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     assert [r[0] for r in df.select(number_text(F.col("x"))).collect()] == [
         "2", "0.5", "0.0005", "-3", "1e+21", "1.5e-7", "123456789.25", "0", "1000000", "2.2361"]
+    rng = random.Random(3)
+    anything = [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(3000)] + [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 24) for _ in range(3000)]
+    anything += [2.0 ** -44, 1e20, 1e19, 1.2345678901234567e-6, 0.0012345678901234567, 5e-324, 1.7976931348623157e308, 2e-3, 9007199254740993.0]
+    anything = [v for v in anything if v == v and abs(v) != float("inf")]
+    df = spark.createDataFrame([(v,) for v in anything], "x double").coalesce(4)
+    for v, (text,) in zip(anything, df.select(number_text(F.col("x"))).collect()):
+        digits = lambda t: re.sub("0+$", "", re.sub("^[-0.]+", "", t.partition("e")[0]).replace(".", ""))
+        assert float(text) == v and len(digits(text)) == len(digits(repr(v))), (v, text)
+        assert ("e" in text) == (v != 0 and (abs(v) >= 1e21 or abs(v) < 1e-6)) and not text.endswith(".")
     counts = spark.createDataFrame([(120,), (30,), (7,)], "n bigint")
     assert [r[0] for r in counts.select(rate4(F.col("n"), 60)).collect()] == [2.0, 0.5, 0.1167]
     assert spark.range(1).select(round4(F.lit(0.894427))).first()[0] == 0.8944

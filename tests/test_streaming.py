@@ -20,6 +20,14 @@ RULES = [
 PROFILES = [("a", 60, 5, 1.5, 0, None, None), ("b", 120, 3, 1.0, 300, "error", None)]
 
 
+def write_append(folder, events, number, publish=True):
+    write_log(f"{folder}/data/{number:012d}", events, "entries")
+    if publish:
+        os.makedirs(f"{folder}/commits", exist_ok=True)
+        with open(f"{folder}/commits/{number}.json", "w") as out:
+            out.write(json.dumps({"append": number}) + "\n")
+
+
 def write_log(folder, events, name):
     os.makedirs(folder, exist_ok=True)
     with open(f"{folder}/{name}.json", "w") as out:
@@ -46,15 +54,13 @@ def test_stream_equals_batch_with_restart_and_copies(spark, tmp_path, events):
     rules, profiles = rule_frame(spark, RULES), profile_frame(spark, PROFILES)
     make = lambda: Pipeline(spark, layout, load_rules=lambda: rules, profiles=profiles)
     check = str(tmp_path / "check")
-    write_log(log, events[:90], "a")
-    run(make().start(log, check, files_per_batch=1))
+    write_append(log, events[:90], 0)
+    run(make().start(log, check, appends_per_batch=1))
     # a restart with new files, one of them repeating entries already stored
-    time.sleep(1.1)
-    write_log(log, events[60:170], "b")
-    run(make().start(log, check, files_per_batch=1))
-    time.sleep(1.1)
-    write_log(log, events[170:] + [dict(events[0], seq=999_999)], "c")
-    run(make().start(log, check, files_per_batch=1))
+    write_append(log, events[60:170], 1)
+    run(make().start(log, check, appends_per_batch=1))
+    write_append(log, events[170:] + [dict(events[0], seq=999_999)], 2)
+    run(make().start(log, check, appends_per_batch=1))
 
     stored = layout.events.read(spark)
     assert stored.count() == len(events) == stored.select("event_id").distinct().count()
@@ -123,3 +129,79 @@ def test_start_position_and_bounded_dedup(spark, tmp_path, events):
              .option("checkpointLocation", str(tmp_path / "check")).start())
     run(query)
     assert spark.table("seen").count() == 10
+
+
+def expected(spark, events, rules, profiles):
+    batch = event_frame(spark, events)
+    want = [(r.rule_id, r.event_id, r.message) for r in threshold.threshold_anomalies(batch, rules).collect()]
+    return sorted(want + [(r.rule_id, r.event_id, r.message) for r in zscore.zscore_anomalies(batch, profiles).collect()])
+
+
+def stored_anomalies(spark, layout):
+    return sorted((r.rule_id, r.event_id, r.message) for r in layout.anomalies.read(spark).collect())
+
+
+def test_order_of_files_does_not_matter(spark, tmp_path, events):
+    log, layout = str(tmp_path / "log"), Layout(str(tmp_path / "out"))
+    rules, profiles = rule_frame(spark, RULES), profile_frame(spark, PROFILES)
+    for place, k in enumerate((1, 0, 3, 2)):
+        write_append(log, events[k * 60:(k + 1) * 60], k)
+        at = time.time() - 1000 + 10 * place
+        os.utime(f"{log}/commits/{k}.json", (at, at))
+    pipe = Pipeline(spark, layout, load_rules=lambda: rules, profiles=profiles)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = len(fs.listStatus(folder))
+    run(pipe.start(log, str(tmp_path / "check"), appends_per_batch=1))
+    assert len(fs.listStatus(folder)) <= before + 1  # the rules in use
+    assert stored_anomalies(spark, layout) == expected(spark, events, rules, profiles)
+    assert layout.late.read(spark).count() == 0
+
+
+def test_an_event_dated_ahead_holds_nothing_back(spark, tmp_path, events):
+    layout = Layout(str(tmp_path / "out"))
+    rules = rule_frame(spark, [("each", "each", True, "info", 30, 30, None, None, ">=", 1)])
+    profiles = profile_frame(spark, PROFILES).limit(0)
+    ahead = dict(events[0], event_id="ahead", ts_ms=4_070_908_800_000, seq=-1)
+    pipe = Pipeline(spark, layout, load_rules=lambda: rules, profiles=profiles, late_seconds=60)
+    parts = [[ahead, *events[:80]], events[80:160], events[160:]]
+    for k, part in enumerate(parts):
+        write_log(str(tmp_path / f"log{k}"), part, "a")
+        pipe.handle(spark.read.schema(read_log(spark, str(tmp_path / "log0")).schema).json(str(tmp_path / f"log{k}")), k)
+    assert stored_anomalies(spark, layout) == expected(spark, [ahead, *events], rules, profiles)
+    assert layout.late.read(spark).count() == len(events) - 80
+
+
+def test_a_failed_detector_takes_its_batch_up_again(spark, tmp_path, events):
+    layout = Layout(str(tmp_path / "out"))
+    rules, profiles = rule_frame(spark, RULES), profile_frame(spark, PROFILES)
+    pipe = Pipeline(spark, layout, load_rules=lambda: rules, profiles=profiles)
+    real, failures = zscore.zscore_fires, [True]
+
+    def once(*args, **kwargs):
+        if failures:
+            failures.pop()
+            raise RuntimeError("once")
+        return real(*args, **kwargs)
+
+    zscore.zscore_fires = once
+    try:
+        for k in range(3):
+            write_log(str(tmp_path / f"log{k}"), events[k * 80:(k + 1) * 80], "a")
+            pipe.handle(spark.read.schema(read_log(spark, str(tmp_path / "log0")).schema).json(str(tmp_path / f"log{k}")), k)
+    finally:
+        zscore.zscore_fires = real
+    assert not failures and stored_anomalies(spark, layout) == expected(spark, events, rules, profiles)
+
+
+def test_default_profile_and_entries_without_number(spark, tmp_path):
+    base = 1_706_700_000_000
+    counts = [2, 4, 2, 4, 3, 20]
+    events = [{"event_id": f"{b}-{i}", "event_type": "t", "source": "s", "ts_ms": base + b * 10_000 + i, "seq": b * 100 + i}
+              for b, n in enumerate(counts) for i in range(n)]
+    write_log(str(tmp_path / "log"), [*events, {"event_id": "x", "event_type": "t", "source": "s", "ts_ms": base, "seq": None}], "a")
+    layout = Layout(str(tmp_path / "out"))
+    pipe = Pipeline(spark, layout, load_rules=lambda: rule_frame(spark, RULES).limit(0))
+    pipe.handle(spark.read.schema(read_log(spark, str(tmp_path / "log")).schema).json(str(tmp_path / "log")), 0)
+    assert {r.rule_id for r in layout.anomalies.read(spark).collect()} == {"zscore-count-spike"}
+    assert [r.event_id for r in layout.parked.read(spark).collect()] == ["x"]
