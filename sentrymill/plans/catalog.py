@@ -206,6 +206,9 @@ def queries() -> dict[str, Query]:
     q["rules_all"] = lambda s, p: _current_rules(s, p).select("rule_id", "name", "enabled", "severity")
     q["rules_enabled"] = lambda s, p: rules.enabled_rules(_current_rules(s, p)).select("rule_id", "name")
 
+    q["get_rule"] = lambda s, p: rules.get_rule(_current_rules(s, p), d.RULE_ID).select("rule_id", "name", "severity")
+    q["change_messages"] = lambda s, p: rules.change_messages(d.rule_changes(s, p))
+
     # threshold rules
     q["rule_matches"] = lambda s, p: threshold.rule_matches(_events(s, p), d.rule_table(s)).select(
         "rule_id", "event_id"
@@ -236,6 +239,12 @@ def queries() -> dict[str, Query]:
         zscore.zscore_anomalies(_events(s, p), d.profile_list(s), rule_id_prefix="stat").drop("details")
     )
 
+    q["zscore_details"] = lambda s, p: zscore.zscore_anomalies(_events(s, p), d.profile_list(s)).select(
+        "event_id", *[f"details.{c}" for c in (
+            "profile_id", "bucket_start", "bucket_seconds", "current_count", "baseline_buckets", "mean", "stddev", "z")],
+        F.col("details.filters.event_type").alias("f_type"), F.col("details.filters.source").alias("f_source"),
+    )
+
     # built-in detectors
     q["rate_spike"] = lambda s, p: present(builtin.rate_spike(_events(s, p), d.RATE_MAX, d.RATE_SECONDS))
     q["invalid_payload"] = lambda s, p: present(builtin.invalid_payload(_events(s, p), d.REQUIRED))
@@ -245,9 +254,12 @@ def queries() -> dict[str, Query]:
     ))
     q["builtin_anomalies"] = lambda s, p: present(builtin_pack(s, p))
 
+    q["default_pack"] = lambda s, p: present(builtin.run_pack(_events(s, p), builtin.default_pack(d.AS_OF)))
+
     # the pipeline
     q["stream_anomalies"] = lambda s, p: present(stream_anomalies(s, p))
 
     # notifications
+    q["notification_message"] = lambda s, p: outbox.notification_message(stateless_anomalies(s, p))
     q["notification_outbox"] = lambda s, p: outbox.notification_outbox(stateless_anomalies(s, p), d.CHANNELS)
     return q

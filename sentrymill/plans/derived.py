@@ -88,6 +88,7 @@ RULE_CHANGE = {
     "cooldown_seconds": "CASE WHEN {patch} AND k % 2 = 1 THEN NULL ELSE cast(30 * (k % 5) AS int) END",
 }
 RULE_CHANGE = {c: e.format(patch="event_type IN ('view', 'click')") for c, e in RULE_CHANGE.items()}
+RULE_ID = "rule-user-7"
 CONDITION_SET = "NOT (event_type IN ('view', 'click')) OR k % 6 = 0"
 CONDITION_TYPE = "CASE WHEN k % 2 = 0 THEN 'error' END"
 CONDITION_SOURCE = "CASE WHEN k % 3 = 0 THEN source END"

@@ -403,10 +403,23 @@ def oracle_sql() -> dict[str, str]:
       SELECT {_ANOMALY_COLUMNS} FROM hits"""
     q["builtin_anomalies"] = f"""{ev}, {_RATE}, {_INVALID}, {_DRIFT}
       SELECT {_ANOMALY_COLUMNS} FROM (SELECT * FROM rate UNION ALL SELECT * FROM invalid UNION ALL SELECT * FROM drift)"""
+    pack_message = (
+        f"'Timestamp drift: ' || cast(floor(abs({_AS_OF_MS} - ts_ms) / 1000.0 + 0.5) AS bigint) || 's in the past (threshold: 300s)'")
+    q["default_pack"] = f"""{ev}, hits AS (SELECT event_id, 'timestamp-drift' AS rule_id, 'low' AS severity, {pack_message} AS message,
+        '2024-01-31T00:00:00.000Z' AS detected_at FROM ev WHERE abs({_AS_OF_MS} - ts_ms) > 300000)
+      SELECT {_ANOMALY_COLUMNS} FROM hits"""
     rows = " UNION ALL ".join(
         f"SELECT anomaly_id, rule_id, severity, '{c}' AS channel, '{s}' AS status, '{t}' AS target, "
         f"cast({_OUTBOX_BODY[c]} AS varchar) AS body FROM anomalies"
         for c, (s, t) in _OUTBOX_TARGET.items()
     )
     q["notification_outbox"] = f"WITH {_STATELESS} {rows}"
+    q["notification_message"] = f"""WITH {_STATELESS} SELECT cast({_OUTBOX_BODY["email"]} AS varchar) AS message FROM anomalies"""
+    q["change_messages"] = f"""WITH {_CHANGES} SELECT cast(to_json({{'ts': "at", 'reason': reason, 'rule_id': rule_id}}) AS varchar) AS message FROM changes"""
+    q["get_rule"] = f"WITH {_CHANGES} SELECT rule_id, name, severity FROM current_rules WHERE rule_id = {lit(d.RULE_ID)}"
+    q["zscore_details"] = f"""WITH RECURSIVE {_Z_CANDIDATES}, {_fires('zcands', 'profile_id')}
+      SELECT event_id, profile_id, {iso_ms('bucket * bucket_s * 1000')} AS bucket_start, cast(bucket_s AS double) AS bucket_seconds,
+        current AS current_count, n AS baseline_buckets, floor(mean * 10000.0 + 0.5) / 10000.0 AS mean,
+        floor(stddev * 10000.0 + 0.5) / 10000.0 AS stddev, floor(z * 10000.0 + 0.5) / 10000.0 AS z, f_type, f_source
+      FROM fired JOIN (SELECT profile_id, n FROM profiles) USING (profile_id)"""
     return q
