@@ -60,7 +60,8 @@ def _bodies(detected: Column) -> dict[str, Column]:
 
 def notification_outbox(anomalies: DataFrame, config: dict | None = None) -> DataFrame:
     """Fan each anomaly out to the channels. Channels are independent: one that is
-    off or lacks its address is marked as skipped and does not affect the others."""
+    off or lacks its address is marked as skipped and does not affect the others. The
+    address of the chat channel is a secret: its rows name the setting that holds it."""
     detected = iso_millis(F.col("detected_at"))
     bodies = _bodies(detected)
     rows = F.array(*[
@@ -68,7 +69,7 @@ def notification_outbox(anomalies: DataFrame, config: dict | None = None) -> Dat
             F.lit(channel).alias("channel"),
             F.lit(_status(channel, settings)).alias("status"),
             F.lit(",".join(settings.get("recipients", []))
-                  or settings.get("webhook_url", "")).alias("target"),
+                  or (f"{channel}.webhook_url" if settings.get("webhook_url") else "")).alias("target"),
             bodies[channel].alias("body"),
         )
         for channel, settings in merge_channels(config).items()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import iso_millis, uuid_text
 from ..schemas import RULES
@@ -39,9 +39,37 @@ def change_messages(changes: DataFrame) -> DataFrame:
     return changes.select(body.alias("message"))
 
 
+# Versions of the rule table that stay for readers that began with them.
+KEPT_VERSIONS = 3
+
+
+def _versions(spark: SparkSession, path: str):
+    """The table's folder, its file system, and the complete versions in it, oldest first."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+    whole = [p for p in found if p.getName().startswith("v") and fs.exists(p.suffix("/_SUCCESS"))]
+    return fs, sorted(whole, key=lambda p: p.getName())
+
+
 def write_rules(rules: DataFrame, path: str) -> None:
-    """Replace the stored rule table; readers keep their old copy if they hit the swap."""
-    checkpointed(rules.select(*RULES.fieldNames())).write.mode("overwrite").parquet(path)
+    """Store a new version of the rule table. Readers take the newest complete one, so none ever
+    sees a table that is half written. One writer at a time."""
+    spark = rules.sparkSession
+    _, before = _versions(spark, path)
+    n = int(before[-1].getName()[1:]) + 1 if before else 0
+    checkpointed(rules.select(*RULES.fieldNames())).write.mode("overwrite").parquet(f"{path}/v{n:012d}")
+    fs, now = _versions(spark, path)
+    for old in now[:-KEPT_VERSIONS]:
+        fs.delete(old, True)
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version; an error where there is none."""
+    _, versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no rule table in {path}")
+    return spark.read.schema(RULES).parquet(versions[-1].toString())
 
 
 def apply_rule_changes(changes: DataFrame) -> DataFrame:

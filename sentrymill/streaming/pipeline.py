@@ -24,7 +24,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import outbox, threshold, zscore
 from ..operators.ingest import dedup_events
 from ..operators.joins import Control
-from ..schemas import RULES, STREAM_ENTRY
+from ..operators.rules import read_rules
+from ..schemas import STREAM_ENTRY
 from ..session import checkpointed, delete_folder, scratch, shared_folder, tables_in, use_utc
 from ..sources.codec import data_folder, decode_events
 from .tables import APPENDS, BATCHES, DONE, Layout, utc
@@ -70,10 +71,6 @@ def drop_recent_copies(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def read_rules(spark: SparkSession, layout: Layout) -> DataFrame:
-    return spark.read.schema(RULES).parquet(layout.rules)
-
-
 class Pipeline:
     """Handles the micro-batches of one log."""
 
@@ -88,7 +85,7 @@ class Pipeline:
     ):
         """Without ``profiles`` the default one is used; an empty table turns spikes off."""
         self.spark, self.layout, self.severity, self.late_seconds = spark, layout, severity, late_seconds
-        self.load_rules = load_rules or (lambda: read_rules(spark, layout))
+        self.load_rules = load_rules or (lambda: read_rules(spark, layout.rules))
         self.profiles = zscore.profile_control(zscore.default_profiles(spark) if profiles is None else profiles)
         self.rules: Control | None = None
         self._rules_folder: str | None = None

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..schemas import ANOMALIES, EVENTS, RULES
+from ..schemas import ANOMALIES, EVENTS
 from ..session import checkpointed
 
 # Keys of a micro-batch that may be broadcast; ids are a few dozen bytes each.
@@ -163,4 +163,3 @@ class Layout:
             self.events, self.anomalies, self.outbox, self.parked, self.late, self.appends, self.batches, self.done,
         ):
             table.create(spark)
-        spark.createDataFrame([], RULES).write.mode("append").parquet(self.rules)

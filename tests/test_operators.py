@@ -285,14 +285,18 @@ def test_requests_become_rules(spark, tmp_path):
     absent = rules.as_changes(requests(validate.validate_rules_patch, 30, {"name": "x"}, rule_id="none"), "patch")
     log = created.unionByName(patched).unionByName(replaced).unionByName(absent)
     path = str(tmp_path / "rules")
+    with pytest.raises(FileNotFoundError):
+        rules.read_rules(spark, path)
     rules.write_rules(rules.apply_rule_changes(log), path)
-    now = spark.read.schema(RULES).parquet(path)
+    os.makedirs(f"{path}/v000000000000/_temporary", exist_ok=True)
+    os.makedirs(f"{path}/v000000000007/_temporary")  # a write that was cut short
+    now = rules.read_rules(spark, path)
     assert sorted((r.name, r.enabled, r.severity) for r in now.collect()) == [("a", False, "warning"), ("b2", True, "info")]
     assert [r.name for r in rules.enabled_rules(now).collect()] == ["b2"]
     assert rules.get_rule(now, ids["a"]).count() == 1
     gone = spark.createDataFrame([(40, T0, ids["a"])], "seq bigint, at timestamp, rule_id string")
     rules.write_rules(rules.apply_rule_changes(log.unionByName(rules.as_changes(gone, "delete"))), path)
-    assert [r.name for r in spark.read.schema(RULES).parquet(path).collect()] == ["b2"]
+    assert [r.name for r in rules.read_rules(spark, path).collect()] == ["b2"]
     message = json.loads(rules.change_messages(replaced).first()[0])
     assert message == {"ts": "2024-01-01T00:00:20.000Z", "reason": "update", "rule_id": ids["b"]}
 
@@ -330,10 +334,21 @@ def test_retention(spark, tmp_path):
     assert removed == ["2024-01-01", "2024-01-02"]
     kept = tables.read_events(spark, path)
     assert kept.count() == 7
-    # a swap cut short after the old folder went is finished by the next run
-    os.rename(f"{path}/event_date=2024-01-05", f"{path}/_retained_2024-01-05")
+    # a swap cut short after the old files went is finished by the next run; what was
+    # appended meanwhile stays
+    day = f"{path}/event_date=2024-01-05"
+    parts = [f for f in os.listdir(day) if f.startswith("part-")]
+    os.makedirs(f"{path}/_retained_2024-01-05")
+    for f in parts:
+        os.rename(f"{day}/{f}", f"{path}/_retained_2024-01-05/{f}")
+    with open(f"{path}/_retained_2024-01-05/replaces.txt", "w") as out:
+        out.write("part-gone.parquet")
     assert tables.read_events(spark, path).count() == 5
     assert retention.drop_expired_days(spark, path, as_of - timedelta(hours=18), 3) == []
     assert tables.read_events(spark, path).count() == 7
+    # one that never got to its list is dropped
+    os.makedirs(f"{path}/_retained_2024-01-05")
+    assert retention.drop_expired_days(spark, path, as_of - timedelta(hours=18), 3) == []
+    assert tables.read_events(spark, path).count() == 7
     day3 = tables.read_events(spark, path, T0 + timedelta(days=2), T0 + timedelta(days=3, hours=2))
     assert sorted(r.event_id for r in day3.collect()) == ["e5", "e6"]
