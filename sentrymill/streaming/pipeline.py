@@ -89,12 +89,14 @@ class Pipeline:
         self.profiles = zscore.profile_control(zscore.default_profiles(spark) if profiles is None else profiles)
         self.rules: Control | None = None
         self._rules_folder: str | None = None
+        self._next: int | None = None  # append to read next; from the tables after a start
         layout.create(spark)
 
     def start(
         self, log_path: str, checkpoint: str, until_caught_up: bool = False, **read_options
     ) -> StreamingQuery:
         """Follow the log; with ``until_caught_up``, stop at its present end."""
+        self._next = None
         writer = (
             read_commits(self.spark, log_path, **read_options)
             .writeStream.option("checkpointLocation", checkpoint)
@@ -105,16 +107,23 @@ class Pipeline:
     def handle_commits(self, commits: DataFrame, log_path: str, batch_id: int) -> None:
         """Handle the appends that are next in line: those whose predecessors are all published."""
         self.layout.appends.note(commits, batch_id)
-        ready = range(self._ready(batch_id - 1), self._ready(batch_id))
-        if ready:
-            folders = [data_folder(log_path, n) for n in ready]
+        first = self._ready(batch_id - 1) if self._next is None else self._next
+        waiting = self._published(batch_id).filter(F.col("append") >= first).collect()
+        last = first
+        while (last,) in waiting:
+            last += 1
+        if last > first:
+            folders = [data_folder(log_path, n) for n in range(first, last)]
             self.handle(self.spark.read.schema(STREAM_ENTRY).json(folders), batch_id)
+        self._next = last
+
+    def _published(self, batch_id: int) -> DataFrame:
+        return self.layout.appends.read(self.spark).filter(F.col("batch_id") <= batch_id).select("append").distinct()
 
     def _ready(self, batch_id: int) -> int:
         """How many appends from 0 on, without a gap, were published up to a batch."""
-        known = self.layout.appends.read(self.spark).filter(F.col("batch_id") <= batch_id).select("append").distinct()
         zero = self.spark.createDataFrame([(-1,)], "append bigint")
-        known = known.filter("append >= 0").unionByName(zero)
+        known = self._published(batch_id).filter("append >= 0").unionByName(zero)
         following = known.select((F.col("append") - 1).alias("append"))
         return known.join(following, "append", "left_anti").agg(F.min("append")).first()[0] + 1
 
