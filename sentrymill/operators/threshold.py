@@ -15,17 +15,20 @@ from .joins import Control, attach_control, match_filters, prepare_control
 from .ranking import GROUP_ROWS, trailing_counts
 
 
-def rule_control(rules: DataFrame | Control) -> Control:
-    """Enabled rules with the condition unpacked, read once."""
+def rule_control(rules: DataFrame | Control, since_created: bool = False) -> Control:
+    """Enabled rules with the condition unpacked, read once. With ``since_created`` a rule counts
+    only events from its ``created_at`` on, so that a new rule starts with an empty window."""
     if isinstance(rules, Control):
         return rules
     c = F.col("condition")
+    since = F.unix_millis("created_at") if since_created else F.lit(None).cast("bigint")
     return prepare_control(rules.filter("enabled").select(
         "rule_id",
         "name",
         "severity",
         (F.col("window_seconds").cast("bigint") * 1000).alias("window_ms"),
         (F.col("cooldown_seconds").cast("bigint") * 1000).alias("cooldown_ms"),
+        since.alias("since_ms"),
         c["operator"].alias("operator"),
         c["value"].alias("value"),
         c["filters"]["event_type"].alias("f_type"),
@@ -36,7 +39,8 @@ def rule_control(rules: DataFrame | Control) -> Control:
 def rule_matches(events: DataFrame, rules: DataFrame | Control) -> DataFrame:
     """One row per event and enabled rule whose filters it meets."""
     slim = with_ms(events).select("event_id", "event_type", "source", "ts_ms", "seq")
-    return match_filters(slim, rule_control(rules), ["rule_id", "window_ms"]).select(
+    matched = match_filters(slim, rule_control(rules), ["rule_id", "window_ms", "since_ms"])
+    return matched.where("since_ms IS NULL OR ts_ms >= since_ms").select(
         "rule_id", "window_ms", "event_id", "ts_ms", "seq"
     )
 

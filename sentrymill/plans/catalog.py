@@ -220,6 +220,9 @@ def queries() -> dict[str, Query]:
     q["sliding_rule_counts_bounded"] = lambda s, p: threshold.sliding_rule_counts(
         _events(s, p), d.rule_table(s), group_rows=0
     ).select("rule_id", "event_id", "count")
+    q["sliding_rule_counts_since"] = lambda s, p: threshold.sliding_rule_counts(
+        _events(s, p), threshold.rule_control(d.rule_table(s).withColumn("created_at", F.lit(_day(10))), since_created=True)
+    ).select("rule_id", "event_id", "count")
     q["threshold_anomalies_bounded"] = lambda s, p: present(_bounded_fires(s, p))
     q["threshold_candidates"] = lambda s, p: threshold.threshold_candidates(
         _events(s, p), d.rule_table(s)

@@ -379,6 +379,8 @@ def oracle_sql() -> dict[str, str]:
 
     q["rule_matches"] = f"WITH {_MATCHES} SELECT rule_id, event_id FROM matches"
     q["sliding_rule_counts"] = q["sliding_rule_counts_bounded"] = f"WITH {_COUNTS} SELECT rule_id, event_id, count FROM counts"
+    started = _COUNTS.replace("FROM matches)", "FROM matches WHERE ts_ms >= epoch_ms(TIMESTAMP '2024-01-10'))")
+    q["sliding_rule_counts_since"] = f"WITH {started} SELECT rule_id, event_id, count FROM counts"
     q["threshold_candidates"] = f"WITH {_CANDIDATES} SELECT rule_id, event_id, count FROM cands"
     q["threshold_anomalies"] = q["threshold_anomalies_bounded"] = f"""WITH RECURSIVE {_CANDIDATES}, {_fires('cands', 'rule_id')}
       SELECT {anomaly_id()} AS anomaly_id, event_id, rule_id, severity,

@@ -82,8 +82,11 @@ class Pipeline:
         profiles: DataFrame | None = None,
         severity: str = zscore.DEFAULT_SEVERITY,
         late_seconds: float = LATE_SECONDS,
+        since_created: bool = False,
     ):
-        """Without ``profiles`` the default one is used; an empty table turns spikes off."""
+        """Without ``profiles`` the default one is used; an empty table turns spikes off. With
+        ``since_created`` a new rule starts with an empty window."""
+        self.since_created = since_created
         self.spark, self.layout, self.severity, self.late_seconds = spark, layout, severity, late_seconds
         self.load_rules = load_rules or (lambda: read_rules(spark, layout.rules))
         self.profiles = zscore.profile_control(zscore.default_profiles(spark) if profiles is None else profiles)
@@ -192,7 +195,7 @@ class Pipeline:
         folder, old = shared_folder(self.spark, "rules"), self._rules_folder
         try:
             with tables_in(folder):
-                self.rules = threshold.rule_control(self.load_rules())
+                self.rules = threshold.rule_control(self.load_rules(), self.since_created)
             self._rules_folder = folder
             if old is not None:
                 delete_folder(self.spark, old)
