@@ -177,10 +177,10 @@ def queries() -> dict[str, Query]:
     # lists and lookups
     q["list_events"] = lambda s, p: _page(listing.list_events(_events(s, p), 500, 100))
     q["list_events_filtered"] = lambda s, p: _page(
-        listing.list_events(_events(s, p), 500, event_type="error", source="user-7")
+        listing.list_events(bind_events(s, p, source="user-7"), 500, event_type="error", source="user-7")
     )
     q["list_events_range"] = lambda s, p: _page(_recent_range(s, p))
-    q["get_event"] = lambda s, p: _page(listing.get_event(_events(s, p), "424"))
+    q["get_event"] = lambda s, p: _page(listing.get_event(bind_events(s, p, event_id="424"), "424"))
     q["list_anomalies"] = lambda s, p: present(
         listing.list_anomalies(stateless_anomalies(s, p), 200, 10, rule_id="invalid-payload", severity="medium")
     )

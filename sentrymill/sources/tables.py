@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import use_utc
 
@@ -16,11 +17,14 @@ def bind_events(
     sf_dir: str,
     start: datetime | None = None,
     end: datetime | None = None,
+    event_id: str | None = None,
+    source: str | None = None,
 ) -> DataFrame:
     """The driver's ``events`` table in canonical form.
 
-    ``start`` and ``end`` (both inclusive, UTC) go onto the stored column before
-    it is cast, so that they reach the Parquet scan as pushed filters.
+    ``start`` and ``end`` (both inclusive, UTC), ``event_id`` and ``source`` go onto the
+    stored columns before they are cast, so that they reach the Parquet scan as pushed
+    filters. An id or source that no stored number gives selects nothing.
     """
     use_utc(spark)
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -28,6 +32,10 @@ def bind_events(
         raw = raw.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
         raw = raw.filter(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
+    if event_id is not None:
+        raw = raw.filter(_stored("event_id", event_id))
+    if source is not None:
+        raw = raw.filter(_stored("user_id", source.removeprefix(SOURCE_PREFIX)) if source.startswith(SOURCE_PREFIX) else F.lit(False))
     ts = F.col("ts").cast("timestamp")
     return raw.select(
         F.col("event_id").cast("string").alias("event_id"),
@@ -41,6 +49,12 @@ def bind_events(
     )
 
 
+def _stored(column: str, text: str) -> Column:
+    """Whether a stored number has this text."""
+    number = re.fullmatch("0|-?[1-9][0-9]{0,17}", text)
+    return F.col(column) == F.lit(int(text)).cast("bigint") if number else F.lit(False)
+
+
 def with_ms(events: DataFrame) -> DataFrame:
     """Add ``ts_ms``, epoch milliseconds, the unit of all window maths."""
     return events.withColumn("ts_ms", F.unix_millis("timestamp"))

@@ -26,3 +26,13 @@ def test_entry(spark):
 def test_query_equals_sql(spark, con, name):
     got, want = compare(spark, con, name, entry_points.queries()[name], SQL[name], SF)
     assert got == want
+
+
+def test_stored_columns_are_filtered_in_the_scan(spark):
+    from sentrymill.sources.tables import bind_events
+
+    for option, pushed in (({"event_id": "424"}, "EqualTo(event_id,424)"), ({"source": "user-7"}, "EqualTo(user_id,7)")):
+        plan = bind_events(spark, SF, **option)._jdf.queryExecution().executedPlan().toString()
+        assert pushed in plan
+    for option in ({"event_id": "0424"}, {"event_id": "x"}, {"source": "host-7"}, {"source": "user-07"}):
+        assert bind_events(spark, SF, **option).count() == 0
