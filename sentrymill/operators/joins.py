@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import checkpointed
 
-# A control table up to this many rows is broadcast. Its rows are validated to a
-# few hundred bytes each, so the broadcast stays in the tens of megabytes.
+# A control table up to this many rows of ``ROW_BYTES`` as text is broadcast, so that the
+# broadcast stays in the tens of megabytes; longer rows count as several.
 BROADCAST_ROWS = 20_000
+ROW_BYTES = 400
 
 SALTS = 16
 
@@ -81,8 +82,8 @@ _TYPE, _SOURCE = 1, 2
 
 @dataclass(frozen=True)
 class Control:
-    """A control table (rules, profiles) read once: its rows, how many there are, and
-    which filter shapes occur. Null ``f_type`` or ``f_source`` means "any"."""
+    """A control table (rules, profiles) read once: its rows, how many there are (or what they
+    take in units of ``ROW_BYTES``, if more), and which filter shapes occur. Null ``f_type`` or ``f_source`` means "any"."""
 
     rows: DataFrame
     count: int
@@ -95,8 +96,11 @@ def prepare_control(table: DataFrame) -> Control:
         + F.when(F.col("f_source").isNotNull(), _SOURCE).otherwise(0)
     )
     rows = checkpointed(table.withColumn("_rshape", shape))
-    seen = rows.agg(F.count("*").alias("n"), F.collect_set("_rshape").alias("shapes")).first()
-    return Control(rows, seen.n, tuple(sorted(seen.shapes)))
+    size = F.octet_length(F.to_json(F.struct("*")))
+    seen = rows.select("_rshape", size.alias("_size")).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("_size"), F.lit(0)).alias("size"), F.collect_set("_rshape").alias("shapes")
+    ).first()
+    return Control(rows, max(seen.n, -(-seen["size"] // ROW_BYTES)), tuple(sorted(seen.shapes)))
 
 
 def match_filters(
