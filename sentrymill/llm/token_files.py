@@ -168,63 +168,78 @@ class WordEncoder:
 
     Exact for tokenizers that never join characters across ASCII white space, such as those
     that split on it before they apply merges; ``whole_texts`` encodes text by text instead.
-    Where the tokenizer lower-cases, and splits letters from the punctuation after them, words
-    that differ in these alone share the work.
+    Where the tokenizer lower-cases, splits letters from the punctuation after them, and takes a
+    run of letters as one piece (all tried out at the start), words that differ in case or
+    closing punctuation share the work, and words of a-z go to the merges directly, many in a
+    row, told apart by the mark that ids at the end of a word bear.
     """
 
     TAILS = ".,;:!?#$%&*"
 
     def __init__(self, tokenizer_path: str, end_id: int | None, whole_texts: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = t = Tokenizer.from_file(tokenizer_path)
         self.end = [] if end_id is None else [end_id]
         self.whole_texts = whole_texts
         upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        pieces = (lambda x: [w for w, _ in t.pre_tokenizer.pre_tokenize_str(x)]) if t.pre_tokenizer else lambda x: []
         self.lowers = t.normalizer is not None and t.normalizer.normalize_str(upper) == upper.lower()
-        self.splits = t.pre_tokenizer is not None and all(
-            [w for w, _ in t.pre_tokenizer.pre_tokenize_str(f"ab{c}{d}")] == ["ab", f"{c}{d}"]
-            for c in self.TAILS for d in self.TAILS)
+        self.splits = all(pieces(f"ab{c}{d}") == ["ab", f"{c}{d}"] for c in self.TAILS for d in self.TAILS)
+        self.plain, suffix = None, getattr(t.model, "end_of_word_suffix", None)
+        if suffix and self.lowers and pieces(upper.lower() * 2) == [upper.lower() * 2] and pieces("s t re ve m ll d") == "s t re ve m ll d".split():
+            self.plain = Tokenizer(t.model)
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            vocabulary = t.get_vocab()
+            self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+            self.closes[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
+        """Words are two parts each; part 0 is empty, part 1 the end. Word 0 is the end."""
         self.known: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {"": []}
+        self.words = np.array([[1, 0]], np.int64)
+        self.parts: dict[str, int] = {"": 0}
         self.ids = np.array(self.end, np.uint32)
-        self.at = np.array([0, len(self.end)], np.int64)
-
-    def _encode_parts(self, parts: list[str]) -> None:
-        """Words of letters alone are encoded many in a row, if each is one piece to the tokenizer."""
-        alone = [p for p in parts if not p.isalpha()]
-        joined = [p for p in parts if p.isalpha()]
-        groups = [joined[k:k + 500] for k in range(0, len(joined), 500)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            piece = np.array(e.word_ids, float)
-            first = np.flatnonzero(np.diff(piece, prepend=-1))
-            if len(first) == len(group):
-                ids = e.ids
-                self.parts.update((w, ids[a:b]) for w, a, b in zip(group, first.tolist(), [*first[1:].tolist(), len(ids)]))
-            else:
-                alone += group
-        for k in range(0, len(alone), 20_000):
-            part = alone[k:k + 20_000]
-            self.parts.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+        self.at = np.array([0, 0, len(self.end)], np.int64)
+
+    def _encode_parts(self, fresh: list[str]) -> None:
+        plain = [p for p in fresh if self.plain and p.isascii() and p.isalpha()]
+        other = [p for p in fresh if not (self.plain and p.isascii() and p.isalpha())]
+        ids, lengths = [self.ids], []
+        groups = [plain[k:k + 500] for k in range(0, len(plain), 500)]
+        for e in self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False) if groups else ():
+            ids.append(np.array(e.ids, np.uint32))
+            lengths.append(np.diff(np.flatnonzero(self.closes[ids[-1]]), prepend=-1))
+        for k in range(0, len(other), 20_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(other[k:k + 20_000], add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+        first = len(self.at) - 1
+        self.parts.update(zip(chain(plain, other), range(first, first + len(fresh))))
+        self.ids = np.concatenate(ids)
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(np.concatenate(lengths))))
 
     def _learn(self, fresh: list[bytes]) -> None:
         if len(self.known) + len(fresh) > REMEMBERED_WORDS:
             self._forget()
-        pairs = []
-        for word in fresh:
-            w = (word.lower() if self.lowers else word).decode()
-            head = w.rstrip(self.TAILS) if self.splits else w
-            pairs.append((head, w[len(head):]) if head and head[-1].isalpha() else (w, ""))
-        self._encode_parts([p for p in {p for pair in pairs for p in pair} if p not in self.parts])
-        found = [self.parts[head] + self.parts[tail] for head, tail in pairs]
-        first = len(self.at) - 1
-        self.known.update(zip(fresh, range(first, first + len(fresh))))
-        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.uint32)))
-        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(list(map(len, found)), dtype=np.int64)))
+        joined = b"\n".join(fresh)  # words have no line breaks
+        heads = (joined.lower() if self.lowers else joined).decode().split("\n")
+        tails = [""] * len(heads)
+        if self.splits:
+            for k, w in enumerate(heads):
+                if w[-1] in self.TAILS:
+                    head = w.rstrip(self.TAILS)
+                    if head and head[-1].isalpha():
+                        heads[k], tails[k] = head, w[len(head):]
+        new = set(heads).union(tails).difference(self.parts)
+        if new:
+            self._encode_parts(list(new))
+        place, n = self.parts.__getitem__, len(fresh)
+        pairs = np.stack((np.fromiter(map(place, heads), np.int64, n), np.fromiter(map(place, tails), np.int64, n)), 1)
+        self.known.update(zip(fresh, range(len(self.words), len(self.words) + n)))
+        self.words = np.concatenate((self.words, pairs))
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has; the end id closes each text."""
@@ -241,12 +256,13 @@ class WordEncoder:
             self._learn(list(fresh))
         last = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
         which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64)
-        which = np.insert(which, last, 0)
-        lengths = self.at[which + 1] - self.at[which]
-        ids = self.ids[np.repeat(self.at[which], lengths) + runs(lengths)]
-        ends = last + np.arange(1, len(last) + 1)
+        parts = self.words[np.insert(which, last, 0)].ravel()
+        ends = 2 * (last + np.arange(1, len(last) + 1))
+        lengths = self.at[parts + 1] - self.at[parts]
         through = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], ends))]
-        return ids, np.diff(through)
+        kept = lengths > 0
+        parts, lengths = parts[kept], lengths[kept]
+        return self.ids[np.repeat(self.at[parts], lengths) + runs(lengths)], np.diff(through)
 
 
 # ---- Spark -------------------------------------------------------------------------------
