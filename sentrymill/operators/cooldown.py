@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import checkpointed
-from .joins import salted_join
 
 # Distinct candidate milliseconds of one key that a single pass may take.
 DIRECT_ROWS = 5_000_000

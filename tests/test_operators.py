@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from sentrymill.functions.text import anomaly_id, number_text, rate4, round4
 from sentrymill.operators import ingest, joins, listing, metrics, outbox, retention, rules, validate
-from sentrymill.schemas import RULES
 from sentrymill.sources import codec, tables
 
 from .fixtures import T0, at, event_frame, make_events, numbered
