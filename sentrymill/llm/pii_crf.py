@@ -1,9 +1,9 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field over words.
 
 Each word is private or not. Neighbouring words share a potential, and so do occurrences of
-the same or a similar word anywhere in a document (equal but for case and signs around and
-in it; each occurrence is tied to the one before, so edges grow with the words). Such a graph has
-loops; loopy message passing gives the marginals, in training and in use. The field is
+the same or a similar word anywhere in a document (of four letters or digits at least, equal but
+for case, signs around and in it, and a name such as ``token=`` before it; each occurrence is
+tied to the one before, so edges grow with the words). Such a graph has loops; loopy message passing gives the marginals, in training and in use. The field is
 trained on weak labels: what the patterns find, and values assigned to names like ``token``.
 """
 
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import SAME_TABLE, SPACES, Words, filled, steps
+from .text import SAME_TABLE, SPACES, Words, _Tables, filled, span_hashes, steps
 
 # ---- fixed values: kinds and their patterns ----
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -79,53 +79,58 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 class Graph:
-    """Words of a run of texts, features of those that could matter, and the skip edges."""
+    """Words of a run of texts, features of those that have any, and the skip edges."""
 
     def __init__(self, texts: pa.Array):
         self.words = w = Words(texts, SAME_TABLE, SPACES)
         n, data = len(w), w.data
-        flag = np.zeros(256, bool)
-        flag[list(b'0123456789@"=')] = True
-        marks = np.concatenate(([0], np.cumsum(flag[data], dtype=np.int32)))
-        odd = np.flatnonzero(marks[w.end] > marks[w.start]) if n else np.zeros(0, np.int64)
-        self.doc = doc = np.searchsorted(w.first, odd, side="right") - 1
         self.head = np.zeros(n, bool)
         self.head[w.first[:-1][w.counts > 0]] = True
         self.tail = np.zeros(n, bool)
         self.tail[w.first[1:][w.counts > 0] - 1] = True
-        # words with a mark, and two to each side of them in their text
-        near = np.unique(np.concatenate([
-            np.clip(odd + k, w.first[doc], w.first[doc + 1] - 1) for k in (-2, -1, 0, 1, 2)]))
+        doc = w.doc
+        # words with a mark, private names, and two to each side of them in their text
+        flag = np.zeros(256, bool)
+        flag[list(b'0123456789@"=:')] = True
+        marks = np.concatenate(([0], np.cumsum(flag[data], dtype=np.int32)))
+        letters, _ = _hashes(data, w.start, w.end, LETTERS)
+        odd = np.flatnonzero((marks[w.end] > marks[w.start]) | np.isin(letters, _name_hashes()))
+        close = np.unique(np.concatenate([
+            np.clip(odd + k, w.first[doc[odd]], w.first[doc[odd] + 1] - 1) for k in (-2, -1, 0, 1, 2)]))
+        # any other word has no feature but its length
+        self.near = near = np.union1d(close, np.flatnonzero(w.end - w.start >= LONG))
         body = data.tobytes()
-        self.near = near
         text = [body[a:b] for a, b in zip(w.start[near].tolist(), w.end[near].tolist())]
-        at = {int(i): k for k, i in enumerate(near)}
-        own = np.array([_features(t) for t in text], np.float32).reshape(len(near), _OWN)
-        near_doc = np.searchsorted(w.first, near, side="right") - 1
-
-        def around(k: int) -> np.ndarray:
-            there = np.array([at.get(int(i) + k, -1) for i in near], np.int64)
-            there[there >= 0] = np.where(near_doc[there[there >= 0]] == near_doc[there >= 0], there[there >= 0], -1)
-            return there
-
-        before, after, second = around(-1), around(1), around(-2)
-        pick = lambda there, column: np.where(there >= 0, own[there, column], 0) if len(near) else np.zeros(0)
-        assigned = pick(before, _ASSIGNS)
-        context = np.stack([
-            pick(before, _DIGITS), pick(after, _DIGITS), assigned * own[:, _LONG] if len(near) else assigned,
-            assigned * pick(second, _NAMED)], 1).astype(np.float32)
-        self.x = np.concatenate((own, context), 1) if len(near) else np.zeros((0, FEATURES), np.float32)
+        own = np.array([_seen_features(t) for t in text], np.float32).reshape(len(near), _OWN)
+        own[:, _CLOSE] = np.isin(near, close)
+
+        def pick(k: int, column: int) -> np.ndarray:
+            """A feature of the word ``k`` places on in the same text, else 0."""
+            other = near + k
+            at = np.searchsorted(near, other)
+            at[at == len(near)] = 0
+            there = (near[at] == other) & (doc[near[at]] == doc[near])
+            return np.where(there, own[at, column], 0)
+
+        if len(near):
+            assigned, named = pick(-1, _ASSIGNS), pick(-1, _NAMED)
+            context = np.stack([
+                pick(-1, _DIGITS), pick(1, _DIGITS), assigned * own[:, _LENGTH], assigned * np.maximum(named, pick(-2, _NAMED)),
+                named * own[:, _LENGTH]], 1).astype(np.float32)
+            self.x = np.concatenate((own, context), 1)
+        else:
+            self.x = np.zeros((0, FEATURES), np.float32)
         # occurrences of like words, each tied to the one before
-        place = np.searchsorted(near, odd)
-        like = [re.sub(rb"[^0-9a-z\x80-\xff]", b"", text[p].lower()) for p in place]
-        last: dict[tuple, int] = {}
-        edges = []
-        for i, d, key in zip(odd.tolist(), doc.tolist(), like):
-            if len(key) >= 4:
-                if (d, key) in last:
-                    edges.append((last[d, key], i))
-                last[d, key] = i
-        self.edges = np.array(edges, np.int64).reshape(-1, 2)
+        start = w.start.copy()
+        inside = np.concatenate(([0], np.cumsum((data == 61) | (data == 58), dtype=np.int32)))
+        for i in np.flatnonzero(inside[np.maximum(w.end - 1, w.start)] > inside[w.start]).tolist():
+            start[i] += _value_at(body[w.start[i]:w.end[i]])
+        key, size = _hashes(data, start, w.end, LIKE)
+        rows = np.flatnonzero(size >= 4)
+        rows = rows[np.lexsort((key[rows], doc[rows]))]
+        like = (key[rows[1:]] == key[rows[:-1]]) & (doc[rows[1:]] == doc[rows[:-1]])
+        edges = np.stack((rows[:-1][like], rows[1:][like]), 1)
+        self.edges = edges[np.argsort(edges[:, 1])]
 
     def marginals(self, weight: np.ndarray, chain: float, skip: float) -> tuple[np.ndarray, ...]:
         """Log-odds of private for each word after ``ROUNDS`` rounds of messages, and the messages.
@@ -158,9 +163,44 @@ def _message(c: np.ndarray, factor: np.float32) -> np.ndarray:
     return np.log((1 + e * factor) / (1 + e))
 
 
-_DIGITS, _LONG, _ASSIGNS, _NAMED = 0, 1, 2, 3
-_OWN = 20
-FEATURES = _OWN + 4
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and length of what ``table`` leaves of each word; it makes 0 of the bytes to drop."""
+    body = table[data]
+    kept = np.concatenate(([0], np.cumsum(body > 0, dtype=np.int64)))
+    return span_hashes(body[body > 0], kept[start], kept[end]), kept[end] - kept[start]
+
+
+def _name_hashes() -> np.ndarray:
+    names = sorted(_NAMES)
+    ends = np.cumsum([len(x) for x in names])
+    return span_hashes(np.frombuffer(b"".join(names), np.uint8), np.append(0, ends[:-1]), ends)
+
+
+def _value_at(word: bytes) -> int:
+    """Where the value starts in a word such as token="abc"; 0 in words without a private name."""
+    name, sign, value = re.fullmatch(rb"([^=:]*)([=:]*)(.*)", word, re.S).groups()
+    named = re.sub(rb"[^a-z]", b"", name.lower()) in _NAMES and re.search(rb"[0-9A-Za-z\x80-\xff]", value)
+    return len(name + sign) if named else 0
+
+
+# Letters a-z, and what like words have in common, from any byte; 0 where a byte is dropped.
+LETTERS = np.array([b if 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 0 for b in range(256)], np.uint8)
+LIKE = np.array([b if b >= 128 or 48 <= b <= 57 else LETTERS[b] for b in range(256)], np.uint8)
+LONG = 12
+_DIGITS, _LENGTH, _ASSIGNS, _NAMED, _CLOSE = range(5)
+_OWN = 21
+FEATURES = _OWN + 5
+
+
+_SEEN = _Tables()  # features of the words met last
+
+
+def _seen_features(word: bytes) -> list[float]:
+    if word not in _SEEN:
+        if len(_SEEN) >= 1 << 16:
+            _SEEN.clear()
+        _SEEN[word] = _features(word)
+    return _SEEN[word]
 
 
 def _features(word: bytes) -> list[float]:
@@ -174,10 +214,11 @@ def _features(word: bytes) -> list[float]:
     valid = address and all(len(p) <= 3 and int(p) <= 255 for p in core.split(b"."))
     card = whole and 14 <= digits <= 19
     return [
-        digits > 0, n >= 12, word[-1:] in b"=:" or core == b"=", re.sub(rb"[^a-z]", b"", core.lower()) in _NAMES,
+        digits > 0, n >= LONG, word[-1:] in b"=:" or core == b"=", re.sub(rb"[^a-z]", b"", core.lower()) in _NAMES,
         1.0, digits / n, whole, n >= 12 and digits > 0 and letters > 0, b"@" in core and b"." in core.partition(b"@")[2],
         b"@" in core, address, valid, card, card and luhn(core.decode()), word[:1] == b"+" and digits > 0,
         word[:1] == b"(" and digits == 3, digits >= 6 and b"-" in core, word[:1] in b"\"'" and n >= 12, digits in (1, 2, 3), n >= 20,
+        len(word) - _value_at(word) >= LONG and _value_at(word) > 0,
     ]
 
 

@@ -120,3 +120,26 @@ def test_without_training_rows_only_patterns_count(spark):
     model = pc.fit(docs)
     target = spark.createDataFrame([(1, f'token = "{CODE}" a@b.cd')], "doc_id long, text string")
     assert [r.spans for r in pc.personal_data(target, model).collect()] == [pc.joined(brute(f'token = "{CODE}" a@b.cd'))]
+
+
+def test_words_of_letters_only_have_ties_and_features():
+    g = pc.Graph(pa.array(['token="abcdefghijkl" and Margaret saw abcdefghijkl, margaret', "margaret http://abcdefghijkl"]))
+    assert g.edges.tolist() == [[0, 4], [2, 5]]
+    g = pc.Graph(pa.array(["one two password: correcthorsebattery three four five six seven"]))
+    value = g.near.tolist().index(3)
+    assert g.x[value].any() and g.x[value, pc._OWN + 3] == 1 and 8 not in g.near
+
+
+def test_secret_of_letters_only_is_found_with_its_repeats():
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    fill = lambda n: " ".join(word(rng.integers(3, 15)) for _ in range(n))
+    texts = []
+    for k in range(120):
+        secret = word(16)
+        texts.append(f"{fill(20)} password: {secret} {fill(20)}" if k % 2 else fill(40))
+    model = pc.SkipChainField.fit(pa.array(texts))
+    text = "we wrote password: correcthorsebattery down, and a misunderstanding later"
+    [(base, spans)] = pc.all_spans(pa.array([text]), model)
+    at = text.index("correct")
+    assert base == [] and spans == [(at, 5, at + 19)]
