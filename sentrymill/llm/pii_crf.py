@@ -33,6 +33,8 @@ THRESHOLD = 0.5
 # Documents the field is trained on, at most about (picked by hash among those with a digit or an @).
 TRAINING_ROWS = 800
 ROUNDS, PASSES, RATE, DECAY = 8, 80, 0.25, 1e-5
+# Log-odds that move by less count as settled.
+TOLERANCE = 1e-3
 
 _SECRET = re.compile(r"""(?i)(?:token|secret|password|passwd|pwd|api[_-]?key|key|auth)["']?\s*[=:]\s*["']?([A-Za-z0-9_+/-]{12,})""")
 _NAMES = {b"token", b"secret", b"password", b"passwd", b"pwd", b"apikey", b"key", b"auth"}
@@ -131,31 +133,68 @@ class Graph:
         like = (key[rows[1:]] == key[rows[:-1]]) & (doc[rows[1:]] == doc[rows[:-1]])
         edges = np.stack((rows[:-1][like], rows[1:][like]), 1)
         self.edges = edges[np.argsort(edges[:, 1])]
+        ends = np.flatnonzero(np.concatenate(([True], ~like, [True])))
+        self.longest = int(np.diff(ends).max())  # most occurrences of like words, 1 at least
 
     def marginals(self, weight: np.ndarray, chain: float, skip: float) -> tuple[np.ndarray, ...]:
-        """Log-odds of private for each word after ``ROUNDS`` rounds of messages, and the messages.
+        """Log-odds of private for each word once the messages have settled, and the messages.
 
         A potential adds ``chain`` or ``skip`` where both its words are private, so the message
         along an edge is log((1 + exp(c + potential)) / (1 + exp(c))), c being the log-odds of the
-        sender without what the receiver told it.
+        sender without what the receiver told it. After ``ROUNDS`` rounds over all words only those
+        whose log-odds still move by more than ``TOLERANCE`` send again, until none does.
         """
         n = len(self.words)
         u = np.full(n, weight[0], np.float32)
         u[self.near] += self.x @ weight[1:].astype(np.float32)
-        a, b = self.edges.T
+        a, b = self.edges.T  # a word is at most once in a and once in b
         left, right, to_b, to_a = np.zeros(n, np.float32), np.zeros(n, np.float32), np.zeros(len(a), np.float32), np.zeros(len(a), np.float32)
-        inner, outer = ~self.head[1:], np.float32(np.exp(chain))
-        total = u
+        inner, outer, tie = ~self.head[1:], np.float32(np.exp(chain)), np.float32(np.exp(skip))
+
+        def summed() -> np.ndarray:
+            out = u + left + right
+            out[b] += to_b
+            out[a] += to_a
+            return out
+
+        total, before = u, u
         for _ in range(ROUNDS):
+            before = total
             gone = total - right
             come = total - left
             left[1:] = _message(gone[:-1], outer) * inner
             right[:-1] = _message(come[1:], outer) * inner
-            to_b, to_a = _message(total[a] - to_a, np.float32(np.exp(skip))), _message(total[b] - to_b, np.float32(np.exp(skip)))
-            total = u + left + right
-            np.add.at(total, b, to_b)
-            np.add.at(total, a, to_a)
-        return total, left, right, to_b, to_a
+            to_b, to_a = _message(total[a] - to_a, tie), _message(total[b] - to_b, tie)
+            total = summed()
+        moved = np.flatnonzero(np.abs(total - before) > TOLERANCE)
+        if not len(moved):
+            return total, left, right, to_b, to_a
+        as_a, as_b = np.full(n, -1), np.full(n, -1)
+        as_a[a], as_b[b] = np.arange(len(a)), np.arange(len(b))
+        # Potentials of no less than 0 only raise messages, which are bounded, so they settle. Others
+        # may swing: they go half the way, and for a number of rounds that the longest path bounds.
+        pulls = min(chain, skip) < 0
+        share, rounds = np.float32(0.5 if pulls else 1), 0
+        while len(moved) and not (pulls and rounds > 4 * (self.longest + 50)):
+            rounds += 1
+            last, first = moved[~self.tail[moved]], moved[~self.head[moved]]
+            e, f = as_a[moved], as_b[moved]
+            e, f = e[e >= 0], f[f >= 0]
+            sent = [(left, last + 1, last, last + 1, _message(total[last] - right[last], outer)),
+                    (right, first - 1, first, first - 1, _message(total[first] - left[first], outer)),
+                    (to_b, e, a[e], b[e], _message(total[a[e]] - to_a[e], tie)),
+                    (to_a, f, b[f], a[f], _message(total[b[f]] - to_b[f], tie))]
+            next_moved = [moved[:0]]
+            for messages, at, sender, word, new in sent:
+                step = share * (new - messages[at])
+                messages[at] += step
+                total[word] += step
+                far = np.abs(step) > TOLERANCE
+                next_moved.append(word[far])
+                if pulls:  # the rest of the way is still to go
+                    next_moved.append(sender[far])
+            moved = np.unique(np.concatenate(next_moved))
+        return summed(), left, right, to_b, to_a
 
 
 def _message(c: np.ndarray, factor: np.float32) -> np.ndarray:

@@ -143,3 +143,22 @@ def test_secret_of_letters_only_is_found_with_its_repeats():
     [(base, spans)] = pc.all_spans(pa.array([text]), model)
     at = text.index("correct")
     assert base == [] and spans == [(at, 5, at + 19)]
+
+
+def test_messages_reach_every_repeat(monkeypatch):
+    g = pc.Graph(pa.array([" ".join(f"{'filler'[:k % 3]} abcdef" for k in range(40))]))
+    at = np.array([g.edges[0, 0], *g.edges[:, 1]])
+    g.near, g.x = at[:1], np.array([[16.0]])
+    weight, skip = np.array([-4.0, 1.0]), 4.0
+    up, down = [12.0], [-4.0]
+    for _ in range(39):
+        up.append(-4 + np.log((1 + np.exp(up[-1] + skip)) / (1 + np.exp(up[-1]))))
+        down.append(-4 + np.log((1 + np.exp(down[-1] + skip)) / (1 + np.exp(down[-1]))))
+    total = g.marginals(weight, 0.0, skip)[0]
+    want = np.array([up[k] + down[39 - k] + 4 for k in range(40)])
+    assert np.abs(total[at] - want).max() < 0.01
+    for chain in (0.5, -0.5):
+        total = g.marginals(weight, chain, skip)[0]
+        with monkeypatch.context() as m:
+            m.setattr(pc, "ROUNDS", 300)
+            assert np.abs(total - g.marginals(weight, chain, skip)[0]).max() < 0.02
