@@ -30,7 +30,7 @@ KINDS = ("email", "ip", "card", "phone")
 # Kinds of the spans that the field adds: long mixed codes, and anything else.
 ADDED = ("secret", "private")
 THRESHOLD = 0.5
-# Documents the field is trained on, at most about (picked by hash among those with a digit or an @).
+# Distinct texts the field is trained on, at most about; half of them with a weak label where there are as many.
 TRAINING_ROWS = 800
 ROUNDS, PASSES, RATE, DECAY = 8, 80, 0.25, 1e-5
 # Log-odds that move by less count as settled.
@@ -357,11 +357,25 @@ def all_spans(texts: pa.Array, model: SkipChainField) -> list[tuple[list, list]]
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", training_rows: int = TRAINING_ROWS) -> SkipChainField:
-    """Train on a bounded number of documents; all documents are searched with the result."""
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    n = rows.count()
-    below = int(min(1.0, training_rows / max(1, n)) * (1 << 62)) * 2 - 1
-    picked = rows.where(F.xxhash64("text").bitwiseAND((1 << 63) - 1) <= below).distinct().toArrow()
+    """Train on a bounded number of distinct texts; all documents are searched with the result.
+
+    Half of them, or all there are where that is less, have a weak label; the others are texts
+    without one that hold a digit, an @ or an assignment to a private name. Both are picked by hash.
+    """
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]") | F.col("text").rlike(_SECRET.pattern))
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes = [bool(_SECRET.search(t) or base_spans(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"text": batch.column("text"), "h": batch.column("h"), "labelled": pa.array(yes, pa.bool_())})
+
+    rows = rows.withColumn("h", F.xxhash64("text").bitwiseAND((1 << 63) - 1)).mapInArrow(labelled, "text string, h long, labelled boolean")
+    distinct = rows.select("h", "labelled").distinct().groupBy("labelled").count()
+    n = {r["labelled"]: r["count"] for r in distinct.collect()}
+    wanted = {True: training_rows // 2}
+    wanted[False] = training_rows - min(wanted[True], n.get(True, 0))
+    below = {k: int(min(1.0, v / max(1, n.get(k, 0))) * (1 << 62)) * 2 - 1 for k, v in wanted.items()}
+    picked = rows.where(F.col("h") <= F.when(F.col("labelled"), F.lit(below[True])).otherwise(F.lit(below[False]))).select("text").distinct().toArrow()
     texts = sorted(picked.column("text").to_pylist())
     return SkipChainField.fit(pa.array(texts, pa.large_string()))
 

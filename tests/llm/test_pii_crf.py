@@ -162,3 +162,17 @@ def test_messages_reach_every_repeat(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(pc, "ROUNDS", 300)
             assert np.abs(total - g.marginals(weight, chain, skip)[0]).max() < 0.02
+
+
+def test_rare_weak_labels_and_copies_are_drawn(spark):
+    rows = [(k, f"page {k} of many") for k in range(300)] + [(k, "copy 1 of one text") for k in range(300)]
+    rows += [(k, f'set token = "{k}{CODE}"') for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    fit = pc.SkipChainField.fit
+    try:
+        pc.SkipChainField.fit = lambda texts: seen.extend(texts.to_pylist()) or fit(texts)
+        pc.fit(docs, training_rows=20)
+    finally:
+        pc.SkipChainField.fit = fit
+    assert sum("token" in t for t in seen) == 4 and 4 < len(seen) < 50 and len(set(seen)) == len(seen)
