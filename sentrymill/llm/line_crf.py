@@ -210,7 +210,7 @@ def fit(
     """Fit on at most about ``training_rows`` labelled documents that aren't held out, picked by a hash of the id.
 
     Labels are 1 or 0; null ids and other labels are left out, and of several labels of an id the
-    smallest counts. Without both labels the model gives every text 0.5.
+    smallest counts, as does the smallest text of several rows of an id. Without both labels the model gives every text 0.5.
     """
     usable = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(
         F.min(label_col).cast("int").alias("y")).where("id IS NOT NULL")
@@ -219,7 +219,8 @@ def fit(
     below = int(min(1.0, training_rows / max(1, n)) * (1 << 62)) * 2 - 1
     picked = usable.where(F.xxhash64("id").bitwiseAND((1 << 63) - 1) <= below)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.join(F.broadcast(picked), "id").toArrow()  # the picked rows are bounded
+    # one row per picked id, so what comes to the driver is bounded where ids repeat
+    found = rows.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text")).toArrow()
     order = sorted(range(found.num_rows), key=lambda k, i=found.column("id").to_pylist(), t=found.column("text").to_pylist(): (i[k], t[k] or ""))
     found = found.take(pa.array(order, pa.int64()))
     return LineCrf.fit(found.column("text").combine_chunks(), found.column("y").to_numpy())

@@ -82,3 +82,14 @@ def test_unusable_labels_give_one_half(spark):
     none = spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, quality int")
     assert {r.score for r in lc.scored(docs, lc.fit(docs, none)).collect()} == {0.5}
     assert {r.score for r in lc.scored(docs, lc.fit(docs, none.limit(0))).collect()} == {0.5}
+
+
+def test_copies_of_an_id_neither_reach_the_driver_nor_weigh(spark, monkeypatch):
+    docs, labels = labelled(spark, SF)
+    one = labels.where("crc32(CAST(doc_id AS STRING)) % 5 != 0").orderBy("doc_id").first().doc_id
+    copies = docs.where(f"doc_id = {one}").crossJoin(spark.range(300)).select(docs.columns)
+    seen = []
+    fit = lc.LineCrf.fit
+    monkeypatch.setattr(lc.LineCrf, "fit", lambda texts, y: seen.append(len(texts)) or fit(texts, y))
+    alone, repeated = lc.fit(docs, labels), lc.fit(docs.unionByName(copies), labels)
+    assert seen[0] == seen[1] and np.array_equal(alone.weight, repeated.weight)
