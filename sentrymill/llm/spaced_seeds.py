@@ -19,6 +19,10 @@ from .text import ALNUM_TABLE, Words, runs, steps, windows, written
 # With these two, every 15 words of which at most 3 are replaced share a seed (tested over all
 # choices of the 3).
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 5))
+# A third one for items under so many words: two replaced words can break both masks in 10 or 11
+# words. With it no layout of a short item is lost (tested over all).
+SHORT_ITEM_WORDS = 12
+SHORT_MASKS = ((0, 1, 3, 6, 7),)
 # At least this share of the aligned words must be equal ...
 SHARE = (4, 5)
 # ... and so many of them, or that share of the item where that is less.
@@ -35,17 +39,20 @@ PAIRS = "doc_id long, item_id long, matched_words int, aligned_words int, item_w
 class SeedIndex:
     """Seeds and words of a bounded number of benchmark items."""
 
-    def __init__(self, item_ids: list, texts: list[str | None], masks=MASKS):
-        self.masks = masks
+    def __init__(self, item_ids: list, texts: list[str | None], masks=MASKS, short_masks=SHORT_MASKS):
+        self.masks = []
         self.item_null = np.array([i is None for i in item_ids])
         self.item_ids = np.array([i or 0 for i in item_ids], np.int64)
         w = Words(pa.array(texts, pa.large_string()), ALNUM_TABLE)
         self.words, self.first = w.hashes(), w.first
         seeds, entries = [], []
-        for k, mask in enumerate(masks):
+        for k, mask in enumerate((*masks, *short_masks)):
             s, at = _seeds(self.words, self.first, mask, k)
             item = np.searchsorted(self.first, at, side="right") - 1
-            fit = np.diff(self.first)[item] >= ITEM_WORDS
+            size = np.diff(self.first)[item]
+            fit = (size >= ITEM_WORDS) & ((size < SHORT_ITEM_WORDS) | (k < len(masks)))
+            if fit.any():
+                self.masks.append((k, mask))
             seeds.append(s[fit])
             entries.append(np.stack((item[fit], (at - self.first[item])[fit]), 1))
         seeds, entries = np.concatenate(seeds), np.concatenate(entries)
@@ -60,8 +67,8 @@ class SeedIndex:
         """The best alignment of each (text, item) that overlap enough, by text, then item."""
         w = Words(texts, ALNUM_TABLE)
         h = w.hashes()
-        found = []
-        for k, mask in enumerate(self.masks):
+        found = [np.zeros((0, 3), np.int64)]
+        for k, mask in self.masks:
             s = windows(h, mask) + np.uint64(k)
             at = np.flatnonzero(self.filter[s >> self.shift])
             doc = np.searchsorted(w.first, at, side="right") - 1

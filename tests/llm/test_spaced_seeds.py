@@ -97,3 +97,17 @@ def test_query_finds_what_all_alignments_find(spark):
         assert set(want) <= {(r.doc_id, r.item_id) for r in got} and len(want) > 0
     else:
         assert sorted((r.doc_id, r.item_id, r.matched_words) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("size", range(ss.ITEM_WORDS, 16))
+def test_no_layout_of_an_item_is_lost(size):
+    least = min(ss.MATCHED_WORDS, -(-4 * size // 5))
+    index = ss.SeedIndex([1], [" ".join(WORDS[:size])])
+    layouts = list(itertools.combinations(range(size), size - least))
+    texts = [" ".join("other" if k in bad else w for k, w in enumerate(WORDS[:size])) for bad in layouts]
+    hit = index.search(ss.pa.array(texts))
+    assert hit["doc"].tolist() == list(range(len(texts))) and (hit["matched_words"] == least).all()
+
+
+def test_index_without_seeds_finds_nothing():
+    assert len(ss.SeedIndex([1], ["alpha beta"]).search(ss.pa.array(["alpha beta", None]))["doc"]) == 0
