@@ -8,8 +8,9 @@ the two softmaxes stay small, every word has a probability, and they sum to one.
 
 Training is data-parallel: in each round every task trains on its part of a slice of the
 training documents, from the same weights, and the results are averaged by token counts.
-Backpropagation is cut after ``WINDOW`` words; the state goes on from window to window to the
-end of a document, in training and in scoring.
+Backpropagation is cut after ``WINDOW`` words; the state goes on from window to window. In scoring
+it goes on to the end of a document; in training also a lane's edge ends it, as a task's tokens
+are cut into up to ``TRAIN_LANES`` even lanes wherever an edge falls.
 """
 
 from __future__ import annotations
