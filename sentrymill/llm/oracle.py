@@ -55,5 +55,51 @@ FROM l
 """
 
 
+# Failed filters as bits; E by the smallest id of a text.
+AUDIT = r"""
+WITH t AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (
+    SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+        + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS failed
+    FROM t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+    SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+    FROM f LEFT JOIN l USING (doc_id) GROUP BY part, failed),
+x(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+    SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM x a, x b, x c, x d, x e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (
+    SELECT filter_order, step::INTEGER AS step, bits[step] AS own, coalesce(list_sum(bits[:step - 1]), 0)::INTEGER AS before
+    FROM orders, range(1, 6) AS r(step)),
+sums AS (
+    SELECT part, filter_order, step, own,
+        coalesce(sum(n) FILTER (WHERE failed & (before | own) = 0), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (WHERE failed & own > 0 AND failed & before = 0), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (WHERE failed & own > 0 AND failed & before > 0), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (WHERE failed = own), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (WHERE failed & own > 0 AND failed & before = 0), 0)::BIGINT AS good_lost,
+        coalesce(sum(toxic) FILTER (WHERE failed & own > 0 AND failed & before = 0), 0)::BIGINT AS toxic_lost
+    FROM c, steps GROUP BY part, filter_order, step, own)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM sums
+"""
+
+EXACT = """
+WITH t AS (
+    SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+    FROM documents),
+g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_templates": LICENSES, "op8_poisson_mix": POISSON}
+    return {
+        "op2_license_templates": LICENSES, "op8_poisson_mix": POISSON, "op11_filter_audit": AUDIT, "op12_digest_index": EXACT,
+    }

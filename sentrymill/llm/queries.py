@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fuzzy_lines, gru_lm, licenses, line_crf, pii_crf, poisson_mix, quality_rules, simhash_vp, spaced_seeds, token_files
+from . import (
+    digest_index, filter_audit, fuzzy_lines, gru_lm, licenses, line_crf, pii_crf, poisson_mix, quality_rules, simhash_vp,
+    spaced_seeds, spelling, token_files,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +65,21 @@ def op10_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.scored(_table(spark, sf_dir, "documents"))
 
 
-def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_files, op2_license_templates, op3_spaced_seeds, op4_simhash_vp, op5_fuzzy_lines, op6_quality_rules, op7_pii_crf, op8_poisson_mix, op9_line_crf, op10_gru_lm)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return digest_index.exact_duplicates(docs, digest_index.older_half(docs))
 
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in (
+        op1_token_files, op2_license_templates, op3_spaced_seeds, op4_simhash_vp, op5_fuzzy_lines, op6_quality_rules,
+        op7_pii_crf, op8_poisson_mix, op9_line_crf, op10_gru_lm, op11_filter_audit, op12_digest_index, op13_spelling_variants,
+    )}
