@@ -98,6 +98,11 @@ def threshold_fires(
         first_fire_ms=0,
         direct_rows=direct_rows,
     )
+    return threshold_rows(fired, rules)
+
+
+def threshold_rows(fired: DataFrame, rules: DataFrame | Control) -> DataFrame:
+    """Anomaly rows of the candidates that fire."""
     control = rule_control(rules)
     message = F.concat(
         F.lit('Threshold rule "'), "name", F.lit('" triggered: count('), F.col("count").cast("string"),

@@ -149,6 +149,13 @@ def zscore_fires(
         earlier=earlier,
         direct_rows=direct_rows,
     )
+    return zscore_rows(fired, profiles, severity, rule_id_prefix)
+
+
+def zscore_rows(
+    fired: DataFrame, profiles: DataFrame | Control, severity: str = DEFAULT_SEVERITY, rule_id_prefix: str = ""
+) -> DataFrame:
+    """Anomaly rows, with a details struct, of the candidates that fire."""
     rows = attach_control(
         fired, profile_control(profiles), "profile_id", ["bucket_ms", "n_buckets", "f_type", "f_source"]
     )

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import iso_millis
 from ..operators import builtin, ingest, listing, metrics, outbox, retention, rules, threshold, validate, zscore
-from ..schemas import ANOMALIES
+from ..schemas import ANOMALIES, STREAM_ENTRY
 from ..session import shared_folder
 from ..sources import codec
 from ..sources.tables import bind_events
-from ..streaming.pipeline import Pipeline
-from ..streaming.tables import Layout
+from ..streaming import state
+from ..streaming.pipeline import Pipeline, notify, read_log
+from ..streaming.tables import OUTBOX, Layout, utc
 from . import derived as d
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,29 +108,145 @@ def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.batch_gate(ingest.assign_event_id(checked))
 
 
-# Appends of the log, in the order in which they are published.
-APPENDS = (1, 0, 2, 4, 3), (5, 7, 6)
+# Parts of the events, of equal ranges of arrival numbers, in the order in which they are written to the log, by
+# run of the stream; and files per part.
+IN_ORDER = (0, 1, 2, 3), (4, 5, 6, 7)
+OUT_OF_ORDER = (1, 0, 2, 4, 3), (5, 7, 6)
+PARTS, FILES = 8, 4
+# Longer than a part that comes out of order lags.
+SETTLE_SECONDS = 12 * 86400
+
+
+def _parts(events: DataFrame) -> DataFrame:
+    """Events with the part of the log they go to."""
+    ends = events.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    lo, hi = ends.lo or 0, ends.hi or 0
+    return events.withColumn("part", F.least(F.floor((F.col("seq") - lo) * PARTS / (hi - lo + 1)), F.lit(PARTS - 1)))
+
+
+def _write_parts(parts: DataFrame, log: str, numbers: tuple[int, ...]) -> None:
+    for k in numbers:
+        codec.write_log(parts.filter(F.col("part") == k).repartition(FILES), log)
+
+
+def _run_pipeline(pipe: Pipeline, parts: DataFrame, root: str, order: tuple[tuple[int, ...], ...], **options) -> None:
+    """Write and follow the log run by run, over one checkpoint, a part per micro-batch."""
+    for numbers in order:
+        _write_parts(parts, f"{root}/log", numbers)
+        pipe.start(f"{root}/log", f"{root}/offsets", until_caught_up=True, files_per_batch=FILES, **options).awaitTermination()
 
 
 def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events through the streaming pipeline: eight appends of the log, published out of
+    """All events through the streaming pipeline: eight appends of the log, written out of
     order, one per micro-batch, in two runs over one checkpoint."""
-    ev = _events(spark, sf_dir)
-    ends = ev.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
-    n = sum(map(len, APPENDS))
-    part = F.least(F.floor((F.col("seq") - ends.lo) * n / (ends.hi - ends.lo + 1)), F.lit(n - 1))
     root = shared_folder(spark, "stream")
     pipe = Pipeline(
-        spark, Layout(f"{root}/tables"), load_rules=lambda: d.rule_table(spark), profiles=d.profile_list(spark)
+        spark, Layout(f"{root}/tables"), load_rules=lambda: d.rule_table(spark), profiles=d.profile_list(spark),
+        settle_seconds=SETTLE_SECONDS,
+    )
+    _run_pipeline(pipe, _parts(_events(spark, sf_dir)), root, OUT_OF_ORDER)
+    pipe.finish()
+    return pipe.layout.anomalies.read(spark).select(*ANOMALIES.fieldNames())
+
+
+def stream_anomalies_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resent copies evaluated as events of their own."""
+    root = shared_folder(spark, "stream")
+    pipe = Pipeline(
+        spark, Layout(f"{root}/tables"), load_rules=lambda: d.rule_table(spark), profiles=d.profile_list(spark),
+        settle_seconds=40 * 86400, evaluate_copies=True,
     )
-    for run in APPENDS:
-        for k in run:
-            codec.append_log(ev.filter(part == k), f"{root}/log", k)
-            codec.publish(spark, f"{root}/log", k)
-        pipe.start(f"{root}/log", f"{root}/offsets", until_caught_up=True, appends_per_batch=1).awaitTermination()
+    _run_pipeline(pipe, d.resent_parts(spark, sf_dir), root, IN_ORDER)
+    pipe.finish()
     return pipe.layout.anomalies.read(spark).select(*ANOMALIES.fieldNames())
 
 
+def _no_detectors(spark: SparkSession, root: str, **options) -> Pipeline:
+    return Pipeline(
+        spark, Layout(f"{root}/tables"), load_rules=lambda: d.rule_table(spark).limit(0),
+        profiles=d.profile_list(spark).limit(0), **options)
+
+
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that are sent again in later appends, stored once."""
+    root = shared_folder(spark, "stream")
+    pipe = _no_detectors(spark, root)
+    _run_pipeline(pipe, d.resent_parts(spark, sf_dir), root, IN_ORDER)
+    return pipe.layout.events.read(spark).select("event_id", "event_type", "source", "timestamp", "payload", "metadata", "seq")
+
+
+def stream_new_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that starts behind what the log holds at its start."""
+    root = shared_folder(spark, "stream")
+    pipe, parts = _no_detectors(spark, root), _parts(_events(spark, sf_dir))
+    _write_parts(parts, f"{root}/log", IN_ORDER[0])
+    newest = spark.read.schema(STREAM_ENTRY).json(f"{root}/log").agg(F.max("_metadata.file_modification_time")).first()[0]
+    start_at = utc(newest) + timedelta(milliseconds=1)
+    _run_pipeline(pipe, parts, root, IN_ORDER[1:], start_at=start_at)
+    return pipe.layout.events.read(spark).select("event_id", "seq")
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which events come more than an hour behind the newest of earlier micro-batches."""
+    root = shared_folder(spark, "stream")
+    pipe = _no_detectors(spark, root)
+    _run_pipeline(pipe, _parts(_events(spark, sf_dir)), root, OUT_OF_ORDER)
+    late = pipe.layout.late.read(spark).select("event_id", F.lit(True).alias("late"))
+    return pipe.layout.events.read(spark).join(late, "event_id", "left").select("event_id", F.coalesce("late", F.lit(False)).alias("late"))
+
+
+def stream_rule_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules are read again for each micro-batch: some are there from the second run on."""
+    root = shared_folder(spark, "stream")
+    rules = d.rule_table(spark)
+    layout, parts = Layout(f"{root}/tables"), _parts(_events(spark, sf_dir))
+    for run, table in zip(IN_ORDER, (rules.filter(~F.col("rule_id").isin(*d.ADDED_RULES)), rules)):
+        pipe = Pipeline(spark, layout, load_rules=lambda: table, profiles=d.profile_list(spark).limit(0))
+        _run_pipeline(pipe, parts, root, (run,))
+    return layout.anomalies.read(spark).select(*ANOMALIES.fieldNames())
+
+
+def _run_stream(spark: SparkSession, parts: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stream of its own from the log to a table: in order, in two runs over one checkpoint."""
+    root = shared_folder(spark, "stream")
+    for numbers in IN_ORDER:
+        _write_parts(parts, f"{root}/log", numbers)
+        entries = codec.decode_events(read_log(spark, f"{root}/log", FILES))
+        writer = (
+            make(entries.withColumn("timestamp", F.to_timestamp("timestamp")))
+            .writeStream.format("parquet").option("path", f"{root}/found").option("checkpointLocation", f"{root}/offsets")
+        )
+        with state.rocksdb(spark):
+            query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.parquet(f"{root}/found")
+
+
+def stream_threshold_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold rules as state operators."""
+    rules = threshold.rule_control(d.rule_table(spark))
+    return _run_stream(spark, _parts(_events(spark, sf_dir)), lambda ev: state.threshold_stream(ev, rules))
+
+
+def stream_zscore_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z-score profiles as state operators."""
+    profiles = zscore.profile_control(d.profile_list(spark))
+    return _run_stream(
+        spark, _parts(_events(spark, sf_dir)), lambda ev: state.zscore_stream(ev, profiles, rule_id_prefix="stat").drop("details"))
+
+
+def stream_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored anomalies followed by the notification stream, appended in two batches."""
+    root = shared_folder(spark, "stream")
+    layout = Layout(f"{root}/tables")
+    layout.create(spark)
+    found = stateless_anomalies(spark, sf_dir)
+    for batch, rule in enumerate(("invalid-payload", "timestamp-drift")):
+        layout.anomalies.append_new(found.filter(F.col("rule_id") == rule), batch)
+        notify(spark, layout, f"{root}/offsets", d.CHANNELS, until_caught_up=True).awaitTermination()
+    return layout.outbox.read(spark).select(*OUTBOX.fieldNames())
+
+
 def _bounded_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule_control = threshold.rule_control(d.rule_table(spark))
     found = threshold.threshold_candidates(_events(spark, sf_dir), rule_control, group_rows=0)
@@ -261,8 +378,16 @@ def queries() -> dict[str, Query]:
 
     # the pipeline
     q["stream_anomalies"] = lambda s, p: present(stream_anomalies(s, p))
+    q["stream_anomalies_with_copies"] = lambda s, p: present(stream_anomalies_with_copies(s, p))
+    q["stream_dedup"] = lambda s, p: present(stream_dedup(s, p))
+    q["stream_new_only"] = stream_new_only
+    q["stream_late"] = stream_late
+    q["stream_rule_added"] = lambda s, p: present(stream_rule_added(s, p))
+    q["stream_threshold_state"] = lambda s, p: present(stream_threshold_state(s, p))
+    q["stream_zscore_state"] = lambda s, p: present(stream_zscore_state(s, p))
 
     # notifications
     q["notification_message"] = lambda s, p: outbox.notification_message(stateless_anomalies(s, p))
+    q["stream_notifications"] = stream_notifications
     q["notification_outbox"] = lambda s, p: outbox.notification_outbox(stateless_anomalies(s, p), d.CHANNELS)
     return q

@@ -106,6 +106,7 @@ PROFILE_COLUMNS = {
 # Copies of an event: some resent later, some resent with an earlier arrival number.
 COPY_LIST = "CASE WHEN k % 9 = 0 THEN {0}0, 1, 2{1} WHEN k % 7 = 0 THEN {0}0, -1{1} ELSE {0}0{1} END"
 COPY_SEQ = "seq + copy * 10000000000"
+COPY_PART = "2 * (1 + floor(seq / 10000000000)) + CASE WHEN seq % 10000000000 % 7 < 3 THEN 0 ELSE 1 END"
 COPY_PAYLOAD = "CASE WHEN copy = 0 THEN payload ELSE '{\"copy\":' || cast(copy AS string) || '}' END"
 
 RULE_LIST = [
@@ -123,6 +124,9 @@ RULE_LIST = [
     ("r-off", "switched off", False, "critical", 3600, 0, None, None, ">", 0.0),
 ]
 
+# Rules that come in while a stream runs; without a cooldown, so what they find doesn't depend on the past.
+ADDED_RULES = ("r-user-day", "r-exact")
+
 PROFILE_LIST = [
     # id, bucket s, baseline buckets, z, cooldown s, type, source
     ("z-all-10m", 600, 5, 2.0, 0, None, None),
@@ -196,6 +200,12 @@ def resent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def resent_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resent events with the part of the log they go to: in the order of their arrival numbers, no id
+    twice in a part."""
+    return resent_events(spark, sf_dir).withColumn("part", F.expr(COPY_PART))
+
+
 def stream_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded entries with some fields left out and some objects cut short."""
     pairs = []

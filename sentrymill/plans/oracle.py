@@ -15,6 +15,12 @@ EV = f"""ev AS (
   FROM (SELECT cast(event_id AS varchar) AS event_id, event_type, 'user-' || cast(user_id AS varchar) AS source,
                ts AS "timestamp", props AS payload, '{{}}' AS metadata, ts AS created_at, event_id AS seq
         FROM events))"""
+# Copies of an event as events of their own, told apart by their arrival number.
+_EV_COPIES = f"""{EV.replace('ev AS', 'base AS', 1)}, ev AS (
+  SELECT * REPLACE (event_id || chr(31) || cast({d.COPY_SEQ} AS varchar) AS event_id, {d.COPY_SEQ} AS seq)
+  FROM (SELECT *, unnest({d.COPY_LIST.format('[', ']')}) AS copy FROM base))"""
+# Eight equal ranges of arrival numbers.
+_PARTS = """parts AS (SELECT *, least(floor((seq - min(seq) OVER ()) * 8 / (max(seq) OVER () - min(seq) OVER () + 1)), 7) AS part FROM ev)"""
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
@@ -395,6 +401,18 @@ def oracle_sql() -> dict[str, str]:
     renamed = q["zscore_anomalies"].replace("'stat-' || profile_id", "profile_id")
     q["stream_anomalies"] = f"SELECT * FROM ({q['threshold_anomalies']}) UNION ALL SELECT * FROM ({renamed})"
 
+    q["stream_threshold_state"], q["stream_zscore_state"] = q["threshold_anomalies"], q["zscore_anomalies"]
+    q["stream_anomalies_with_copies"] = f"""SELECT * REPLACE (split_part(event_id, chr(31), 1) AS event_id)
+      FROM ({q['stream_anomalies'].replace(EV, _EV_COPIES)})"""
+    q["stream_dedup"] = f"SELECT * EXCLUDE (created_at) FROM ({q['dedup_events']})"
+    q["stream_new_only"] = f"{ev}, {_PARTS} SELECT event_id, seq FROM parts WHERE part >= 4"
+    places = values(enumerate((1, 0, 2, 4, 3, 5, 7, 6)))
+    q["stream_late"] = f"""{ev}, {_PARTS}, ends AS (SELECT place, part, max(ts_ms) AS hi FROM parts JOIN (VALUES {places}) o(place, part) USING (part) GROUP BY ALL),
+      limits AS (SELECT part, max(hi) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600000 AS least FROM ends)
+      SELECT event_id, coalesce(ts_ms < least, false) AS late FROM parts JOIN limits USING (part)"""
+    q["stream_rule_added"] = f"""{ev}, {_PARTS} SELECT a.* FROM ({q['threshold_anomalies']}) a JOIN parts USING (event_id)
+      WHERE part >= 4 OR a.rule_id NOT IN ({', '.join(map(lit, d.ADDED_RULES))})"""
+
     q["rate_spike"] = f"{ev}, {_RATE} SELECT {_ANOMALY_COLUMNS} FROM rate"
     q["invalid_payload"] = f"{ev}, {_INVALID} SELECT {_ANOMALY_COLUMNS} FROM invalid"
     q["timestamp_drift"] = f"""{ev}, raws AS (SELECT *, {d.ENTRY_FIELDS['timestamp']} AS raw FROM ev),
@@ -415,7 +433,7 @@ def oracle_sql() -> dict[str, str]:
         f"cast({_OUTBOX_BODY[c]} AS varchar) AS body FROM anomalies"
         for c, (s, t) in _OUTBOX_TARGET.items()
     )
-    q["notification_outbox"] = f"WITH {_STATELESS} {rows}"
+    q["notification_outbox"] = q["stream_notifications"] = f"WITH {_STATELESS} {rows}"
     q["notification_message"] = f"""WITH {_STATELESS} SELECT cast({_OUTBOX_BODY["email"]} AS varchar) AS message FROM anomalies"""
     q["change_messages"] = f"""WITH {_CHANGES} SELECT cast(to_json({{'ts': "at", 'reason': reason, 'rule_id': rule_id}}) AS varchar) AS message FROM changes"""
     q["get_rule"] = f"WITH {_CHANGES} SELECT rule_id, name, severity FROM current_rules WHERE rule_id = {lit(d.RULE_ID)}"

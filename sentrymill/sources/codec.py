@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import iso_millis
 
@@ -30,27 +30,13 @@ def as_entries(encoded: DataFrame) -> DataFrame:
     return encoded.select("seq", F.create_map(*pairs).alias("fields"))
 
 
-def append_log(events: DataFrame, path: str, append: int) -> None:
-    """Write events as append number ``append`` of the log: JSON lines, one entry per line.
-
-    Readers take appends by their number, from 0 and without gaps, whatever the times and the
-    order of the files; an append is there once ``publish`` has marked it.
-    """
-    as_entries(encode_events(events)).write.mode("overwrite").json(data_folder(path, append))
-
-
-def publish(spark: SparkSession, path: str, append: int) -> None:
-    """Mark an append as complete. To be called after ``append_log``; again does no harm."""
-    mark = spark.createDataFrame([(append,)], "append bigint")
-    mark.coalesce(1).write.mode("append").json(f"{path}/commits")
-
-
-def data_folder(path: str, append: int) -> str:
-    return f"{path}/data/{append:012d}"
+def write_log(events: DataFrame, path: str) -> None:
+    """Append events to the log: files of JSON lines, one entry per line."""
+    as_entries(encode_events(events)).write.mode("append").json(path)
 
 
-def decode_events(entries: DataFrame) -> DataFrame:
-    """Read ``fields`` back; an absent text field is '' and an absent object '{}'.
+def decode_events(entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Read ``fields`` back; an absent text field is '' and an absent object '{}'. Columns in ``keep`` stay.
 
     ``malformed`` marks entries whose JSON does not parse; the reader of the log
     parks those instead of failing the batch.
@@ -60,6 +46,7 @@ def decode_events(entries: DataFrame) -> DataFrame:
 
     flat = entries.select(
         "seq",
+        *keep,
         *[field(f, "") for f in TEXT_FIELDS],
         *[field(f, "{}") for f in JSON_FIELDS],
     )

@@ -2,14 +2,14 @@
 
 Each micro-batch is stored first; detectors then run over the batch and as much
 stored history as their windows reach back, with the operators used in batch. All
-state lives in the tables: events give the windows, anomalies give the earlier fires.
-So a busy rule is spread over tasks like in batch, nothing is lost with an
+state of the detectors lives in the tables: events give the windows, anomalies give the
+earlier fires. So a busy rule is spread over tasks like in batch, nothing is lost with an
 executor, and a replayed batch gives the same rows.
 
-The log is read by whole appends in the order of their numbers. An append that is
-seen before an earlier one waits for it, so neither file times nor the cut into
-micro-batches change the result. A detector that fails on a batch takes it up
-again, and the batches after it in turn, when the next batch comes.
+The log is a folder of JSON files, taken by their times. Copies of an event are dropped in the
+stream itself, by ids held in its state. Detection goes by event time: it can stay a while behind the newest
+event, and what arrives out of order within that while is taken in order. A detector
+that fails on a batch takes it up again, and the batches after it in turn, when the next batch comes.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,49 +27,68 @@ from ..operators.ingest import dedup_events
 from ..operators.joins import Control
 from ..operators.rules import read_rules
 from ..schemas import STREAM_ENTRY
-from ..session import checkpointed, delete_folder, scratch, shared_folder, tables_in, use_utc
-from ..sources.codec import data_folder, decode_events
-from .tables import APPENDS, BATCHES, DONE, Layout, utc
+from ..session import checkpointed, delete_folder, folder_exists, scratch, shared_folder, tables_in, use_utc
+from ..sources.codec import decode_events
+from .state import rocksdb
+from .tables import BATCHES, DONE, Layout, utc
 
 log = logging.getLogger(__name__)
 
-# Fixed value: entries of the log taken per read; here appends, whose size the writer sets.
+# Fixed value: entries of the log taken per read; here files, whose size the writer sets.
 FILES_PER_BATCH = 100
 # Events so much older than the newest of earlier batches are also listed as late.
 LATE_SECONDS = 3600
+# How long after its arrival an event's id is held to drop copies: as long as events are kept.
+ID_DELAY = "30 days"
+# Between an event's id and its arrival number, where copies are evaluated too.
+COPY_MARK = "\x1f"
 
 
 def read_log(
-    spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH, start_at: datetime | None = None
+    spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH, start_at: datetime | None = None,
+    archive: str | None = None,
 ) -> DataFrame:
     """The append-only log as a stream of JSON-lines files, one entry per line with
-    its number ``seq`` and a ``fields`` map. ``start_at`` skips files written earlier.
+    its number ``seq`` and a ``fields`` map. ``start_at`` skips files written earlier. Files that
+    are through move to the folder ``archive``, if given.
     """
     use_utc(spark)
-    stream = (
-        spark.readStream.schema(STREAM_ENTRY)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .json(path)
-    )
+    stream = spark.readStream.schema(STREAM_ENTRY).option("maxFilesPerTrigger", files_per_batch)
+    if archive is not None:
+        stream = stream.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    stream = stream.json(path)
     if start_at is not None:
         stream = stream.filter(F.col("_metadata.file_modification_time") >= F.lit(start_at))
     return stream
 
 
-def read_commits(spark: SparkSession, path: str, appends_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """The published append numbers of a log as a stream."""
-    use_utc(spark)
+def drop_recent_copies(events: DataFrame, delay: str = "1 hour", time: str = "timestamp", key: str = "event_id") -> DataFrame:
+    """Drop copies of an event id that come within ``delay`` of ``time``, in the stream itself.
+
+    State is bounded by the delay. Rows behind the watermark are dropped as well, so with a time
+    that can lag, such as that of the event, late rows are lost; the time of arrival doesn't lag.
+    Which of the copies in one micro-batch stays isn't fixed.
+    """
+    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+
+
+def checked_entries(entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Decoded entries with their time ``_at`` and whether they are events, ``_ok``."""
     return (
-        spark.readStream.schema(APPENDS)
-        .option("maxFilesPerTrigger", appends_per_batch)
-        .json(f"{path}/commits")
+        decode_events(entries, keep)
+        .withColumn("_at", F.try_to_timestamp("timestamp"))
+        .withColumn("_ok", ~F.col("malformed") & F.col("_at").isNotNull() & (F.col("event_id") != "") & F.col("seq").isNotNull())
     )
 
 
-def drop_recent_copies(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop copies of an event id that arrive within ``delay`` of event time, in the
-    stream itself. Bounded state; the insert still refuses any older copy."""
-    return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["event_id"])
+class Due(NamedTuple):
+    """A stored batch that a detector has to go through: its own rows up to ``upto``, and those of
+    earlier batches after ``since``."""
+
+    batch: int
+    lo: datetime
+    since: datetime | None
+    upto: datetime
 
 
 class Pipeline:
@@ -83,111 +103,153 @@ class Pipeline:
         severity: str = zscore.DEFAULT_SEVERITY,
         late_seconds: float = LATE_SECONDS,
         since_created: bool = False,
+        settle_seconds: float = 0,
+        evaluate_copies: bool = False,
     ):
         """Without ``profiles`` the default one is used; an empty table turns spikes off. With
-        ``since_created`` a new rule starts with an empty window."""
-        self.since_created = since_created
+        ``since_created`` a new rule starts with an empty window. Detection stays ``settle_seconds``
+        behind the newest event: arrivals out of order by no more than that give the
+        same result as in order. With ``evaluate_copies`` detectors see copies of an event as
+        events of their own; the event is stored once all the same."""
+        self.since_created, self.evaluate_copies = since_created, evaluate_copies
         self.spark, self.layout, self.severity, self.late_seconds = spark, layout, severity, late_seconds
+        self.settle = timedelta(seconds=settle_seconds)
         self.load_rules = load_rules or (lambda: read_rules(spark, layout.rules))
         self.profiles = zscore.profile_control(zscore.default_profiles(spark) if profiles is None else profiles)
         self.rules: Control | None = None
         self._rules_folder: str | None = None
-        self._next: int | None = None  # append to read next; from the tables after a start
+        self.detectors = (self.detect_thresholds, self.detect_spikes)
+        self._forget()
         layout.create(spark)
 
     def start(
-        self, log_path: str, checkpoint: str, until_caught_up: bool = False, **read_options
+        self, log_path: str, checkpoint: str, until_caught_up: bool = False, id_delay: str | None = ID_DELAY, **read_options
     ) -> StreamingQuery:
-        """Follow the log; with ``until_caught_up``, stop at its present end."""
-        self._next = None
+        """Follow the log; with ``until_caught_up``, stop at its present end. ``start_at`` among the
+        options skips what was written before.
+
+        Ids that arrived within ``id_delay`` are held in the stream's state, in RocksDB, so that a copy is
+        refused without a look at the stored events; None looks there instead.
+        """
+        self._forget()
+        if not folder_exists(self.spark, f"{checkpoint}/offsets") and not self.layout.batches.read(self.spark).isEmpty():
+            raise ValueError(f"the tables in {self.layout.root} belong to another checkpoint than {checkpoint}")
+        entries = read_log(self.spark, log_path, **read_options).withColumn("arrived", F.col("_metadata.file_modification_time"))
+        entries = checked_entries(entries, ("arrived",))
+        unseen = id_delay is not None and not self.evaluate_copies
+        if unseen:
+            content = F.xxhash64("seq", "event_id", "event_type", "source", "timestamp", "payload", "metadata")
+            key = F.when(F.col("_ok"), F.concat(F.lit("="), "event_id")).otherwise(F.concat(F.lit("#"), content.cast("string")))
+            entries = drop_recent_copies(entries.withColumn("_key", key), id_delay, "arrived", "_key")
         writer = (
-            read_commits(self.spark, log_path, **read_options)
-            .writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda commits, batch_id: self.handle_commits(commits, log_path, batch_id))
+            entries.writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(lambda batch, batch_id: self._handle(batch, batch_id, unseen))
         )
-        return (writer.trigger(availableNow=True) if until_caught_up else writer).start()
-
-    def handle_commits(self, commits: DataFrame, log_path: str, batch_id: int) -> None:
-        """Handle the appends that are next in line: those whose predecessors are all published."""
-        self.layout.appends.note(commits, batch_id)
-        first = self._ready(batch_id - 1) if self._next is None else self._next
-        waiting = self._published(batch_id).filter(F.col("append") >= first).collect()
-        last = first
-        while (last,) in waiting:
-            last += 1
-        if last > first:
-            folders = [data_folder(log_path, n) for n in range(first, last)]
-            self.handle(self.spark.read.schema(STREAM_ENTRY).json(folders), batch_id)
-        self._next = last
-
-    def _published(self, batch_id: int) -> DataFrame:
-        return self.layout.appends.read(self.spark).filter(F.col("batch_id") <= batch_id).select("append").distinct()
-
-    def _ready(self, batch_id: int) -> int:
-        """How many appends from 0 on, without a gap, were published up to a batch."""
-        zero = self.spark.createDataFrame([(-1,)], "append bigint")
-        known = self._published(batch_id).filter("append >= 0").unionByName(zero)
-        following = known.select((F.col("append") - 1).alias("append"))
-        return known.join(following, "append", "left_anti").agg(F.min("append")).first()[0] + 1
+        with rocksdb(self.spark):
+            return (writer.trigger(availableNow=True) if until_caught_up else writer).start()
 
     def handle(self, entries: DataFrame, batch_id: int) -> None:
         """Store, then detect. A failing detector is logged and blocks neither the
         stored events nor the other detector; its batches stay due."""
+        self._handle(checked_entries(entries), batch_id, False)
+
+    def finish(self) -> None:
+        """Detect up to the newest stored event, without waiting for what may come before it."""
+        if self._due is None:
+            self._resume(None)
+        if self._newest is None or self._upto == self._newest:
+            return
+        with scratch(self.spark):
+            self._advance(self._last + 1, self._newest, self._newest, self._newest)
+            self._detect()
+
+    # Batches of the log have even numbers in the tables; what ``finish`` does has odd ones.
+
+    def _handle(self, decoded: DataFrame, batch_id: int, unseen: bool) -> None:
+        number = 2 * batch_id
+        if self._due is None or number <= self._last:
+            self._resume(number)
         with scratch(self.spark):
-            span = self.store(entries, batch_id)
+            span = self.store(decoded, number, unseen)
             if span is not None:
-                self.layout.batches.note(self.spark.createDataFrame([(batch_id, *span)], BATCHES), batch_id)
-            for detect in (self.detect_thresholds, self.detect_spikes):
-                for due in self._due(detect.__name__, batch_id):
-                    try:
-                        self._run(detect, due.batch, utc(due.lo), utc(due.hi))
-                    except Exception:
-                        log.exception("batch %s: %s failed", due.batch, detect.__name__)
-                        break  # later batches need this one's fires
-
-    def _due(self, detector: str, batch_id: int) -> list:
-        """Stored batches a detector isn't through with, oldest first."""
-        through = self.layout.done.read(self.spark).filter(F.col("detector") == detector)
-        batches = self.layout.batches.read(self.spark).filter(F.col("batch") <= batch_id)
-        due = batches.join(through, "batch", "left_anti").groupBy("batch")
-        return due.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("batch").collect()
-
-    def _run(self, detect: Callable, batch_id: int, lo: datetime, hi: datetime) -> None:
-        fresh = self.layout.events.read(self.spark, lo, hi).filter(F.col("batch_id") == batch_id)
-        found = detect(fresh, lo, hi, batch_id)
-        if found is not None:
-            self.layout.anomalies.append_new(found, batch_id)
-        self.layout.done.note(self.spark.createDataFrame([(detect.__name__, batch_id)], DONE), batch_id)
-
-    def store(self, entries: DataFrame, batch_id: int) -> tuple[datetime, datetime] | None:
+                newest = max(span[1], self._newest or span[1])
+                self._advance(number, *span, max(newest - self.settle, self._upto or newest - self.settle))
+            self._detect()
+
+    def _forget(self) -> None:
+        """What was handled is in the tables; it is read once, when the next batch comes."""
+        self._due: dict[str, list[Due]] | None = None
+        self._last, self._newest, self._upto = -1, None, None
+
+    def _resume(self, number: int | None) -> None:
+        stored = self.layout.batches.read(self.spark)
+        earlier = stored if number is None else stored.filter(F.col("batch") < number)
+        seen = earlier.agg(*[F.max(c).alias(c) for c in ("batch", "hi", "upto")]).first()
+        self._last = -1 if seen.batch is None else seen.batch
+        self._newest, self._upto = (None if x is None else utc(x) for x in (seen.hi, seen.upto))
+        self._due = {}
+        for detect in self.detectors:
+            done = self.layout.done.read(self.spark).filter(F.col("detector") == detect.__name__)
+            due = earlier.join(done, "batch", "left_anti").groupBy("batch").agg(*[F.max(c).alias(c) for c in ("lo", "since", "upto")])
+            self._due[detect.__name__] = [
+                Due(r.batch, utc(r.lo), None if r.since is None else utc(r.since), utc(r.upto)) for r in due.orderBy("batch").collect()]
+
+    def _advance(self, number: int, lo: datetime, hi: datetime, upto: datetime) -> None:
+        """Note a stored batch, and that detection is due up to a time."""
+        self.layout.batches.note(self.spark.createDataFrame([(number, lo, hi, self._upto, upto)], BATCHES), number)
+        for due in self._due.values():
+            due.append(Due(number, lo, self._upto, upto))
+        self._last, self._newest, self._upto = number, max(hi, self._newest or hi), upto
+
+    def _detect(self) -> None:
+        for detect in self.detectors:
+            due = self._due[detect.__name__]
+            while due:
+                try:
+                    self._run(detect, due[0])
+                except Exception:
+                    log.exception("batch %s: %s failed", due[0].batch, detect.__name__)
+                    break  # later batches need this one's fires
+                due.pop(0)
+
+    def _run(self, detect: Callable, due: Due) -> None:
+        lo = min(due.lo, due.since or due.lo)
+        if due.since is None or due.upto > due.since or due.lo <= due.upto:
+            rest = F.lit(False) if due.since is None else F.col("timestamp") > F.lit(due.since)
+            fresh = self.seen(lo, due.upto, due.batch).filter((F.col("batch_id") == due.batch) | rest)
+            found = detect(fresh, lo, due.upto, due.batch)
+            if found is not None:
+                self.layout.anomalies.append_new(self._named(found), due.batch)
+        self.layout.done.note(self.spark.createDataFrame([(detect.__name__, due.batch)], DONE), due.batch)
+
+    def store(self, decoded: DataFrame, number: int, unseen: bool = False) -> tuple[datetime, datetime] | None:
         """Insert the events of a batch that are new; park entries that are no events.
         Returns the time range of its events."""
-        decoded = checkpointed(
-            decode_events(entries)
-            .withColumn("_at", F.try_to_timestamp("timestamp"))
-            .withColumn("_ok", ~F.col("malformed") & F.col("_at").isNotNull() & (F.col("event_id") != "") & F.col("seq").isNotNull())
-        )
-        newest = self.layout.batches.read(self.spark).filter(F.col("batch") < batch_id).agg(F.max("hi")).first()[0]
-        limit = None if newest is None else utc(newest) - timedelta(seconds=self.late_seconds)
+        decoded = checkpointed(decoded)
+        limit = None if self._newest is None else self._newest - timedelta(seconds=self.late_seconds)
         ok, late = F.col("_ok"), F.col("_at") < F.lit(limit).cast("timestamp")
         seen = decoded.agg(
             F.count_if(~ok).alias("bad"), F.count_if(ok & late).alias("late"),
             F.min(F.when(ok, F.col("_at"))).alias("lo"), F.max(F.when(ok, F.col("_at"))).alias("hi"),
         ).first()
         if seen.bad:
-            self.layout.parked.append_new(decoded.filter(~ok), batch_id)
+            self.layout.parked.append_new(decoded.filter(~ok), number)
         if seen.lo is None:
             return None
-        events = dedup_events(
+        rows = (
             decoded.filter("_ok")
             .drop("timestamp")
             .withColumnRenamed("_at", "timestamp")
             .withColumn("created_at", F.current_timestamp())
             .select(*self.layout.events.schema.fieldNames())
         )
+        events = dedup_events(rows)
         if seen.late:
-            self.layout.late.append_new(events.filter(F.col("timestamp") < F.lit(limit)), batch_id)
-        self.layout.events.append_new(events, batch_id)
+            self.layout.late.append_new(events.filter(F.col("timestamp") < F.lit(limit)), number)
+        self.layout.events.append_new(events, number, unseen)
+        if self.evaluate_copies:
+            arrived = rows.select(*self.layout.arrivals.schema.fieldNames())
+            self.layout.arrivals.append_new(arrived.dropDuplicates(["event_id", "seq"]), number)
         return utc(seen.lo), utc(seen.hi)
 
     def current_rules(self) -> Control | None:
@@ -232,11 +294,23 @@ class Pipeline:
         )
         return fires.drop("details")
 
+    def seen(self, lo: datetime, hi: datetime, batch_id: int) -> DataFrame:
+        """What detectors see of the batches up to this one, in a time range."""
+        table = self.layout.arrivals if self.evaluate_copies else self.layout.events
+        rows = table.read(self.spark, lo, hi).filter(F.col("batch_id") <= batch_id)
+        if self.evaluate_copies:
+            rows = rows.withColumn("event_id", F.concat_ws(COPY_MARK, "event_id", "seq"))
+        return rows
+
+    def _named(self, found: DataFrame) -> DataFrame:
+        """Anomalies by the event's own id; copies keep an anomaly id of their own."""
+        if self.evaluate_copies:
+            found = found.withColumn("event_id", F.substring_index("event_id", COPY_MARK, 1))
+        return found
+
     def history(self, lo: datetime, hi: datetime, seconds: float, batch_id: int) -> DataFrame:
         """Stored events up to this batch that its windows can see."""
-        return self.layout.events.read(self.spark, lo - timedelta(seconds=seconds), hi).filter(
-            F.col("batch_id") <= batch_id
-        )
+        return self.seen(lo - timedelta(seconds=seconds), hi, batch_id)
 
     def only_fresh(self, candidates: DataFrame, fresh: DataFrame) -> DataFrame:
         """Candidates that arrived with this batch; earlier ones were decided then."""
@@ -250,7 +324,9 @@ class Pipeline:
         return earlier.select(F.col("rule_id").alias(key), F.unix_millis("detected_at").alias("fire_ms"))
 
 
-def notify(spark: SparkSession, layout: Layout, checkpoint: str, config: dict | None = None) -> StreamingQuery:
+def notify(
+    spark: SparkSession, layout: Layout, checkpoint: str, config: dict | None = None, until_caught_up: bool = False
+) -> StreamingQuery:
     """Second query: stored anomalies to the notification outbox."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(layout.anomalies.schema.fieldNames()).dropDuplicates(["anomaly_id"])
@@ -258,11 +334,10 @@ def notify(spark: SparkSession, layout: Layout, checkpoint: str, config: dict |
 
     anomalies = layout.anomalies
     stored = anomalies.read(spark).schema
-    return (
+    writer = (
         spark.readStream.schema(stored)
         .parquet(anomalies.path)
         .writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(handle)
-        .start()
     )
-
+    return (writer.trigger(availableNow=True) if until_caught_up else writer).start()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from ..schemas import ANOMALIES, EVENTS
 from ..session import checkpointed
@@ -28,6 +28,9 @@ OUTBOX = T.StructType([
     T.StructField(c, T.StringType())
     for c in ("anomaly_id", "rule_id", "severity", "channel", "status", "target", "body")
 ])
+ARRIVALS = T.StructType([
+    EVENTS[c] for c in ("event_id", "event_type", "source", "timestamp", "seq")
+])
 PARKED = T.StructType([
     T.StructField("seq", T.LongType()),
     T.StructField("event_id", T.StringType()),
@@ -37,13 +40,11 @@ PARKED = T.StructType([
 ])
 
 
-# An append of the log, by the batch that saw it published.
-APPENDS = T.StructType([T.StructField("append", T.LongType())])
-# The time range of a batch's events; ``batch_id`` of each row is the batch itself.
+# A stored batch: the time range of its events, and up to which event time detection went
+# before it (``since``) and with it (``upto``).
 BATCHES = T.StructType([
     T.StructField("batch", T.LongType()),
-    T.StructField("lo", T.TimestampType()),
-    T.StructField("hi", T.TimestampType()),
+    *[T.StructField(c, T.TimestampType()) for c in ("lo", "hi", "since", "upto")],
 ])
 # A batch that a detector is through with.
 DONE = T.StructType([T.StructField("detector", T.StringType()), T.StructField("batch", T.LongType())])
@@ -76,7 +77,7 @@ class Table:
         return df
 
     def note(self, rows: DataFrame, batch_id: int) -> None:
-        """Append a few bookkeeping rows as they are; readers take repeated ones as one."""
+        """Append a few bookkeeping rows as they are; readers, at a start, take repeated ones as one."""
         (
             rows.select(*self.schema.fieldNames())
             .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
@@ -84,11 +85,13 @@ class Table:
             .coalesce(1).write.mode("append").partitionBy("event_date").parquet(self.path)
         )
 
-    def append_new(self, rows: DataFrame, batch_id: int) -> None:
+    def append_new(self, rows: DataFrame, batch_id: int, unseen: bool = False) -> None:
         """Append the rows whose key is not stored yet.
 
         A replayed batch finds what an earlier attempt managed to write and adds
-        only the rest, so repeating it any number of times stores each row once.
+        only the rest, so repeating it any number of times stores each row once. With
+        ``unseen`` the caller knows that no other batch has these keys: then only what this
+        batch wrote is looked at, in the days of its rows.
         """
         rows = checkpointed(rows)
         key = list(self.key)
@@ -98,11 +101,7 @@ class Table:
             return
         # The keys of the batch go to the table, not the table to the batch: within
         # the bound the stored keys are scanned in place, without a shuffle.
-        span = (utc(seen.lo), utc(seen.hi)) if self.fixed_time else ()
-        wanted = rows.select(*key)
-        if seen.n <= BATCH_KEYS:
-            wanted = F.broadcast(wanted)
-        present = self.read(rows.sparkSession, *span).select(*key).join(wanted, key, "left_semi").distinct()
+        present = self._stored_keys(rows, key, seen, batch_id if unseen else None)
         day = F.to_date(self.time) if self.time else F.current_date()
         (
             rows.join(present, key, "left_anti")
@@ -115,6 +114,16 @@ class Table:
             .parquet(self.path)
         )
 
+    def _stored_keys(self, rows: DataFrame, key: list[str], seen: Row, only_batch: int | None) -> DataFrame:
+        by_day = self.time is not None and (self.fixed_time or only_batch is not None)
+        stored = self.read(rows.sparkSession, *((utc(seen.lo), utc(seen.hi)) if by_day else ()))
+        if only_batch is not None:
+            stored = stored.filter(F.col("batch_id") == only_batch)
+        wanted = rows.select(*key)
+        if seen.n <= BATCH_KEYS:
+            wanted = F.broadcast(wanted)
+        return stored.select(*key).join(wanted, key, "left_semi").distinct()
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -143,8 +152,9 @@ class Layout:
         return Table(f"{self.root}/late", EVENTS, ("event_id",), "timestamp")
 
     @property
-    def appends(self) -> Table:
-        return Table(f"{self.root}/appends", APPENDS, ("append",), None)
+    def arrivals(self) -> Table:
+        """Every entry that arrived, copies of an event included."""
+        return Table(f"{self.root}/arrivals", ARRIVALS, ("event_id", "seq"), "timestamp", fixed_time=True)
 
     @property
     def batches(self) -> Table:
@@ -160,6 +170,6 @@ class Layout:
 
     def create(self, spark: SparkSession) -> None:
         for table in (
-            self.events, self.anomalies, self.outbox, self.parked, self.late, self.appends, self.batches, self.done,
+            self.events, self.anomalies, self.outbox, self.parked, self.late, self.arrivals, self.batches, self.done,
         ):
             table.create(spark)

@@ -20,14 +20,6 @@ RULES = [
 PROFILES = [("a", 60, 5, 1.5, 0, None, None), ("b", 120, 3, 1.0, 300, "error", None)]
 
 
-def write_append(folder, events, number, publish=True):
-    write_log(f"{folder}/data/{number:012d}", events, "entries")
-    if publish:
-        os.makedirs(f"{folder}/commits", exist_ok=True)
-        with open(f"{folder}/commits/{number}.json", "w") as out:
-            out.write(json.dumps({"append": number}) + "\n")
-
-
 def write_log(folder, events, name):
     os.makedirs(folder, exist_ok=True)
     with open(f"{folder}/{name}.json", "w") as out:
@@ -54,13 +46,13 @@ def test_stream_equals_batch_with_restart_and_copies(spark, tmp_path, events):
     rules, profiles = rule_frame(spark, RULES), profile_frame(spark, PROFILES)
     make = lambda: Pipeline(spark, layout, load_rules=lambda: rules, profiles=profiles)
     check = str(tmp_path / "check")
-    write_append(log, events[:90], 0)
-    run(make().start(log, check, appends_per_batch=1))
+    write_log(log, events[:90], f"{0}")
+    run(make().start(log, check, files_per_batch=1))
     # a restart with new files, one of them repeating entries already stored
-    write_append(log, events[60:170], 1)
-    run(make().start(log, check, appends_per_batch=1))
-    write_append(log, events[170:] + [dict(events[0], seq=999_999)], 2)
-    run(make().start(log, check, appends_per_batch=1))
+    write_log(log, events[60:170], f"{1}")
+    run(make().start(log, check, files_per_batch=1))
+    write_log(log, events[170:] + [dict(events[0], seq=999_999)], f"{2}")
+    run(make().start(log, check, files_per_batch=1))
 
     stored = layout.events.read(spark)
     assert stored.count() == len(events) == stored.select("event_id").distinct().count()
@@ -141,21 +133,85 @@ def stored_anomalies(spark, layout):
     return sorted((r.rule_id, r.event_id, r.message) for r in layout.anomalies.read(spark).collect())
 
 
-def test_order_of_files_does_not_matter(spark, tmp_path, events):
+def test_order_of_files_does_not_matter_within_the_settling_time(spark, tmp_path, events):
     log, layout = str(tmp_path / "log"), Layout(str(tmp_path / "out"))
     rules, profiles = rule_frame(spark, RULES), profile_frame(spark, PROFILES)
+    make = lambda: Pipeline(spark, layout, load_rules=lambda: rules, profiles=profiles, settle_seconds=7200)
     for place, k in enumerate((1, 0, 3, 2)):
-        write_append(log, events[k * 60:(k + 1) * 60], k)
+        write_log(log, events[k * 60:(k + 1) * 60], f"{k}")
         at = time.time() - 1000 + 10 * place
-        os.utime(f"{log}/commits/{k}.json", (at, at))
-    pipe = Pipeline(spark, layout, load_rules=lambda: rules, profiles=profiles)
+        os.utime(f"{log}/{k}.json", (at, at))
+    pipe = make()
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     before = len(fs.listStatus(folder))
-    run(pipe.start(log, str(tmp_path / "check"), appends_per_batch=1))
+    run(pipe.start(log, str(tmp_path / "check"), files_per_batch=1))
     assert len(fs.listStatus(folder)) <= before + 1  # the rules in use
-    assert stored_anomalies(spark, layout) == expected(spark, events, rules, profiles)
-    assert layout.late.read(spark).count() == 0
+    undecided = stored_anomalies(spark, layout)
+    make().finish()
+    assert stored_anomalies(spark, layout) == expected(spark, events, rules, profiles) != undecided
+    pipe = make()
+    pipe.finish()
+    assert len(stored_anomalies(spark, layout)) == len(expected(spark, events, rules, profiles))
+
+
+def test_start_skips_what_was_written_before_and_needs_its_checkpoint(spark, tmp_path, events):
+    log, layout = str(tmp_path / "log"), Layout(str(tmp_path / "out"))
+    write_log(log, events[:100], "old")
+    old = time.time() - 3600
+    os.utime(f"{log}/old.json", (old, old))
+    write_log(log, events[90:150], "new")
+    make = lambda: Pipeline(spark, layout, load_rules=lambda: rule_frame(spark, []), profiles=profile_frame(spark, []))
+    start = datetime.fromtimestamp(time.time() - 600, timezone.utc)
+    run(make().start(log, str(tmp_path / "check"), start_at=start))
+    assert {r.event_id for r in layout.events.read(spark).collect()} == {e["event_id"] for e in events[90:150]}
+    with pytest.raises(ValueError):
+        make().start(log, str(tmp_path / "check2"))
+
+
+def test_copies_are_refused_by_the_state_of_the_stream(spark, tmp_path, events):
+    log, layout = str(tmp_path / "log"), Layout(str(tmp_path / "out"))
+    make = lambda: Pipeline(spark, layout, load_rules=lambda: rule_frame(spark, []), profiles=profile_frame(spark, []))
+    at, rows = time.time() - 7200, []
+    for k in range(6):  # a file each twenty minutes; ids are held for thirty
+        copies = [dict(e, seq=1_000_000 * k + e["seq"], event_type=f"copy{k}") for e in events[max(0, k - 1) * 40:k * 40]]
+        write_log(log, events[k * 40:(k + 1) * 40] + copies, f"{k}")
+        os.utime(f"{log}/{k}.json", (at + 1200 * k, at + 1200 * k))
+        query = make().start(log, str(tmp_path / "check"), files_per_batch=1, id_delay="30 minutes")
+        query.processAllAvailable()
+        rows.append(query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+        run(query)
+    stored = layout.events.read(spark)
+    assert stored.count() == len(events) and stored.filter(F.col("event_type").startswith("copy")).isEmpty()
+    assert max(rows) <= 160
+
+
+def test_a_batch_cut_short_is_completed_without_reading_other_batches(spark, tmp_path, events):
+    layout = Layout(str(tmp_path / "out"))
+    layout.create(spark)
+    rows = event_frame(spark, events)
+    layout.events.append_new(rows.filter("seq < 90"), 4, unseen=True)
+    layout.events.append_new(rows, 4, unseen=True)
+    assert layout.events.read(spark).count() == len(events)
+    seen = rows.agg(F.count("*").alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).first()
+    plan = layout.events._stored_keys(rows, ["event_id"], seen, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "EqualTo(batch_id,4)" in plan
+
+
+def test_copies_are_evaluated_where_asked(spark, tmp_path, events):
+    layout = Layout(str(tmp_path / "out"))
+    copies = [dict(e, seq=10_000 + e["seq"]) for e in events[:200:2]]
+    rules = rule_frame(spark, RULES)
+    pipe = Pipeline(spark, layout, load_rules=lambda: rules, profiles=profile_frame(spark, PROFILES),
+                    settle_seconds=7200, evaluate_copies=True)
+    for k, part in enumerate((events[:120], events[120:] + copies[:50], copies[50:])):
+        write_log(str(tmp_path / f"log{k}"), part, "a")
+        pipe.handle(spark.read.schema(read_log(spark, str(tmp_path / "log0")).schema).json(str(tmp_path / f"log{k}")), k)
+    pipe.finish()
+    every = [dict(e, event_id=f"{e['event_id']}|{e['seq']}") for e in events + copies]
+    want = sorted((r, i.split("|")[0], m) for r, i, m in expected(spark, every, rules, profile_frame(spark, PROFILES)))
+    assert stored_anomalies(spark, layout) == want
+    assert layout.events.read(spark).count() == len(events)
 
 
 def test_an_event_dated_ahead_holds_nothing_back(spark, tmp_path, events):
