@@ -54,19 +54,24 @@ def window_metrics(
     """Count and rate per key over ``[as_of - window, as_of]``, both ends inclusive."""
     w, key = resolve_window(window_seconds, clamp, unlimited), resolve_group(group_by)
     start = as_of - timedelta(seconds=w)
-    return (
+    counts = (
         filter_events(events, event_type, source, start, as_of)
         .groupBy(F.col(key).alias("key"))
         .agg(F.count("*").alias("count"))
-        .select(
-            F.lit(w).alias("window_seconds"),
-            F.lit(key).alias("group_by"),
-            iso_millis(F.lit(start)).alias("from"),
-            iso_millis(F.lit(as_of)).alias("to"),
-            "key",
-            "count",
-            rate4(F.col("count"), w).alias("rate_per_sec"),
-        )
+    )
+    return metric_rows(counts, start, as_of, w, key)
+
+
+def metric_rows(counts: DataFrame, start: datetime, end: datetime, window_seconds: int, group_by: str) -> DataFrame:
+    """Counts by key with their rate and the window they are of."""
+    return counts.select(
+        F.lit(window_seconds).alias("window_seconds"),
+        F.lit(group_by).alias("group_by"),
+        iso_millis(F.lit(start)).alias("from"),
+        iso_millis(F.lit(end)).alias("to"),
+        "key",
+        "count",
+        rate4(F.col("count"), window_seconds).alias("rate_per_sec"),
     )
 
 

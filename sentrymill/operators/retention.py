@@ -6,6 +6,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import checkpointed, delete_folder
+
 # Days kept by default.
 EVENT_DAYS = 30
 ANOMALY_DAYS = 90
@@ -29,57 +31,26 @@ def retain_anomalies(anomalies: DataFrame, as_of: datetime, days: int = ANOMALY_
 def drop_expired_days(spark: SparkSession, path: str, as_of: datetime, days: int, time_column: str = "timestamp") -> list[str]:
     """Apply retention to a table stored by ``event_date``.
 
-    Whole days before the cut are deleted as folders, without reading a row. Of the day of
-    the cut, the rows that stay are written beside the table; then the files they came from
-    go and theirs come in, one by one, so rows appended meanwhile are untouched. A swap that was
-    cut short is finished first; a step that the file system refuses is an error. Returns the days removed.
+    Whole days before the cut are deleted as folders, without reading a row. The day of the cut is
+    overwritten by its rows that stay, which are written beside the table first; other days aren't touched.
+    No rows of that day may be appended meanwhile. Again does no harm. Returns the days removed.
     """
     if days <= 0:
         return []
     cut = as_of - timedelta(days=days)
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    prefix, staged = "event_date=", "_retained_"
-
-    def folder(name: str):
-        return jvm.org.apache.hadoop.fs.Path(root, name)
-
-    def parts(name: str) -> list:
-        files = [s.getPath() for s in fs.listStatus(folder(name))] if fs.exists(folder(name)) else []
-        return [f for f in files if f.getName().startswith("part-")]
-
-    def must(done: bool, what: str) -> None:
-        if not done:
-            raise OSError(f"retention of {path}: {what} refused")
-
-    def swap_in(day: str) -> None:
-        """Drop the files named in the staged folder's list, then move its files in."""
-        note = jvm.org.apache.hadoop.fs.Path(folder(staged + day), "replaces.txt")
-        if fs.exists(note):
-            for name in spark.read.text(note.toString()).collect():
-                old = jvm.org.apache.hadoop.fs.Path(folder(prefix + day), name.value)
-                must(not fs.exists(old) or fs.delete(old, False), f"delete of {old}")
-            fs.mkdirs(folder(prefix + day))
-            for f in parts(staged + day):
-                must(fs.rename(f, jvm.org.apache.hadoop.fs.Path(folder(prefix + day), f.getName())), f"move of {f}")
-        must(fs.delete(folder(staged + day), True), f"delete of {staged}{day}")
-
-    for s in fs.listStatus(root):
-        if s.getPath().getName().startswith(staged):
-            swap_in(s.getPath().getName().removeprefix(staged))
-    found = sorted(n.removeprefix(prefix) for n in (s.getPath().getName() for s in fs.listStatus(root)) if n.startswith(prefix))
-    day = cut.date().isoformat()
-    old = parts(prefix + day)
-    if old:
-        schema = spark.read.parquet(f"{path}/{prefix}{day}").schema
-        rows = spark.read.schema(schema).parquet(*[f.toString() for f in old])
-        rows.filter(F.col(time_column) >= F.lit(cut)).write.mode("overwrite").parquet(f"{path}/{staged}{day}")
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(folder(staged + day), "replaces.txt"), True)
-        out.write(bytearray("\n".join(f.getName() for f in old).encode()))
-        out.close()  # from here on a later run finishes the swap
-        swap_in(day)
-    removed = [d for d in found if d < day]
+    day = cut.date()
+    stored = spark.read.parquet(path).filter(F.col("event_date").isNotNull())
+    found = [r.event_date.isoformat() for r in stored.filter(F.col("event_date") <= F.lit(day)).select("event_date").distinct().orderBy("event_date").collect()]
+    kept = 0
+    if day.isoformat() in found:
+        of_day = stored.filter(F.col("event_date") == F.lit(day))
+        stays = F.col(time_column) >= F.lit(cut)
+        counts = of_day.agg(F.count_if(stays).alias("kept"), F.count_if(~stays).alias("expired")).first()
+        kept = counts.kept
+        if counts.expired and kept:
+            checkpointed(of_day.filter(stays)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+                "event_date").parquet(path)
+    removed = [d for d in found if d < day.isoformat() or not kept]
     for d in removed:
-        must(fs.delete(folder(prefix + d), True), f"delete of {prefix}{d}")
+        delete_folder(spark, f"{path}/event_date={d}")
     return removed

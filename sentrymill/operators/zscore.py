@@ -6,6 +6,8 @@ plain double arithmetic: results at the exact threshold depend on that order.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import anomaly_id, iso_from_ms, number_text, round4
@@ -30,6 +32,8 @@ DEFAULT_SEVERITY = "warning"
 
 # Buckets per block when baselines are looked up; never fewer than a baseline needs.
 BLOCK_BUCKETS = 1024
+# Baselines of more buckets are counted apart.
+WIDE_BUCKETS = 64
 
 
 def default_profiles(spark: SparkSession) -> DataFrame:
@@ -66,19 +70,35 @@ def profile_matches(events: DataFrame, profiles: DataFrame | Control) -> DataFra
 
 def zscore_baseline(events: DataFrame, profiles: DataFrame | Control) -> DataFrame:
     """Per profile and bucket with enough history: its count, and mean and population
-    deviation of the N latest non-empty earlier buckets no older than N + 1 buckets."""
+    deviation of the N latest non-empty earlier buckets no older than N + 1 buckets.
+
+    Profiles of many buckets are counted apart, so that the widest doesn't set the cost of the others.
+    """
     control = profile_control(profiles)
     counts = profile_matches(events, control).groupBy("profile_id", "bucket").agg(F.count("*").alias("count"))
-    widest = control.rows.agg(F.max("n_buckets")).first()[0] or 2
-    block = max(BLOCK_BUCKETS, widest + 1)
     rows = attach_control(counts, control, "profile_id", ["n_buckets", "bucket_ms"])
+    wide = F.col("n_buckets") > WIDE_BUCKETS
+    widths = control.rows.agg(F.max(F.when(~wide, F.col("n_buckets"))).alias("narrow"), F.count_if(wide).alias("wide")).first()
+    if not widths.wide:
+        return _narrow_baseline(rows, widths.narrow or 2)
+    if widths.narrow is None:
+        return _wide_baseline(rows)
+    rows = checkpointed(rows)
+    return _narrow_baseline(rows.filter(~wide), widths.narrow).unionByName(_wide_baseline(rows.filter(wide)))
+
 
-    # Blocks of buckets, each preceded by a copy of the tail of the one before.
-    blk = F.floor(F.col("bucket") / F.lit(block))
-    in_tail = F.pmod(F.col("bucket"), F.lit(block)) >= block - (widest + 1)
-    spread = rows.withColumn("_own", blk).withColumn(
+def _with_tails(rows: DataFrame, block: Column, reach: Column) -> DataFrame:
+    """Blocks of buckets (``_blk``), each preceded by a copy of the tail of the one before; ``_own`` is a row's own block."""
+    blk = F.floor(F.col("bucket") / block)
+    in_tail = F.pmod(F.col("bucket"), block) >= block - reach
+    return rows.withColumn("_own", blk).withColumn(
         "_blk", F.explode(F.when(in_tail, F.array(blk, blk + 1)).otherwise(F.array(blk)))
     )
+
+
+def _narrow_baseline(rows: DataFrame, widest: int) -> DataFrame:
+    """By a list of the ``widest`` buckets before each."""
+    spread = _with_tails(rows, F.lit(max(BLOCK_BUCKETS, widest + 1)), F.lit(widest + 1))
     before = Window.partitionBy("profile_id", "_blk").orderBy("bucket").rowsBetween(-widest, -1)
     recent = F.collect_list(F.struct("bucket", "count")).over(before)
     oldest = F.col("bucket") - F.col("n_buckets") - 1
@@ -100,6 +120,35 @@ def zscore_baseline(events: DataFrame, profiles: DataFrame | Control) -> DataFra
     )
 
 
+def _wide_baseline(rows: DataFrame) -> DataFrame:
+    """By blocks as wide as a profile's own baseline, each walked by one task that holds its counts
+    and those of the block before."""
+    reach = F.col("n_buckets") + 1
+    spread = _with_tails(rows, reach, reach)
+
+    def walk_block(block: pa.Table) -> pa.Table:
+        order = np.argsort(block.column("bucket").to_numpy())
+        bucket, count = (block.column(c).to_numpy()[order] for c in ("bucket", "count"))
+        n = block.column("n_buckets")[0].as_py()
+        own = np.flatnonzero((block.column("_own").to_numpy() == block.column("_blk").to_numpy())[order])
+        # N buckets before it, the first of them no older than N + 1 buckets
+        ready = own[own >= n]
+        ready = ready[bucket[ready - n] >= bucket[ready] - n - 1]
+        values = count.astype("float64")
+        mean, stddev = np.zeros(len(ready)), np.zeros(len(ready))
+        for k, at in enumerate(ready.tolist()):
+            base = values[at - n:at]
+            mean[k] = np.cumsum(base)[-1] / n
+            gap = base - mean[k]
+            stddev[k] = np.sqrt(np.cumsum(gap * gap)[-1] / n)
+        return pa.table({
+            "profile_id": pa.repeat(block.column("profile_id")[0], len(ready)), "bucket": bucket[ready],
+            "bucket_ms": pa.repeat(block.column("bucket_ms")[0], len(ready)), "count": count[ready], "mean": mean, "stddev": stddev})
+
+    return spread.groupBy("profile_id", "_blk").applyInArrow(
+        walk_block, "profile_id string, bucket bigint, bucket_ms bigint, count bigint, mean double, stddev double")
+
+
 def zscore(count: Column) -> Column:
     return (count - F.col("mean")) / F.col("stddev")
 
@@ -118,6 +167,8 @@ def zscore_candidates(
     )
     hot = checkpointed(scored.filter(zscore(F.col("count")) >= F.col("z_threshold")))
     size = hot.agg(F.count("*").alias("rows"), F.coalesce(F.max("count"), F.lit(0)).alias("largest")).first()
+    if not size.rows:
+        events = events.where("false")
     rows = sized_join(
         profile_matches(events, control), hot.drop("count"), ["profile_id", "bucket"], size.rows
     )

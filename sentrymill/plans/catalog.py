@@ -13,7 +13,7 @@ from ..schemas import ANOMALIES, STREAM_ENTRY
 from ..session import shared_folder
 from ..sources import codec
 from ..sources.tables import bind_events
-from ..streaming import state
+from ..streaming import rollups, rule_changes, state
 from ..streaming.pipeline import Pipeline, notify, read_log
 from ..streaming.tables import OUTBOX, Layout, utc
 from . import derived as d
@@ -212,16 +212,17 @@ def _run_stream(spark: SparkSession, parts: DataFrame, make: Callable[[DataFrame
     for numbers in IN_ORDER:
         _write_parts(parts, f"{root}/log", numbers)
         entries = codec.decode_events(read_log(spark, f"{root}/log", FILES))
-        writer = (
-            make(entries.withColumn("timestamp", F.to_timestamp("timestamp")))
-            .writeStream.format("parquet").option("path", f"{root}/found").option("checkpointLocation", f"{root}/offsets")
-        )
-        with state.rocksdb(spark):
-            query = writer.trigger(availableNow=True).start()
-        query.awaitTermination()
+        _follow(make(entries.withColumn("timestamp", F.to_timestamp("timestamp"))), root)
     return spark.read.parquet(f"{root}/found")
 
 
+def _follow(stream: DataFrame, root: str) -> None:
+    writer = stream.writeStream.format("parquet").option("path", f"{root}/found").option("checkpointLocation", f"{root}/offsets")
+    with state.rocksdb(stream.sparkSession):
+        query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def stream_threshold_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold rules as state operators."""
     rules = threshold.rule_control(d.rule_table(spark))
@@ -235,6 +236,42 @@ def stream_zscore_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, _parts(_events(spark, sf_dir)), lambda ev: state.zscore_stream(ev, profiles, rule_id_prefix="stat").drop("details"))
 
 
+def stream_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log folded by a stream, in order, in two runs over one checkpoint."""
+    root = shared_folder(spark, "stream")
+    changes = d.rule_changes(spark, sf_dir)
+    parts = _parts(changes)
+    for numbers in IN_ORDER:
+        for k in numbers:
+            parts.filter(F.col("part") == k).drop("part").repartition(FILES).write.mode("append").parquet(f"{root}/log")
+        log = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", FILES).parquet(f"{root}/log")
+        _follow(rule_changes.rule_states(log), root)
+    return rule_changes.current_rules(spark.read.parquet(f"{root}/found"))
+
+
+def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run_stream(spark, _parts(_events(spark, sf_dir)), rollups.minute_rollup)
+
+
+def metrics_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.window_metrics(_rollup(spark, sf_dir), _events(spark, sf_dir), d.AS_OF, d.MONTH_SECONDS, unlimited=True)
+
+
+def buckets_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.bucket_counts(_rollup(spark, sf_dir), _events(spark, sf_dir), _day(1) + timedelta(seconds=90), d.AS_OF, 10)
+
+
+def stored_retention(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events and anomalies stored by day, cut on disk and read back."""
+    layout = Layout(shared_folder(spark, "retention"))
+    layout.events.append(_events(spark, sf_dir), 0)
+    layout.anomalies.append(builtin.invalid_payload(_events(spark, sf_dir), d.REQUIRED), 0)
+    as_of = d.AS_OF - timedelta(hours=10)
+    retention.drop_expired_days(spark, layout.events.path, as_of, 15)
+    retention.drop_expired_days(spark, layout.anomalies.path, as_of, 20, "detected_at")
+    return layout.events.read(spark), layout.anomalies.read(spark).select(*ANOMALIES.fieldNames())
+
+
 def stream_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored anomalies followed by the notification stream, appended in two batches."""
     root = shared_folder(spark, "stream")
@@ -389,5 +426,17 @@ def queries() -> dict[str, Query]:
     # notifications
     q["notification_message"] = lambda s, p: outbox.notification_message(stateless_anomalies(s, p))
     q["stream_notifications"] = stream_notifications
+    q["stream_rule_table"] = lambda s, p: _flat_rules(stream_rule_table(s, p))
+    q["metrics_from_rollup"] = metrics_from_rollup
+    q["buckets_from_rollup"] = buckets_from_rollup
+    q["retention_stored_events"] = lambda s, p: _page(stored_retention(s, p)[0])
+    q["retention_stored_anomalies"] = lambda s, p: present(stored_retention(s, p)[1])
+    q["zscore_baseline_wide"] = lambda s, p: zscore.zscore_baseline(
+        d.dense_events(s, p), d.profile_list(s, d.DENSE_PROFILES)
+    ).select("profile_id", "bucket", "count", "mean", "stddev")
+    q["zscore_anomalies_wide"] = lambda s, p: present(zscore.zscore_anomalies(
+        d.dense_events(s, p), d.profile_list(s, d.DENSE_PROFILES), rule_id_prefix="stat").drop("details"))
+    q["zscore_default_profile"] = lambda s, p: present(zscore.zscore_anomalies(
+        d.dense_events(s, p), zscore.default_profiles(s)).drop("details"))
     q["notification_outbox"] = lambda s, p: outbox.notification_outbox(stateless_anomalies(s, p), d.CHANNELS)
     return q

@@ -135,6 +135,16 @@ PROFILE_LIST = [
     ("z-user-day", 86400, 3, 1.5, 0, None, "user-7"),
 ]
 
+# Times of events close to one another, and profiles that suit them: some of many buckets, one that never has
+# enough of them.
+DENSE_MS = "1704067200000 + seq * 330 + seq % 7 * 40"
+DENSE_PROFILES = [
+    ("z-second", 1, 5, 1.0, 0, None, None),
+    ("z-wide", 1, 200, 1.5, 30, None, None),
+    ("z-wide-error", 5, 70, 1.5, 0, "error", None),
+    ("z-endless", 1, 50000, 1.0, 0, None, None),
+]
+
 REQUIRED = {"error": ["k", "code"], "view": ["k"], "click": ["url", "k"]}
 DRIFT_SECONDS = 15 * 86400
 RATE_SECONDS, RATE_MAX = 86400, 5
@@ -226,6 +236,11 @@ ENTRY_FIELDS = {
 }
 
 
+def dense_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events close to one another: some three a second, in their order."""
+    return bind_events(spark, sf_dir).withColumn("timestamp", F.timestamp_millis(F.expr(DENSE_MS)))
+
+
 def _literal(v) -> str:
     if v is None:
         return "cast(NULL AS string)"
@@ -256,9 +271,9 @@ def rule_table(spark: SparkSession) -> DataFrame:
     )
 
 
-def profile_list(spark: SparkSession) -> DataFrame:
+def profile_list(spark: SparkSession, profiles: list[tuple] = PROFILE_LIST) -> DataFrame:
     names = "id, bucket_seconds, baseline_buckets, z_threshold, cooldown_seconds, f_type, f_source"
-    flat = _local_table(spark, PROFILE_LIST, names)
+    flat = _local_table(spark, profiles, names)
     return flat.select(
         "id",
         *[F.col(c).cast("double").alias(c) for c in PROFILES.fieldNames()[1:5]],

@@ -19,6 +19,10 @@ EV = f"""ev AS (
 _EV_COPIES = f"""{EV.replace('ev AS', 'base AS', 1)}, ev AS (
   SELECT * REPLACE (event_id || chr(31) || cast({d.COPY_SEQ} AS varchar) AS event_id, {d.COPY_SEQ} AS seq)
   FROM (SELECT *, unnest({d.COPY_LIST.format('[', ']')}) AS copy FROM base))"""
+# Events close to one another.
+_EV_DENSE = f"""{EV.replace('ev AS', 'base AS', 1)}, dense AS (
+  SELECT * REPLACE (make_timestamp(({d.DENSE_MS}) * 1000) AS "timestamp", {d.DENSE_MS} AS ts_ms) FROM base),
+  ev AS (SELECT * REPLACE ({ISO.format('"timestamp"')} AS iso) FROM dense)"""
 # Eight equal ranges of arrival numbers.
 _PARTS = """parts AS (SELECT *, least(floor((seq - min(seq) OVER ()) * 8 / (max(seq) OVER () - min(seq) OVER () + 1)), 7) AS part FROM ev)"""
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -413,6 +417,22 @@ def oracle_sql() -> dict[str, str]:
     q["stream_rule_added"] = f"""{ev}, {_PARTS} SELECT a.* FROM ({q['threshold_anomalies']}) a JOIN parts USING (event_id)
       WHERE part >= 4 OR a.rule_id NOT IN ({', '.join(map(lit, d.ADDED_RULES))})"""
 
+    q["stream_rule_table"], q["metrics_from_rollup"] = q["apply_rule_changes"], q["metrics_by_type"]
+    q["buckets_from_rollup"] = f"""{ev} SELECT cast(floor(ts_ms / 600000) AS bigint) * 600000 AS bucket_start_ms, count(*) AS count
+      FROM ev WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-01 00:01:30' AND {AS_OF} GROUP BY 1"""
+    q["retention_stored_events"] = f"""{ev} SELECT {EVENT_COLUMNS} FROM ev WHERE "timestamp" >= {AS_OF} - INTERVAL 10 HOUR - INTERVAL 15 DAY"""
+    q["retention_stored_anomalies"] = f"""WITH {_STATELESS} SELECT * FROM anomalies
+      WHERE rule_id = 'invalid-payload' AND detected_at >= '2024-01-10T14:00:00.000Z'"""
+    default = [("zscore-count-spike", 10, 5, 2.0, 30, None, None)]
+    for name, like, profiles in (
+        ("zscore_baseline_wide", "zscore_baseline", d.DENSE_PROFILES), ("zscore_anomalies_wide", "zscore_anomalies", d.DENSE_PROFILES),
+        ("zscore_default_profile", "zscore_anomalies", default),
+    ):
+        q[name] = (
+            q[like].replace(EV, _EV_DENSE).replace(values(d.PROFILE_LIST), values(profiles))
+            .replace(f"ROWS BETWEEN {_WIDEST} PRECEDING", f"ROWS BETWEEN {max(p[2] for p in profiles)} PRECEDING"))
+    q["zscore_default_profile"] = q["zscore_default_profile"].replace("'stat-' || profile_id", "profile_id")
+
     q["rate_spike"] = f"{ev}, {_RATE} SELECT {_ANOMALY_COLUMNS} FROM rate"
     q["invalid_payload"] = f"{ev}, {_INVALID} SELECT {_ANOMALY_COLUMNS} FROM invalid"
     q["timestamp_drift"] = f"""{ev}, raws AS (SELECT *, {d.ENTRY_FIELDS['timestamp']} AS raw FROM ev),

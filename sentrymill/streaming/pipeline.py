@@ -19,7 +19,7 @@ from collections.abc import Callable
 from datetime import datetime, timedelta
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import outbox, threshold, zscore
@@ -30,7 +30,7 @@ from ..schemas import STREAM_ENTRY
 from ..session import checkpointed, delete_folder, folder_exists, scratch, shared_folder, tables_in, use_utc
 from ..sources.codec import decode_events
 from .state import rocksdb
-from .tables import BATCHES, DONE, Layout, utc
+from .tables import BATCHES, Layout, Table, utc
 
 log = logging.getLogger(__name__)
 
@@ -81,12 +81,13 @@ def checked_entries(entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
     )
 
 
-class Due(NamedTuple):
-    """A stored batch that a detector has to go through: its own rows up to ``upto``, and those of
-    earlier batches after ``since``."""
+class Batch(NamedTuple):
+    """A stored batch. Detectors go through its own rows up to ``upto``, and through those of earlier
+    batches from ``since`` to ``upto``."""
 
-    batch: int
+    number: int
     lo: datetime
+    hi: datetime
     since: datetime | None
     upto: datetime
 
@@ -116,7 +117,12 @@ class Pipeline:
         self.settle = timedelta(seconds=settle_seconds)
         self.load_rules = load_rules or (lambda: read_rules(spark, layout.rules))
         self.profiles = zscore.profile_control(zscore.default_profiles(spark) if profiles is None else profiles)
-        self.rules: Control | None = None
+        self.profile_reach = self.profiles.rows.agg(
+            F.max((F.col("n_buckets") + 2) * F.col("bucket_ms") / 1000).alias("w"),
+            F.max(F.col("cooldown_ms") / 1000).alias("c"),
+        ).first()
+        self.rules: tuple[Control, Row] | None = None
+        self._rules_mark: tuple | None = None
         self._rules_folder: str | None = None
         self.detectors = (self.detect_thresholds, self.detect_spikes)
         self._forget()
@@ -160,8 +166,7 @@ class Pipeline:
         if self._newest is None or self._upto == self._newest:
             return
         with scratch(self.spark):
-            self._advance(self._last + 1, self._newest, self._newest, self._newest)
-            self._detect()
+            self._advance(Batch(self._last + 1, self._newest, self._newest, self._upto, self._newest))
 
     # Batches of the log have even numbers in the tables; what ``finish`` does has odd ones.
 
@@ -169,58 +174,75 @@ class Pipeline:
         number = 2 * batch_id
         if self._due is None or number <= self._last:
             self._resume(number)
-        with scratch(self.spark):
-            span = self.store(decoded, number, unseen)
-            if span is not None:
-                newest = max(span[1], self._newest or span[1])
-                self._advance(number, *span, max(newest - self.settle, self._upto or newest - self.settle))
-            self._detect()
+        try:
+            with scratch(self.spark):
+                span = self.store(decoded, number, unseen)
+                if span is None:
+                    self._advance(None)
+                else:
+                    settled = max(span[1], self._newest or span[1]) - self.settle
+                    self._advance(Batch(number, *span, self._upto, max(settled, self._upto or settled)))
+        except Exception:
+            self._forget()
+            raise
+        self._again = False  # a batch is repeated only after a start or a failure
 
     def _forget(self) -> None:
         """What was handled is in the tables; it is read once, when the next batch comes."""
-        self._due: dict[str, list[Due]] | None = None
+        self._due: dict[str, list[Batch]] | None = None
         self._last, self._newest, self._upto = -1, None, None
 
     def _resume(self, number: int | None) -> None:
         stored = self.layout.batches.read(self.spark)
+        self._again = not stored.isEmpty() or not self.layout.events.read(self.spark).isEmpty()
         earlier = stored if number is None else stored.filter(F.col("batch") < number)
         seen = earlier.agg(*[F.max(c).alias(c) for c in ("batch", "hi", "upto")]).first()
         self._last = -1 if seen.batch is None else seen.batch
         self._newest, self._upto = (None if x is None else utc(x) for x in (seen.hi, seen.upto))
-        self._due = {}
-        for detect in self.detectors:
-            done = self.layout.done.read(self.spark).filter(F.col("detector") == detect.__name__)
-            due = earlier.join(done, "batch", "left_anti").groupBy("batch").agg(*[F.max(c).alias(c) for c in ("lo", "since", "upto")])
-            self._due[detect.__name__] = [
-                Due(r.batch, utc(r.lo), None if r.since is None else utc(r.since), utc(r.upto)) for r in due.orderBy("batch").collect()]
-
-    def _advance(self, number: int, lo: datetime, hi: datetime, upto: datetime) -> None:
-        """Note a stored batch, and that detection is due up to a time."""
-        self.layout.batches.note(self.spark.createDataFrame([(number, lo, hi, self._upto, upto)], BATCHES), number)
-        for due in self._due.values():
-            due.append(Due(number, lo, self._upto, upto))
-        self._last, self._newest, self._upto = number, max(hi, self._newest or hi), upto
-
-    def _detect(self) -> None:
+        names = [detect.__name__ for detect in self.detectors]
+        done = F.array_distinct(F.flatten(F.collect_list("done")))
+        left = earlier.groupBy("batch").agg(*[F.max(c).alias(c) for c in ("lo", "hi", "since", "upto")], done.alias("done")).filter(
+            F.size(F.array_except(F.array(*map(F.lit, names)), "done")) > 0).orderBy("batch").collect()
+        self._due = {name: [
+            Batch(r.batch, *(None if x is None else utc(x) for x in (r.lo, r.hi, r.since, r.upto))) for r in left if name not in r.done
+        ] for name in names}
+
+    def _advance(self, batch: Batch | None) -> None:
+        """Take a stored batch into account, detect, and note which detectors are through with what."""
+        if batch is not None:
+            for due in self._due.values():
+                due.append(batch)
+            self._last, self._newest, self._upto = batch.number, max(batch.hi, self._newest or batch.hi), batch.upto
+        through: dict[Batch, list[str]] = {} if batch is None else {batch: []}
         for detect in self.detectors:
             due = self._due[detect.__name__]
             while due:
                 try:
-                    self._run(detect, due[0])
+                    self._run(detect, due[0], self._again or due[0] != batch)
                 except Exception:
-                    log.exception("batch %s: %s failed", due[0].batch, detect.__name__)
+                    log.exception("batch %s: %s failed", due[0].number, detect.__name__)
                     break  # later batches need this one's fires
-                due.pop(0)
-
-    def _run(self, detect: Callable, due: Due) -> None:
-        lo = min(due.lo, due.since or due.lo)
-        if due.since is None or due.upto > due.since or due.lo <= due.upto:
-            rest = F.lit(False) if due.since is None else F.col("timestamp") > F.lit(due.since)
-            fresh = self.seen(lo, due.upto, due.batch).filter((F.col("batch_id") == due.batch) | rest)
-            found = detect(fresh, lo, due.upto, due.batch)
-            if found is not None:
-                self.layout.anomalies.append_new(self._named(found), due.batch)
-        self.layout.done.note(self.spark.createDataFrame([(detect.__name__, due.batch)], DONE), due.batch)
+                through.setdefault(due.pop(0), []).append(detect.__name__)
+        if through:
+            rows = [(*b, names) for b, names in through.items()]
+            self.layout.batches.note(self.spark.createDataFrame(rows, BATCHES), self._last)
+
+    def _run(self, detect: Callable, batch: Batch, again: bool) -> None:
+        lo = min(batch.lo, batch.since or batch.lo)
+        if batch.upto < lo:
+            return
+        rest = F.lit(False) if batch.since is None else F.col("timestamp") > F.lit(batch.since)
+        fresh = self.seen(lo, batch.upto, batch.number).filter((F.col("batch_id") == batch.number) | rest)
+        found = detect(fresh, lo, batch.upto, batch.number)
+        if found is not None:
+            self._put(self.layout.anomalies, self._named(found), batch.number, again)
+
+    def _put(self, table: Table, rows: DataFrame, number: int, again: bool, unseen: bool = True) -> None:
+        """Append rows of a batch; what may have been written before is looked for."""
+        if again or not unseen:
+            table.append_new(rows, number, unseen)
+        else:
+            table.append(rows, number)
 
     def store(self, decoded: DataFrame, number: int, unseen: bool = False) -> tuple[datetime, datetime] | None:
         """Insert the events of a batch that are new; park entries that are no events.
@@ -233,7 +255,7 @@ class Pipeline:
             F.min(F.when(ok, F.col("_at"))).alias("lo"), F.max(F.when(ok, F.col("_at"))).alias("hi"),
         ).first()
         if seen.bad:
-            self.layout.parked.append_new(decoded.filter(~ok), number)
+            self._put(self.layout.parked, decoded.filter(~ok), number, self._again)
         if seen.lo is None:
             return None
         rows = (
@@ -245,59 +267,54 @@ class Pipeline:
         )
         events = dedup_events(rows)
         if seen.late:
-            self.layout.late.append_new(events.filter(F.col("timestamp") < F.lit(limit)), number)
-        self.layout.events.append_new(events, number, unseen)
+            self._put(self.layout.late, events.filter(F.col("timestamp") < F.lit(limit)), number, self._again, unseen)
+        self._put(self.layout.events, events, number, self._again, unseen)
         if self.evaluate_copies:
             arrived = rows.select(*self.layout.arrivals.schema.fieldNames())
-            self.layout.arrivals.append_new(arrived.dropDuplicates(["event_id", "seq"]), number)
+            self._put(self.layout.arrivals, arrived.dropDuplicates(["event_id", "seq"]), number, True, False)
         return utc(seen.lo), utc(seen.hi)
 
-    def current_rules(self) -> Control | None:
-        """The rules as of now; the previous snapshot when they cannot be read."""
-        folder, old = shared_folder(self.spark, "rules"), self._rules_folder
+    def current_rules(self) -> tuple[Control, Row] | None:
+        """The rules as of now, and how far they reach back; the previous ones where they are the same or can't be read."""
         try:
-            with tables_in(folder):
-                self.rules = threshold.rule_control(self.load_rules(), self.since_created)
-            self._rules_folder = folder
-            if old is not None:
-                delete_folder(self.spark, old)
+            loaded = self.load_rules()
+            mark = tuple(loaded.agg(F.count("*"), F.sum(F.xxhash64(*loaded.columns).cast("decimal(38,0)"))).first())
+            if self.rules is None or mark != self._rules_mark:
+                folder, old = shared_folder(self.spark, "rules"), self._rules_folder
+                with tables_in(folder):
+                    control = threshold.rule_control(loaded, self.since_created)
+                reach = control.rows.agg((F.max("window_ms") / 1000).alias("w"), (F.max("cooldown_ms") / 1000).alias("c")).first()
+                self.rules, self._rules_mark, self._rules_folder = (control, reach), mark, folder
+                if old is not None:
+                    delete_folder(self.spark, old)
         except Exception:
             log.exception("rules not reloaded")
         return self.rules
 
-    def detect_thresholds(self, fresh: DataFrame, lo: datetime, hi: datetime, batch_id: int) -> DataFrame | None:
-        rules = self.current_rules()
-        if rules is None:
-            return None
-        reach = rules.rows.agg(
-            (F.max("window_ms") / 1000).alias("w"), (F.max("cooldown_ms") / 1000).alias("c")
-        ).first()
-        if reach.w is None:
+    def detect_thresholds(self, fresh: DataFrame, lo: datetime, hi: datetime, number: int) -> DataFrame | None:
+        current = self.current_rules()
+        if current is None or current[1].w is None:
             return None
-        history = self.history(lo, hi, reach.w, batch_id)
-        found = threshold.threshold_candidates(history, rules)
+        rules, reach = current
+        found = threshold.threshold_candidates(self.history(lo, hi, reach.w, number), rules)
         return threshold.threshold_fires(
-            self.only_fresh(found, fresh), rules, self.earlier_fires("rule_id", lo, hi, reach.c, batch_id)
+            self.only_fresh(found, fresh), rules, self.earlier_fires("rule_id", lo, hi, reach.c, number)
         )
 
-    def detect_spikes(self, fresh: DataFrame, lo: datetime, hi: datetime, batch_id: int) -> DataFrame | None:
-        reach = self.profiles.rows.agg(
-            F.max((F.col("n_buckets") + 2) * F.col("bucket_ms") / 1000).alias("w"),
-            F.max(F.col("cooldown_ms") / 1000).alias("c"),
-        ).first()
-        if reach.w is None:
+    def detect_spikes(self, fresh: DataFrame, lo: datetime, hi: datetime, number: int) -> DataFrame | None:
+        if self.profile_reach.w is None:
             return None
-        found = zscore.zscore_candidates(self.history(lo, hi, reach.w, batch_id), self.profiles)
+        found = zscore.zscore_candidates(self.history(lo, hi, self.profile_reach.w, number), self.profiles)
         fires = zscore.zscore_fires(
             self.only_fresh(found, fresh), self.profiles, self.severity,
-            earlier=self.earlier_fires("profile_id", lo, hi, reach.c, batch_id),
+            earlier=self.earlier_fires("profile_id", lo, hi, self.profile_reach.c, number),
         )
         return fires.drop("details")
 
-    def seen(self, lo: datetime, hi: datetime, batch_id: int) -> DataFrame:
+    def seen(self, lo: datetime, hi: datetime, number: int) -> DataFrame:
         """What detectors see of the batches up to this one, in a time range."""
         table = self.layout.arrivals if self.evaluate_copies else self.layout.events
-        rows = table.read(self.spark, lo, hi).filter(F.col("batch_id") <= batch_id)
+        rows = table.read(self.spark, lo, hi).filter(F.col("batch_id") <= number)
         if self.evaluate_copies:
             rows = rows.withColumn("event_id", F.concat_ws(COPY_MARK, "event_id", "seq"))
         return rows
@@ -308,18 +325,18 @@ class Pipeline:
             found = found.withColumn("event_id", F.substring_index("event_id", COPY_MARK, 1))
         return found
 
-    def history(self, lo: datetime, hi: datetime, seconds: float, batch_id: int) -> DataFrame:
+    def history(self, lo: datetime, hi: datetime, seconds: float, number: int) -> DataFrame:
         """Stored events up to this batch that its windows can see."""
-        return self.seen(lo - timedelta(seconds=seconds), hi, batch_id)
+        return self.seen(lo - timedelta(seconds=seconds), hi, number)
 
     def only_fresh(self, candidates: DataFrame, fresh: DataFrame) -> DataFrame:
         """Candidates that arrived with this batch; earlier ones were decided then."""
         return candidates.join(fresh.select("event_id"), "event_id", "left_semi")
 
-    def earlier_fires(self, key: str, lo: datetime, hi: datetime, cooldown_seconds: float, batch_id: int) -> DataFrame:
+    def earlier_fires(self, key: str, lo: datetime, hi: datetime, cooldown_seconds: float, number: int) -> DataFrame:
         """When each rule fired, from anomalies of earlier batches that can hold back a candidate."""
         earlier = self.layout.anomalies.read(self.spark, lo - timedelta(seconds=cooldown_seconds), hi).filter(
-            F.col("batch_id") < batch_id
+            F.col("batch_id") < number
         )
         return earlier.select(F.col("rule_id").alias(key), F.unix_millis("detected_at").alias("fire_ms"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from ..schemas import ANOMALIES, EVENTS
 from ..session import checkpointed
@@ -40,14 +40,13 @@ PARKED = T.StructType([
 ])
 
 
-# A stored batch: the time range of its events, and up to which event time detection went
-# before it (``since``) and with it (``upto``).
+# A stored batch: the time range of its events, up to which event time detection went before it
+# (``since``) and with it (``upto``), and the detectors that are through with it. Later rows of a batch add to that.
 BATCHES = T.StructType([
     T.StructField("batch", T.LongType()),
     *[T.StructField(c, T.TimestampType()) for c in ("lo", "hi", "since", "upto")],
+    T.StructField("done", T.ArrayType(T.StringType())),
 ])
-# A batch that a detector is through with.
-DONE = T.StructType([T.StructField("detector", T.StringType()), T.StructField("batch", T.LongType())])
 
 
 @dataclass(frozen=True)
@@ -78,12 +77,11 @@ class Table:
 
     def note(self, rows: DataFrame, batch_id: int) -> None:
         """Append a few bookkeeping rows as they are; readers, at a start, take repeated ones as one."""
-        (
-            rows.select(*self.schema.fieldNames())
-            .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .withColumn("event_date", F.current_date())
-            .coalesce(1).write.mode("append").partitionBy("event_date").parquet(self.path)
-        )
+        self._write(rows.coalesce(1), batch_id, F.current_date())
+
+    def append(self, rows: DataFrame, batch_id: int) -> None:
+        """Append rows that are known not to be stored: no row is read."""
+        self._write(rows, batch_id, self._day())
 
     def append_new(self, rows: DataFrame, batch_id: int, unseen: bool = False) -> None:
         """Append the rows whose key is not stored yet.
@@ -102,10 +100,14 @@ class Table:
         # The keys of the batch go to the table, not the table to the batch: within
         # the bound the stored keys are scanned in place, without a shuffle.
         present = self._stored_keys(rows, key, seen, batch_id if unseen else None)
-        day = F.to_date(self.time) if self.time else F.current_date()
+        self._write(rows.join(present, key, "left_anti"), batch_id, self._day())
+
+    def _day(self) -> Column:
+        return F.to_date(self.time) if self.time else F.current_date()
+
+    def _write(self, rows: DataFrame, batch_id: int, day: Column) -> None:
         (
-            rows.join(present, key, "left_anti")
-            .select(*self.schema.fieldNames())
+            rows.select(*self.schema.fieldNames())
             .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
             .withColumn("event_date", day)
             .hint("rebalance", F.col("event_date"))
@@ -160,16 +162,12 @@ class Layout:
     def batches(self) -> Table:
         return Table(f"{self.root}/batches", BATCHES, ("batch",), None)
 
-    @property
-    def done(self) -> Table:
-        return Table(f"{self.root}/done", DONE, ("detector", "batch"), None)
-
     @property
     def rules(self) -> str:
         return f"{self.root}/rules"
 
     def create(self, spark: SparkSession) -> None:
         for table in (
-            self.events, self.anomalies, self.outbox, self.parked, self.late, self.arrivals, self.batches, self.done,
+            self.events, self.anomalies, self.outbox, self.parked, self.late, self.arrivals, self.batches,
         ):
             table.create(spark)
