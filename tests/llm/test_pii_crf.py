@@ -1,6 +1,8 @@
 import hashlib
 import itertools
+import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -176,3 +178,28 @@ def test_rare_weak_labels_and_copies_are_drawn(spark):
     finally:
         pc.SkipChainField.fit = fit
     assert sum("token" in t for t in seen) == 4 and 4 < len(seen) < 50 and len(set(seen)) == len(seen)
+
+
+def plain_spans(text):
+    """The patterns as they are given."""
+    out = [(m.start(), 0, m.end()) for m in pc.EMAIL.finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in pc.IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    return sorted(out)
+
+
+def test_linear_patterns_equal_the_given_ones():
+    rng = random.Random(5)
+    for alphabet, size in (("a1.@-", 12), ("12.", 14), ("ab@.-_%+ 19", 40), ("0123456789....", 30), ("a@é.", 10)):
+        for _ in range(4000):
+            text = "".join(rng.choices(alphabet, k=rng.randrange(size)))
+            assert [s for s in pc.base_spans(text) if s[1] < 2] == plain_spans(text), text
+
+
+def test_very_long_runs_take_linear_time():
+    digits, letters = "7" * 1_000_000, "x" * 1_000_000
+    start = time.perf_counter()
+    assert pc.base_spans("0" * 5000 + ".0.0.1") == [(0, 1, 5006)]
+    for text in (digits, digits + ".1", letters + "@", "a@" + letters, letters + " b@c.de", ("1" * 50_000 + ".") * 3):
+        found = pc.base_spans(text)
+        assert len(found) == (1 if "b@" in text else 0)
+    assert time.perf_counter() - start < 5
