@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import LOWER_TABLE, SPACES, Words, remainder, steps, written
+from .text import LOWER_TABLE, SPACES, Words, remainder, revived, steps, written
 
 HELD_OUT = (7, 2)
 UNITS = 16
@@ -355,7 +355,7 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
 def train(rows: DataFrame, vocabulary: Vocabulary) -> Gru:
     """Train on all of ``rows`` (slice, text), a slice in each round."""
     sc = rows.sparkSession.sparkContext
-    known = sc.broadcast(vocabulary)
+    known = sc.broadcast(vars(vocabulary))
     slot_counts = vocabulary.counts[np.argsort(np.where(vocabulary.slots >= 0, vocabulary.slots, 1 << 40), kind="stable")]
     model = Gru.fresh(slot_counts[:int((vocabulary.slots >= 0).sum())], vocabulary.shape_n)
     shapes = [w.shape for w in model.weights]
@@ -373,9 +373,10 @@ def train(rows: DataFrame, vocabulary: Vocabulary) -> Gru:
 
         def work(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             own = Gru(unpack(np.frombuffer(start.value, np.float32)))
+            words = revived(Vocabulary, known.value)
             memory, n = {}, 0
             for _, t in _chunks(batches):
-                own.train(codes(t, known.value)[0], t.count, memory)
+                own.train(codes(t, words)[0], t.count, memory)
                 n += len(t.hash)
             if n:
                 yield pa.RecordBatch.from_pydict({"n": [n], "weights": pa.array([pack(own.weights)], pa.binary())})
@@ -419,10 +420,11 @@ def scored(
     vocabulary = vocabulary_of(counts)
     sliced = learn.select(F.pmod(F.xxhash64("key", "text"), F.lit(TRAIN_ROUNDS)).alias("slice"), "text")
     model = train(sliced, vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model.weights))
+    shared = docs.sparkSession.sparkContext.broadcast((vars(vocabulary), model.weights))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weights = shared.value
+        state, weights = shared.value
+        vocabulary = revived(Vocabulary, state)
         network = Gru(weights)
         own = CLASSES * CLASS_WORDS
         share = np.log10(vocabulary.shape_n + vocabulary.shape_v + 1.0)

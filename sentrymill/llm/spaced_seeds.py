@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import ALNUM_TABLE, Words, runs, steps, windows, written
+from .text import ALNUM_TABLE, Words, revived, runs, steps, windows, written
 
 # With these two, every 15 words of which at most 3 are replaced share a seed (tested over all
 # choices of the 3).
@@ -33,6 +33,9 @@ ITEM_WORDS = 8
 # several passes over the documents.
 CHUNK_WORDS = 250_000
 
+# Words compared at a time.
+STEP_WORDS = 1 << 20
+
 PAIRS = "doc_id long, item_id long, matched_words int, aligned_words int, item_words int, first_word int"
 
 
@@ -79,7 +82,10 @@ class SeedIndex:
             item, offset = self.entries[entry].T
             found.append(np.stack((doc, item, at - w.first[doc] - offset), 1))
         best: dict[tuple[int, int], tuple] = {}
-        for doc, item, shift in np.unique(np.concatenate(found), axis=0).tolist():
+        aligned = np.concatenate(found)
+        aligned = aligned[np.lexsort(aligned.T[::-1])]
+        aligned = aligned[(np.diff(aligned, axis=0, prepend=-1 - abs(aligned[:1])) != 0).any(axis=1)]
+        for doc, item, shift in aligned[self._equal_enough(aligned, w, h)].tolist():
             own = self.words[self.first[item]:self.first[item + 1]]
             text = h[w.first[doc]:w.first[doc + 1]]
             a, b = max(0, -shift), min(len(own), len(text) - shift)
@@ -95,6 +101,25 @@ class SeedIndex:
             "matched_words": -column(0), "first_word": column(1), "aligned_words": column(2), "item_words": column(3),
         }
 
+    def _equal_enough(self, aligned: np.ndarray, w: Words, h: np.ndarray) -> np.ndarray:
+        """Which (text, item, shift) have as many equal words in all as a hit needs."""
+        doc, item, shift = aligned.T
+        own, text = np.diff(self.first)[item], w.counts[doc]
+        start = np.maximum(0, -shift)
+        size = np.minimum(own, text - shift) - start
+        out = np.zeros(len(aligned), bool)
+        step = np.cumsum(size) // STEP_WORDS
+        for rows in np.split(np.arange(len(aligned)), np.flatnonzero(np.diff(step)) + 1):
+            if len(rows):
+                n, k = size[rows], runs(size[rows])
+                a = np.repeat(self.first[item[rows]] + start[rows], n) + k
+                b = np.repeat(w.first[doc[rows]] + start[rows] + shift[rows], n) + k
+                equal = np.concatenate(([0], np.cumsum(self.words[a] == h[b])))
+                ends = np.cumsum(n)
+                need = np.minimum(MATCHED_WORDS, -(-SHARE[0] * own[rows] // SHARE[1]))
+                out[rows] = equal[ends] - equal[ends - n] >= need
+        return out
+
 
 def _seeds(words: np.ndarray, first: np.ndarray, mask, k: int) -> tuple[np.ndarray, np.ndarray]:
     s = windows(words, mask) + np.uint64(k)
@@ -149,10 +174,10 @@ def benchmark_overlaps(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark, out = docs.sparkSession, None
     for index in _indexes(bench, item_id_col, item_text_col, chunk_words):
-        shared = spark.sparkContext.broadcast(index)
+        shared = spark.sparkContext.broadcast(vars(index))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+            index = revived(SeedIndex, shared.value)
             for batch in steps(batches, "text"):
                 hit = index.search(batch.column("text"))
                 yield pa.RecordBatch.from_pydict({
@@ -178,12 +203,13 @@ def drop_contaminated(
     for k, index in enumerate(_indexes(bench, item_id_col, item_text_col, chunk_words)):
         if k:
             docs = written(docs, "seed-kept")
-        shared = sc.broadcast(index)
+        shared = sc.broadcast(vars(index))
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = revived(SeedIndex, shared.value)
             for batch in steps(batches, text_col):
                 keep = np.ones(batch.num_rows, bool)
-                keep[shared.value.search(batch.column(text_col))["doc"]] = False
+                keep[index.search(batch.column(text_col))["doc"]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, schema)

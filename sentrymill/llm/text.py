@@ -196,6 +196,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def revived(kind: type, state: dict):
+    """An object from its ``vars``: what is broadcast names no class that workers may not find."""
+    out = kind.__new__(kind)
+    out.__dict__.update(state)
+    return out
+
+
 def new_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it where ``df`` has a column of that name."""
     while name.lower() in {c.lower() for c in df.columns}:

@@ -1,7 +1,9 @@
 import itertools
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -111,3 +113,13 @@ def test_no_layout_of_an_item_is_lost(size):
 
 def test_index_without_seeds_finds_nothing():
     assert len(ss.SeedIndex([1], ["alpha beta"]).search(ss.pa.array(["alpha beta", None]))["doc"]) == 0
+
+
+def test_many_items_with_one_opening_cost_little():
+    opening = " ".join(f"w{k}" for k in range(9))
+    items = [f"{opening} " + " ".join(f"i{n}x{k}" for k in range(10)) for n in range(12_000)]
+    index = ss.SeedIndex(list(range(len(items))), items)
+    start = time.perf_counter()
+    hit = index.search(pa.array([f"{opening} {opening}", items[7]], pa.large_string()))
+    assert time.perf_counter() - start < 1
+    assert hit["item"].tolist() == [7] and hit["matched_words"].tolist() == [19]
