@@ -43,9 +43,7 @@ class _Body:
 
     def read(self, requests: DataFrame) -> DataFrame:
         paths = [*self.texts, *self.numbers, *self.others]
-        rows = requests.withColumn("_v", F.explode(F.array(F.try_parse_json("body")))).withColumn(
-            "_root", F.schema_of_variant("_v").startswith("OBJECT")
-        )
+        rows = requests.withColumn("_v", F.explode(F.array(F.try_parse_json("body"))))
         # One struct of variants per object level, outermost first.
         level = {"": "_v"}
         for prefix in sorted({p.rpartition(".")[0] for p in paths}, key=len):
@@ -65,7 +63,7 @@ class _Body:
         return f"_{kind}_{path.replace('.', '_')}"
 
     def is_root_object(self) -> Column:
-        return F.coalesce("_root", F.lit(False))
+        return F.col("_object_").isNotNull()
 
     def kind(self, path: str) -> Column:
         """Type word of a field; null when the field is absent, VOID for JSON null."""
