@@ -21,7 +21,79 @@ from .text import ALNUM_TABLE, filled, steps
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 # ---- end of fixed values ----
 
+# ---- fixed values: wording of common licenses and notices ----
+_AS_IS = """
+    this software is provided by the <<var;name=holders;words=1-12>> "as is" and any express or implied warranties,
+    including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose
+    are disclaimed. in no event shall the <<var;name=holders;words=1-12>> be liable for any direct, indirect, incidental,
+    special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or
+    services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability,
+    whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the
+    use of this software, even if advised of the possibility of such damage"""
+_TWO_CLAUSES = """
+    redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: <<beginOptional>>1.<<endOptional>> redistributions of source code must retain the above
+    copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> redistributions
+    in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+    the documentation and/or other materials provided with the distribution."""
+
+LICENSES = {
+    "mit-text": """
+        permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "software"), to deal in the software without restriction, including without limitation
+        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and
+        to permit persons to whom the software is furnished to do so, subject to the following conditions: the above
+        copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be
+        included in all copies or substantial portions of the software. the software is provided "as is", without
+        warranty of any kind, express or implied, including but not limited to the warranties of merchantability,
+        fitness for a particular purpose and noninfringement. in no event shall the <<var;name=holders;words=1-12>> be liable
+        for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from,
+        out of or in connection with the software or the use or other dealings in the software""",
+    "isc-text": """
+        permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or
+        without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all
+        copies. the software is provided "as is" and <<var;name=author;words=1-8>> disclaims all warranties with regard to
+        this software including all implied warranties of merchantability and fitness. in no event shall
+        <<var;name=author;words=1-8>> be liable for any special, direct, indirect, or consequential damages or any damages
+        whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other
+        tortious action, arising out of or in connection with the use or performance of this software""",
+    "bsd-2-clause-text": _TWO_CLAUSES + _AS_IS,
+    "bsd-3-clause-text": _TWO_CLAUSES + """
+        <<beginOptional>>3.<<endOptional>> neither the name of the <<var;name=organization;words=1-12>> nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior
+        written permission.""" + _AS_IS,
+    "apache-2.0-header": """
+        licensed under the apache license, version 2.0 (the "license"); you may not use this file except in compliance
+        with the license. you may obtain a copy of the license at <<var;name=scheme;match="https?">>://www.apache.org/licenses/license-2.0
+        unless required by applicable law or agreed to in writing, software distributed under the license is distributed
+        on an "as is" basis, without warranties or conditions of any kind, either express or implied. see the license
+        for the specific language governing permissions and limitations under the license""",
+    "gpl-header": """
+        is free software: you can redistribute it and/or modify it under the
+        terms of the gnu <<beginOptional>><<var;name=kind;match="lesser|affero|library">><<endOptional>> general public license as published
+        by the free software foundation, either version <<var;name=version;words=1-2;match="[0-9]+">> of the
+        license, or (at your option) any later version. <<var;name=program;words=1-6>> is distributed in the hope that it
+        will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a
+        particular purpose. see the gnu <<beginOptional>><<var;name=kind;match="lesser|affero|library">><<endOptional>> general public
+        license for more details""",
+    "mpl-2.0-header": """
+        this source code form is subject to the terms of the mozilla public license, v. 2.0. if a copy of the mpl was
+        not distributed with this file, you can obtain one at <<var;name=scheme;match="https?">>://mozilla.org/mpl/2.0""",
+    "zlib-text": """
+        this software is provided 'as-is', without any express or implied warranty. in no event will the authors be held
+        liable for any damages arising from the use of this software. permission is granted to anyone to use this
+        software for any purpose, including commercial applications, and to alter it and redistribute it freely,
+        subject to the following restrictions: <<beginOptional>>1.<<endOptional>> the origin of this software must not be
+        misrepresented; you must not claim that you wrote the original software. if you use this software in a product,
+        an acknowledgment in the product documentation would be appreciated but is not required.
+        <<beginOptional>>2.<<endOptional>> altered source versions must be plainly marked as such, and must not be misrepresented
+        as being the original software. <<beginOptional>>3.<<endOptional>> this notice may not be removed or altered from any source
+        distribution""",
+}
+# ---- end of fixed values ----
+
 TEMPLATES = {
+    **LICENSES,
     "apache-2.0-notice": """
         <<beginOptional>>this <<var;name=what;match="work|file|software|program|project">> is<<endOptional>>
         licensed under the <<beginOptional>>terms of the<<endOptional>> Apache License

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from .licenses import LICENSES as WHOLE
 
 POISSON = """
 WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
@@ -40,6 +43,7 @@ l AS (
             CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END,
             CASE WHEN len(mit) > 0 THEN 'mit' END], lambda x: x IS NOT NULL) AS base,
         list_filter([
+            /* whole texts */
             CASE WHEN regexp_matches(line, ' licensed under the (terms of the )?apache license (version )?2 0 ') THEN 'apache-2.0-notice' END,
             CASE WHEN regexp_matches(line, ' redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met ') THEN 'bsd-conditions' END,
             CASE WHEN regexp_matches(line, ' licensed under (the )?cc by nc [0-9]+ ') THEN 'cc-by-nc-notice' END,
@@ -99,7 +103,27 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 """
 
 
+def template_pattern(markup: str) -> str:
+    """A template as a pattern over words that are each followed by one space."""
+    out = []
+    for k, piece in enumerate(re.split(r"<<(.*?)>>", markup)):
+        if k % 2 == 0:
+            out += [f"{word} " for word in re.findall("[0-9a-z]+", piece.lower())]
+        elif piece.startswith("var;"):
+            options = dict(re.findall(r'(words|match)="?([^;"]+)', piece))
+            low, _, high = options.get("words", "1").partition("-")
+            out.append(f"((?:{options.get('match', '[^ ]+')}) ){{{low},{high or low}}}")
+        else:
+            out.append("(" if piece == "beginOptional" else ")?")
+    return "".join(out)
+
+
+def _license_cases() -> str:
+    return "\n            ".join(
+        f"CASE WHEN regexp_matches(line, ' {template_pattern(markup)}') THEN '{label}' END," for label, markup in WHOLE.items())
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_license_templates": LICENSES, "op8_poisson_mix": POISSON, "op11_filter_audit": AUDIT, "op12_digest_index": EXACT,
+        "op2_license_templates": LICENSES.replace("/* whole texts */", _license_cases()), "op8_poisson_mix": POISSON, "op11_filter_audit": AUDIT, "op12_digest_index": EXACT,
     }

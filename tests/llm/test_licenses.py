@@ -87,3 +87,70 @@ def test_edge_cases(spark):
     assert got[None].labels == "apache" and got[8].labels == "" and (got[9].n_base, got[9].first_word) == (1, 3)
     assert got[10].labels == "mit-permission" and got[11].labels == ""
     assert li.license_scan(docs.limit(0)).collect() == [] and li.license_scan(docs).count() == len(rows)
+
+
+MIT = """The MIT License (MIT)\n\nCopyright (c) 2024 Some One\n
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions:\n
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n"""
+HEADER = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#     {scheme}://www.apache.org/licenses/LICENSE-2.0
+# Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+# "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+# language governing permissions and limitations under the License."""
+
+
+def example(markup, optional, word="holder"):
+    """A text of a template: optional regions in or out, wildcards filled."""
+    depth, out = 0, []
+    for k, p in enumerate(re.split(r"<<(.*?)>>", markup, flags=re.S)):
+        if k % 2 == 0:
+            out += [p] if optional or not depth else []
+        elif p.startswith("var;"):
+            match = re.search(r'match="([^"]*)"', p)
+            fill = word if not match else "3" if "0-9" in match[1] else match[1].split("|")[0].replace("?", "")
+            out += [f" {fill} "] if optional or not depth else []
+        else:
+            depth += 1 if p == "beginOptional" else -1
+    return "".join(out)
+
+
+def found(text):
+    return {label for label, markup in li.LICENSES.items() if li.Template(markup).spans(li.words_of(text.encode()))}
+
+
+def test_whole_license_texts():
+    assert found(MIT) == {"mit-text"}
+    assert found(HEADER.format(scheme="http")) == found(HEADER.format(scheme="https")) == {"apache-2.0-header"}
+    assert not found(MIT.replace("sublicense, ", "")) and not found(MIT.replace("ANY CLAIM", "A CLAIM"))
+    assert not found(HEADER.format(scheme="ftp")) and not found(MIT[:600])
+
+
+@pytest.mark.parametrize("label", li.LICENSES)
+def test_each_license_is_told_from_the_others(label):
+    for optional in (True, False):
+        text = example(li.LICENSES[label], optional)
+        assert found(f"Before it. {text} After it.") == {label}
+        words = text.split()
+        for k in range(0, len(words), 17):  # a changed mandatory word is no match
+            if words[k].lower() not in ("holder", "1.", "2.", "3."):
+                broken = " ".join([*words[:k], "otherwords", *words[k + 1:]])
+                assert label not in found(broken) or re.search("holder|[0-9]", words[k] + words[max(0, k - 1)])
+
+
+def test_pattern_of_the_sql_says_the_same():
+    from sentrymill.llm.oracle import template_pattern
+
+    texts = [MIT, MIT.replace("sublicense, ", ""), HEADER.format(scheme="https")]
+    texts += [example(m, o) for m in li.LICENSES.values() for o in (True, False)]
+    for text in texts:
+        line = " " + " ".join(w.decode() for w in li.words_of(text.encode())) + " "
+        assert {label for label, m in li.LICENSES.items() if re.search(" " + template_pattern(m), line)} == found(text)
