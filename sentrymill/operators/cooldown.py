@@ -4,7 +4,7 @@ ago, and only a fire restarts the wait.
 A chain of that kind depends on its own past. Two exact ways to run it:
 
 * keys with a moderate number of candidate milliseconds: one sorted pass per key;
-* otherwise: time is cut into blocks some cooldowns wide. Whatever happened
+* for the other keys: time is cut into blocks some cooldowns wide. Whatever happened
   before, the first fire of a block is one of the candidates in its first
   cooldown, or the first one after that. Each block is reduced, all blocks in
   parallel, to a table "first fire -> earliest next fire"; tables of neighbouring
@@ -66,13 +66,18 @@ def apply_cooldown(
     if earlier is not None:
         times = _not_held(times, earlier, key)
 
-    busiest = held.groupBy(key).count().agg(F.max("count")).first()[0]
-    if busiest is None:
+    # The form is chosen per key: one busy key doesn't move the others to the longer way.
+    sizes = held.groupBy(key).count()
+    seen = sizes.agg(F.count("*").alias("keys"), F.count_if(F.col("count") > direct_rows).alias("busy")).first()
+    if not seen.keys:
         return free
-    if busiest <= direct_rows:
+    if not seen.busy:
         fires = _direct(times, key)
     else:
-        fires = _chained(checkpointed(times), key, direct_rows, fan_in)
+        busy = checkpointed(sizes.filter(F.col("count") > direct_rows).select(key))
+        fires = _chained(checkpointed(times.join(busy, key, "left_semi")), key, direct_rows, fan_in)
+        if seen.busy < seen.keys:
+            fires = fires.unionByName(_direct(times.join(busy, key, "left_anti"), key))
     return free.unionByName(held.join(fires, [key, "ts_ms"]).select(*firsts.columns))
 
 

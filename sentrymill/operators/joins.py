@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import checkpointed
 
@@ -16,7 +16,10 @@ from ..session import checkpointed
 BROADCAST_ROWS = 20_000
 ROW_BYTES = 400
 
+# A hot key is dealt over at least so many partitions, and over a third of all where the copies of the small
+# side that this takes stay within a bound.
 SALTS = 16
+COPIED_ROWS = 50_000_000
 
 # Consecutive values of the unique arrival number that may share a join key.
 SEQ_RUN = 1 << 20
@@ -47,6 +50,12 @@ def with_group_values(rows: DataFrame, key: str, partial: dict[str, Column], tot
     return join_same(rows.withColumn("_run", seq_run()), values, [key, "_run"]).drop("_run")
 
 
+def salts_for(spark: SparkSession, rows: int) -> int:
+    """Partitions that a key is dealt over when the side of ``rows`` rows is copied to each."""
+    third = int(spark.conf.get("spark.sql.shuffle.partitions")) // 3
+    return max(SALTS, min(third, COPIED_ROWS // max(1, rows)))
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,
@@ -73,7 +82,7 @@ def sized_join(
     bound, salted beyond it."""
     if rows <= max_broadcast:
         return big.join(F.broadcast(small), on)
-    return salted_join(big, small, on)
+    return salted_join(big, small, on, salts=salts_for(big.sparkSession, rows))
 
 
 # Which of the two filters a control row sets, as bits.
@@ -135,8 +144,9 @@ def match_filters(
     if control.count <= max_broadcast:
         side = F.broadcast(side)
     else:
-        keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int"))
-        side = side.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salts = salts_for(events.sparkSession, control.count)
+        keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int"))
+        side = side.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         on.append(F.col("_salt") == F.col("_rsalt"))
     return keyed.join(side, reduce(and_, on)).drop(
         "_shape", "_kt", "_ks", "_rshape", "_salt", "_rsalt", "f_type", "f_source"
