@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import iso_millis, uuid_text
 from ..schemas import RULES
-from ..session import checkpointed
+from ..session import checkpointed, delete_folder, folder_exists
 from .joins import with_group_values
 
 FIELDS = ("name", "enabled", "severity", "window_seconds", "cooldown_seconds", "condition")
@@ -41,35 +41,37 @@ def change_messages(changes: DataFrame) -> DataFrame:
 
 # Versions of the rule table that stay for readers that began with them.
 KEPT_VERSIONS = 3
+_STORED = T.StructType([*[T.StructField(f.name, f.dataType) for f in RULES], T.StructField("version", T.LongType())])
 
 
-def _versions(spark: SparkSession, path: str):
-    """The table's folder, its file system, and the complete versions in it, oldest first."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
-    whole = [p for p in found if p.getName().startswith("v") and fs.exists(p.suffix("/_SUCCESS"))]
-    return fs, sorted(whole, key=lambda p: p.getName())
+def _stored(spark: SparkSession, path: str) -> tuple[DataFrame, list[int]]:
+    """All stored rows, and the versions that are whole, oldest first: those with their closing row, which has no id."""
+    if not folder_exists(spark, path):
+        return spark.createDataFrame([], _STORED), []
+    rows = spark.read.schema(_STORED).parquet(path)
+    return rows, sorted(r.version for r in rows.filter("rule_id IS NULL").select("version").distinct().collect())
 
 
 def write_rules(rules: DataFrame, path: str) -> None:
-    """Store a new version of the rule table. Readers take the newest complete one, so none ever
-    sees a table that is half written. One writer at a time."""
+    """Append a new version of the rule table, closed by a row of its own. Readers take the newest
+    closed one, so none ever sees a table that is half written. One writer at a time."""
     spark = rules.sparkSession
-    _, before = _versions(spark, path)
-    n = int(before[-1].getName()[1:]) + 1 if before else 0
-    checkpointed(rules.select(*RULES.fieldNames())).write.mode("overwrite").parquet(f"{path}/v{n:012d}")
-    fs, now = _versions(spark, path)
-    for old in now[:-KEPT_VERSIONS]:
-        fs.delete(old, True)
+    before = _stored(spark, path)[1]
+    version = before[-1] + 1 if before else 0
+    delete_folder(spark, f"{path}/version={version}")  # what a write that was cut short left
+    closing = spark.createDataFrame([(None,) * len(RULES)], T.StructType(_STORED.fields[:-1]))
+    for rows in (checkpointed(rules.select(*RULES.fieldNames())), closing):
+        rows.withColumn("version", F.lit(version).cast("bigint")).write.mode("append").partitionBy("version").parquet(path)
+    for old in before[:-(KEPT_VERSIONS - 1)]:
+        delete_folder(spark, f"{path}/version={old}")
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete version; an error where there is none."""
-    _, versions = _versions(spark, path)
+    """The newest whole version; an error where there is none."""
+    rows, versions = _stored(spark, path)
     if not versions:
         raise FileNotFoundError(f"no rule table in {path}")
-    return spark.read.schema(RULES).parquet(versions[-1].toString())
+    return rows.filter((F.col("version") == versions[-1]) & F.col("rule_id").isNotNull()).drop("version")
 
 
 def apply_rule_changes(changes: DataFrame) -> DataFrame:
