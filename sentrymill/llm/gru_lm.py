@@ -6,10 +6,12 @@ probability is that of its class given the state, times its own within the class
 softmax for the network's words, its smoothed share of the class's count for the others. So
 the two softmaxes stay small, every word has a probability, and they sum to one.
 
-Training is data-parallel: in each round every task trains on its part of a slice of the
-training documents, from the same weights, and the results are averaged by token counts.
+Training is data-parallel: a hash deals the training documents to rounds and shards, whose number
+grows with the corpus. In each round every shard trains on its documents in the order of their hash, from the
+same weights and the same state of the optimiser, and the results are averaged by token counts. So how
+the table is split into files and tasks changes nothing. Rows equal in id and text go to one shard.
 Backpropagation is cut after ``WINDOW`` words; the state goes on from window to window. In scoring
-it goes on to the end of a document; in training also a lane's edge ends it, as a task's tokens
+it goes on to the end of a document; in training also a lane's edge ends it, as a shard's tokens
 are cut into up to ``TRAIN_LANES`` even lanes wherever an edge falls.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ SHAPES = 16
 # Words whose counts every task holds, at most; the counts of the others are joined.
 HEAD_WORDS = 1 << 19
 TRAIN_ROUNDS = 3
+# Training tokens aimed at per shard and round.
+SHARD_TOKENS = 1 << 20
 RATE = 0.01
 WINDOW, TRAIN_LANES, SCORE_WINDOW, SCORE_LANES = 16, 256, 32, 512
 # Words that a task counts, trains on or scores at a time (one longer document is alone).
@@ -56,6 +61,13 @@ class Tokens:
         shape = ending * 4 + (wide[w.end] > wide[w.start]) * 2 + (size > 8)
         self.shape = np.insert(shape, ends, 0).astype(np.int8)
 
+    def cut(self, a: int, b: int) -> Tokens:
+        """Those of texts a to b."""
+        out = Tokens.__new__(Tokens)
+        at = np.concatenate(([0], np.cumsum(self.count)))
+        out.count, out.hash, out.shape = self.count[a:b], self.hash[at[a]:at[b]], self.shape[at[a]:at[b]]
+        return out
+
 
 @dataclass
 class Vocabulary:
@@ -308,10 +320,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Token
 
 
 def _joined(rows: list, parts: list[Tokens]) -> tuple[pa.Table, Tokens]:
+    return pa.Table.from_batches(rows), _whole(parts)
+
+
+def _whole(parts: list[Tokens]) -> Tokens:
     whole = parts[0]
     for name in ("count", "hash", "shape"):
         setattr(whole, name, np.concatenate([getattr(p, name) for p in parts]))
-    return pa.Table.from_batches(rows), whole
+    return whole
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -352,48 +368,88 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
     return Vocabulary(h, c, slots, n, distinct, shape_n, shape_v)
 
 
+def _shard_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Tokens]]:
+    """Tokens by shard, of rows sorted by it: whole documents, cut after about ``CHUNK_WORDS`` tokens of a shard.
+    Where batches end doesn't matter."""
+    held: list[Tokens] = []
+    shard, n = None, 0
+    for batch in steps(batches, "text"):
+        of = batch.column("shard").to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)]))
+        for a, b in zip(cuts, cuts[1:]):
+            if held and of[a] != shard:
+                yield shard, _whole(held)
+                held, n = [], 0
+            shard = of[a]
+            t = Tokens(batch.column("text").slice(int(a), int(b - a)))
+            held.append(t)
+            n += len(t.hash)
+            while n >= CHUNK_WORDS:
+                whole = _whole(held)
+                docs = int(np.searchsorted(np.cumsum(whole.count), CHUNK_WORDS)) + 1
+                yield shard, whole.cut(0, docs)
+                rest = whole.cut(docs, len(whole.count))
+                held, n = ([rest] if len(rest.count) else []), len(rest.hash)
+    if held:
+        yield shard, _whole(held)
+
+
 def train(rows: DataFrame, vocabulary: Vocabulary) -> Gru:
-    """Train on all of ``rows`` (slice, text), a slice in each round."""
+    """Train on all of ``rows`` (h, text), a part by the hash ``h`` in each round."""
     sc = rows.sparkSession.sparkContext
     known = sc.broadcast(vars(vocabulary))
     slot_counts = vocabulary.counts[np.argsort(np.where(vocabulary.slots >= 0, vocabulary.slots, 1 << 40), kind="stable")]
     model = Gru.fresh(slot_counts[:int((vocabulary.slots >= 0).sum())], vocabulary.shape_n)
+    memory = {"m": [np.zeros_like(w) for w in model.weights], "v": [np.zeros_like(w) for w in model.weights], "k": 0}
     shapes = [w.shape for w in model.weights]
-    n_parts = 32
+    ends = np.cumsum([int(np.prod(s)) for s in shapes * 3])
+    n_shards, n_parts = max(1, vocabulary.n // (TRAIN_ROUNDS * SHARD_TOKENS)), 32
+    part = F.pmod("h", F.lit(TRAIN_ROUNDS * n_shards))
+    dealt = rows.select(
+        F.pmod(part, F.lit(TRAIN_ROUNDS)).alias("round"), F.floor(part / TRAIN_ROUNDS).cast("int").alias("shard"), "h", "text")
 
-    def pack(weights: list[np.ndarray]) -> bytes:
-        return np.concatenate([w.ravel() for w in weights]).astype(np.float32).tobytes()
+    def pack(model: Gru, memory: dict) -> bytes:
+        return np.concatenate([w.ravel() for w in (*model.weights, *memory["m"], *memory["v"])]).astype(np.float32).tobytes()
 
-    def unpack(vector: np.ndarray) -> list[np.ndarray]:
-        ends = np.cumsum([int(np.prod(s)) for s in shapes])
-        return [x.reshape(s).astype(np.float32) for x, s in zip(np.split(vector, ends[:-1]), shapes)]
+    def unpack(vector: np.ndarray, k: int) -> tuple[Gru, dict]:
+        arrays = [x.reshape(s).astype(np.float32) for x, s in zip(np.split(vector, ends[:-1]), shapes * 3)]
+        third = len(shapes)
+        return Gru(arrays[:third]), {"m": arrays[third:2 * third], "v": arrays[2 * third:], "k": k}
 
     for k in range(TRAIN_ROUNDS):
-        start = sc.broadcast(pack(model.weights))
+        start = sc.broadcast((pack(model, memory), memory["k"]))
 
         def work(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            own = Gru(unpack(np.frombuffer(start.value, np.float32)))
             words = revived(Vocabulary, known.value)
-            memory, n = {}, 0
-            for _, t in _chunks(batches):
-                own.train(codes(t, words)[0], t.count, memory)
-                n += len(t.hash)
-            if n:
-                yield pa.RecordBatch.from_pydict({"n": [n], "weights": pa.array([pack(own.weights)], pa.binary())})
+            packed, before = start.value
+            for shard, chunks in groupby(_shard_chunks(batches), lambda x: x[0]):
+                own, memory = unpack(np.frombuffer(packed, np.float32), before)
+                n = 0
+                for _, t in chunks:
+                    own.train(codes(t, words)[0], t.count, memory)
+                    n += len(t.hash)
+                yield pa.RecordBatch.from_pydict({
+                    "shard": pa.array([shard], pa.int32()), "n": [n], "k": [n * memory["k"]], "weights": pa.array([pack(own, memory)], pa.binary())})
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, n = 0.0, 0
+            total, n, k = 0.0, 0, 0
             for batch in batches:
-                for m, w in zip(batch.column("n").to_pylist(), batch.column("weights").to_pylist()):
-                    total, n = total + m * np.frombuffer(w, np.float32).astype(float), n + m
+                for m, steps_, w in zip(*(batch.column(c).to_pylist() for c in ("n", "k", "weights"))):
+                    total, n, k = total + m * np.frombuffer(w, np.float32).astype(float), n + m, k + steps_
             if n:
-                yield pa.RecordBatch.from_pydict({"n": [n], "weights": pa.array([total.tobytes()], pa.binary())})
-
-        trained = rows.where(F.col("slice") == k).select("text").mapInArrow(work, "n long, weights binary")
-        sums = trained.repartition(n_parts).mapInArrow(add, "n long, weights binary").collect()  # n_parts rows at most
+                yield pa.RecordBatch.from_pydict({"n": [n], "k": [k], "weights": pa.array([total.tobytes()], pa.binary())})
+
+        trained = (
+            dealt.where(F.col("round") == k).repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "h")
+            .select("shard", "text").mapInArrow(work, "shard int, n long, k long, weights binary")
+        )
+        sums = (
+            trained.repartitionById(n_parts, F.pmod("shard", F.lit(n_parts))).sortWithinPartitions("shard")
+            .select("n", "k", "weights").mapInArrow(add, "n long, k long, weights binary").collect()  # n_parts rows at most
+        )
         if sums:
-            total = sum(np.frombuffer(x.weights, float) for x in sums) / sum(x.n for x in sums)
-            model = Gru(unpack(total))
+            n = sum(x.n for x in sums)
+            model, memory = unpack(sum(np.frombuffer(x.weights, float) for x in sums) / n, round(sum(x.k for x in sums) / n))
     return model
 
 
@@ -418,8 +474,7 @@ def scored(
     learn = base.where(crc % held_out[0] != held_out[1])
     counts = word_counts(learn)
     vocabulary = vocabulary_of(counts)
-    sliced = learn.select(F.pmod(F.xxhash64("key", "text"), F.lit(TRAIN_ROUNDS)).alias("slice"), "text")
-    model = train(sliced, vocabulary)
+    model = train(learn.select(F.xxhash64("key", "text").alias("h"), "text"), vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((vars(vocabulary), model.weights))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

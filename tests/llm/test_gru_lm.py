@@ -156,3 +156,26 @@ def test_shape_classes_share_out_their_counts(spark):
     place = v.find(np.append(v.hashes, np.uint64(5)))
     assert np.array_equal(place, [*range(len(v.hashes)), -1])
     assert lm.Tokens(pa.array(["a b", None])).count.tolist() == [3, 1]
+
+
+def test_scores_do_not_depend_on_how_the_table_is_split(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 5000)  # some shards in each round
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    found = []
+    for parts in (1, 5, 16):
+        rows = lm.scored(docs.repartition(parts)).collect()
+        found.append({r.doc_id: r.score for r in rows})
+    for other in found[1:]:
+        assert other.keys() == found[0].keys()
+        assert all(other[i] == pytest.approx(x, rel=1e-6, abs=1e-6) for i, x in found[0].items())
+
+
+def test_shard_chunks_do_not_depend_on_batches(monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_WORDS", 20)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(["w"] * int(n)) for n in rng.integers(0, 15, 60)]
+    table = pa.table({"shard": pa.array(np.sort(rng.integers(0, 4, 60)).astype(np.int32)), "text": texts})
+    chunks = lambda size: [(int(k), t.count.tolist()) for k, t in lm._shard_chunks(iter(table.to_batches(max_chunksize=size)))]
+    want = chunks(60)
+    assert len(want) > 8 and all(chunks(size) == want for size in (1, 7, 13))
+    assert sum((c for _, c in want), []) == [len(t.split()) + 1 for t in texts]
