@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import checkpointed
-from .text import LOWER_TABLE, filled, written
+from .text import LOWER_TABLE, filled, revived, written
 
 # Which words count, which lose a letter, and how much more often a form is.
 MIN_LETTERS = 7
@@ -122,13 +122,13 @@ class WordTable:
 
 
 class BoxTree:
-    """A k-d tree. Boxes are those of the points, or (``whole``) those the cuts make of all space."""
+    """A k-d tree. Boxes are those of the points, or (``whole``) those the cuts make of all space; then
+    leaves keep no points."""
 
     def __init__(self, points: np.ndarray, leaf_rows: int, whole: bool = False):
         d = points.shape[1]
         self.cut: list[tuple[int, int, int, int] | None] = []
         self.low, self.high, self.members = [], [], []
-        self.leaves = 0
         todo = [(np.arange(len(points)), np.full(d, -FAR, np.int16), np.full(d, FAR, np.int16), None, 0)]
         while todo:
             own, low, high, parent, side = todo.pop()
@@ -145,7 +145,7 @@ class BoxTree:
             found = _best_cut(here) if len(own) > leaf_rows else None
             if found is None:
                 self.cut.append(None)
-                self.members.append(own)
+                self.members.append(None if whole else own)
                 continue
             axis, at = found
             self.cut.append((axis, at, -1, -1))
@@ -272,9 +272,11 @@ def near_words(words: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     shards = min(MAX_SHARDS, max(1, -(-size // shard_words)))
     below = int(min(1.0, SAMPLE_PER_SHARD * shards / max(1, size)) * (1 << 63))
     picked = words.where(F.xxhash64("word").bitwiseAND((1 << 63) - 1) <= below - 1).select("word").toArrow().column("word")
-    tree = BoxTree(WordTable(picked).points, max(1, -(-len(picked) // shards)), whole=True)
+    boxes = words.sparkSession.sparkContext.broadcast(  # some 200 bytes a shard
+        vars(BoxTree(WordTable(picked).points, max(1, -(-len(picked) // shards)), whole=True)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = revived(BoxTree, boxes.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
