@@ -36,9 +36,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     Used where one result feeds several later passes, so that the passes agree
     with each other and survive the loss of executors. Within ``tables_in`` it is a table there.
     """
-    folder = _scratch.get()
-    if folder is not None:
-        path = f"{folder}/{uuid.uuid4()}"
+    if _scratch.get() is not None:
+        path = table_folder(df.sparkSession, "table")
         df.write.parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
     ensure_checkpoint_dir(df.sparkSession)
@@ -46,8 +45,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def tables_in(folder: str) -> Iterator[None]:
-    """What is checkpointed inside becomes a table in ``folder``."""
+def tables_in(folder: str | None) -> Iterator[None]:
+    """What is checkpointed inside becomes a table in ``folder``; None ends that for a while."""
     token = _scratch.set(folder)
     try:
         yield
@@ -82,6 +81,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
 
 
+def table_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a table: in the folder of ``tables_in``, or next to the checkpoints."""
+    folder = _scratch.get()
+    return shared_folder(spark, name) if folder is None else f"{folder}/{name}-{uuid.uuid4()}"
+
+
 def use_utc(spark: SparkSession) -> SparkSession:
     """All window maths is on UTC epoch milliseconds."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
