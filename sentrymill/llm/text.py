@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import shared_folder
+from ..session import table_folder
 
 # Text bytes that one numpy step works on at most (one longer text is a step of its own).
 STEP_BYTES = 2 << 20
@@ -189,9 +189,10 @@ def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder; later reads don't compute it again."""
+    """``df`` as a Parquet table in the shared folder (inside ``scratch``, in one that is deleted at
+    its end); later reads don't compute it again."""
     spark = df.sparkSession
-    path = shared_folder(spark, name)
+    path = table_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
