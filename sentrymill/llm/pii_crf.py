@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -302,8 +303,9 @@ class SkipChainField:
         model = cls()
         if not len(texts):
             return model
+        texts = _with_repeats(texts)
         g = Graph(texts)
-        y = _weak_labels(texts, g.words)
+        y = _weak_labels(texts, g)
         if not y.any():
             return model
         inner = np.flatnonzero(~g.head)
@@ -334,14 +336,42 @@ def _both(c: np.ndarray, d: np.ndarray, potential: float) -> float:
     return float((joint / (1 + np.exp(c) + np.exp(d) + joint)).sum())
 
 
-def _weak_labels(texts: pa.Array, words: Words) -> np.ndarray:
-    y = np.zeros(len(words), np.float32)
+def _with_repeats(texts: pa.Array) -> pa.Array:
+    """The texts, half of them with one of their private values up to three times more, bare, after words picked by
+    hash: texts seldom repeat them, and the tie between like words is to be learned too."""
+    out = []
+    for text in filled(texts).to_pylist():
+        values = [m.group(1) for m in _SECRET.finditer(text)] + [v for a, _, b in base_spans(text) if " " not in (v := text[a:b])]
+        gaps = [m.start() for m in re.finditer(" ", text)]
+        pick = zlib.crc32(text.encode())
+        if values and gaps and pick % 2:
+            value = values[pick // 2 % len(values)]
+            for k in range(1 + pick // 4 % 3):
+                at = gaps[(pick // 2 + k * 7919) % len(gaps)]
+                text = f"{text[:at]} {value}{text[at:]}"
+        out.append(text)
+    return pa.array(out, pa.large_string())
+
+
+def _weak_labels(texts: pa.Array, graph: Graph) -> np.ndarray:
+    """1 for the words of pattern spans and assigned values, and for like words of a text that one of
+    these makes up alone: what is private once is private wherever the text repeats it."""
+    words = graph.words
+    y, alone = np.zeros((2, len(words)), np.float32)
     for d, text in enumerate(filled(texts).to_pylist()):
         spans = [(a, b) for a, _, b in base_spans(text)] + [m.span(1) for m in _SECRET.finditer(text)]
         for a, b in spans:
             a, b = (len(text[:x].encode()) + int(words.ends[d]) for x in (a, b))
-            y[np.searchsorted(words.end, a, side="right"):np.searchsorted(words.start, b)] = 1
-    return y
+            at = slice(int(np.searchsorted(words.end, a, side="right")), int(np.searchsorted(words.start, b)))
+            y[at] = 1
+            alone[at] = at.stop - at.start == 1
+    first, second = graph.edges.T
+    while True:
+        ends = np.maximum(alone[first], alone[second])
+        if (ends == alone[first]).all() and (ends == alone[second]).all():
+            return np.maximum(y, alone)
+        alone[first] = ends
+        alone[second] = np.maximum(alone[second], ends)
 
 
 # ---- spans -------------------------------------------------------------------------------

@@ -203,3 +203,26 @@ def test_very_long_runs_take_linear_time():
         found = pc.base_spans(text)
         assert len(found) == (1 if "b@" in text else 0)
     assert time.perf_counter() - start < 5
+
+
+def test_learned_tie_pulls_and_finds_repeats(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = pc.fit(docs)
+    assert model.skip > 0
+    rng = random.Random(9)
+    found = planted = other = 0
+    for r in docs.where("text NOT RLIKE '(?i)token|secret|passw|pwd|key|auth'").orderBy("doc_id").limit(120).collect():
+        words = (r.text or "").split(" ")[:400]
+        value = "".join(rng.choices("abcdef0123456789", k=24))
+        for k in sorted(rng.sample(range(len(words) + 1), min(3, len(words) + 1)), reverse=True):
+            words.insert(k, value)
+        words.insert(rng.randrange(len(words) + 1), f'token = "{value}"')
+        text = " ".join(words)
+        [(base, spans)] = pc.all_spans(pa.array([text], pa.large_string()), model)
+        added = {text[a:b] for a, k, b in spans if k >= len(pc.KINDS)}
+        at = {(a, b) for a, k, b in spans if k >= len(pc.KINDS)}
+        mentions = [m.span() for m in re.finditer(value, text)]
+        planted += len(mentions)
+        found += len(at & set(mentions))
+        other += len(added - {value})
+    assert found >= 0.9 * planted and other <= 0.05 * planted
