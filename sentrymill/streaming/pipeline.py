@@ -190,15 +190,15 @@ class Pipeline:
     def _forget(self) -> None:
         """What was handled is in the tables; it is read once, when the next batch comes."""
         self._due: dict[str, list[Batch]] | None = None
-        self._last, self._newest, self._upto = -1, None, None
+        self._last, self._oldest, self._newest, self._upto = -1, None, None, None
 
     def _resume(self, number: int | None) -> None:
         stored = self.layout.batches.read(self.spark)
         self._again = not stored.isEmpty() or not self.layout.events.read(self.spark).isEmpty()
         earlier = stored if number is None else stored.filter(F.col("batch") < number)
-        seen = earlier.agg(*[F.max(c).alias(c) for c in ("batch", "hi", "upto")]).first()
+        seen = earlier.agg(F.min("lo").alias("lo"), *[F.max(c).alias(c) for c in ("batch", "hi", "upto")]).first()
         self._last = -1 if seen.batch is None else seen.batch
-        self._newest, self._upto = (None if x is None else utc(x) for x in (seen.hi, seen.upto))
+        self._oldest, self._newest, self._upto = (None if x is None else utc(x) for x in (seen.lo, seen.hi, seen.upto))
         names = [detect.__name__ for detect in self.detectors]
         done = F.array_distinct(F.flatten(F.collect_list("done")))
         left = earlier.groupBy("batch").agg(*[F.max(c).alias(c) for c in ("lo", "hi", "since", "upto")], done.alias("done")).filter(
@@ -213,6 +213,7 @@ class Pipeline:
             for due in self._due.values():
                 due.append(batch)
             self._last, self._newest, self._upto = batch.number, max(batch.hi, self._newest or batch.hi), batch.upto
+            self._oldest = min(batch.lo, self._oldest or batch.lo)
         through: dict[Batch, list[str]] = {} if batch is None else {batch: []}
         for detect in self.detectors:
             due = self._due[detect.__name__]
@@ -229,7 +230,8 @@ class Pipeline:
 
     def _run(self, detect: Callable, batch: Batch, again: bool) -> None:
         lo = min(batch.lo, batch.since or batch.lo)
-        if batch.upto < lo:
+        settled = batch.since is None or batch.upto > batch.since or batch.lo <= batch.upto
+        if not settled or batch.upto < max(lo, self._oldest):
             return
         rest = F.lit(False) if batch.since is None else F.col("timestamp") > F.lit(batch.since)
         fresh = self.seen(lo, batch.upto, batch.number).filter((F.col("batch_id") == batch.number) | rest)
