@@ -18,6 +18,7 @@ are cut into up to ``TRAIN_LANES`` even lanes wherever an edge falls.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -38,9 +39,9 @@ TRAIN_ROUNDS = 3
 # Training tokens aimed at per shard and round.
 SHARD_TOKENS = 1 << 20
 RATE = 0.01
-WINDOW, TRAIN_LANES, SCORE_WINDOW, SCORE_LANES = 16, 256, 32, 512
+WINDOW, TRAIN_LANES, SCORE_WINDOW, SCORE_LANES = 16, 512, 32, 512
 # Words that a task counts, trains on or scores at a time (one longer document is alone).
-CHUNK_WORDS = 4 << 20
+CHUNK_WORDS = 2 << 20
 END = np.uint64(0x656E64206F662074)  # stands for the end of a document
 
 
@@ -403,7 +404,7 @@ def train(rows: DataFrame, vocabulary: Vocabulary) -> Gru:
     memory = {"m": [np.zeros_like(w) for w in model.weights], "v": [np.zeros_like(w) for w in model.weights], "k": 0}
     shapes = [w.shape for w in model.weights]
     ends = np.cumsum([int(np.prod(s)) for s in shapes * 3])
-    n_shards, n_parts = max(1, vocabulary.n // (TRAIN_ROUNDS * SHARD_TOKENS)), 32
+    n_shards = max(1, vocabulary.n // (TRAIN_ROUNDS * SHARD_TOKENS))
     part = F.pmod("h", F.lit(TRAIN_ROUNDS * n_shards))
     dealt = rows.select(
         F.pmod(part, F.lit(TRAIN_ROUNDS)).alias("round"), F.floor(part / TRAIN_ROUNDS).cast("int").alias("shard"), "h", "text")
@@ -431,25 +432,30 @@ def train(rows: DataFrame, vocabulary: Vocabulary) -> Gru:
                 yield pa.RecordBatch.from_pydict({
                     "shard": pa.array([shard], pa.int32()), "n": [n], "k": [n * memory["k"]], "weights": pa.array([pack(own, memory)], pa.binary())})
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, n, k = 0.0, 0, 0
+        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n, k, shard = 0.0, 0, 0, None
             for batch in batches:
-                for m, steps_, w in zip(*(batch.column(c).to_pylist() for c in ("n", "k", "weights"))):
+                for own, m, steps_, w in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "k", "weights"))):
                     total, n, k = total + m * np.frombuffer(w, np.float32).astype(float), n + m, k + steps_
+                    shard = own if shard is None else shard
             if n:
-                yield pa.RecordBatch.from_pydict({"n": [n], "k": [k], "weights": pa.array([total.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({
+                    "shard": pa.array([shard], pa.int32()), "n": [n], "k": [k],
+                    "weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
 
+        model_row = "shard int, n long, k long, weights binary"
         trained = (
             dealt.where(F.col("round") == k).repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "h")
-            .select("shard", "text").mapInArrow(work, "shard int, n long, k long, weights binary")
-        )
-        sums = (
-            trained.repartitionById(n_parts, F.pmod("shard", F.lit(n_parts))).sortWithinPartitions("shard")
-            .select("n", "k", "weights").mapInArrow(add, "n long, k long, weights binary").collect()  # n_parts rows at most
+            .select("shard", "text").mapInArrow(work, model_row)
         )
+        # averaged in two steps, so that neither a task nor the driver takes in the models of all shards
+        for parts in (math.isqrt(n_shards), 8):
+            trained = trained.repartitionById(parts, F.pmod("shard", F.lit(parts))).sortWithinPartitions("shard").mapInArrow(average, model_row)
+        sums = sorted(trained.collect(), key=lambda x: x.shard)  # 8 rows at most
         if sums:
             n = sum(x.n for x in sums)
-            model, memory = unpack(sum(np.frombuffer(x.weights, float) for x in sums) / n, round(sum(x.k for x in sums) / n))
+            vector = sum(x.n * np.frombuffer(x.weights, np.float32).astype(float) for x in sums) / n
+            model, memory = unpack(vector, round(sum(x.k for x in sums) / n))
     return model
 
 
