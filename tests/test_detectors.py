@@ -231,3 +231,18 @@ def test_timestamp_drift_golden(spark):
         "e2": "Timestamp drift: 600s in the future (threshold: 300s)",
         "e3": 'Unparseable timestamp: "not-a-date"',
     }
+
+
+def test_only_fresh_events_become_candidates_and_the_others_count(spark):
+    ev = event_frame(spark, make_events(n=300, grain_ms=1000))
+    rules = rule_frame(spark, [
+        ("any", "any", True, "info", 300, 0, None, None, ">=", 5), ("odd", "odd", True, "info", 300, 0, None, None, "~", 1)])
+    profiles = profile_frame(spark, [("a", 60, 5, 0.5, 0, None, None)])
+    fresh = F.col("seq") % 2 == 0
+    for run, control, columns in (
+        (threshold.threshold_candidates, rules, ["rule_id", "event_id", "seq", "count"]),
+        (zscore.zscore_candidates, profiles, ["profile_id", "event_id", "seq", "current", "z"]),
+    ):
+        whole = {tuple(r) for r in run(ev, control).select(columns).collect()}
+        assert {tuple(r) for r in run(ev, control, fresh=fresh).select(columns).collect()} == {r for r in whole if r[2] % 2 == 0}
+        assert any(r[2] % 2 for r in whole)

@@ -263,3 +263,14 @@ def test_default_profile_and_entries_without_number(spark, tmp_path):
     pipe.handle(spark.read.schema(read_log(spark, str(tmp_path / "log")).schema).json(str(tmp_path / "log")), 0)
     assert {r.rule_id for r in layout.anomalies.read(spark).collect()} == {"zscore-count-spike"}
     assert [r.event_id for r in layout.parked.read(spark).collect()] == ["x"]
+
+
+def test_a_micro_batch_writes_one_file_per_day(spark, tmp_path, events):
+    spread = [e | {"ts_ms": e["ts_ms"] + i % 6 * 86_400_000} for i, e in enumerate(events)]
+    log, layout = str(tmp_path / "log"), Layout(str(tmp_path / "out"))
+    write_log(log, spread, "a")
+    pipe = Pipeline(spark, layout, load_rules=lambda: rule_frame(spark, RULES[:1]).limit(0), profiles=profile_frame(spark, PROFILES).limit(0))
+    run(pipe.start(log, str(tmp_path / "check")))
+    assert layout.events.read(spark).count() == len(spread)
+    days = [d for d in (tmp_path / "out" / "events").iterdir() if d.is_dir()]
+    assert sorted(len(list(d.glob("*.parquet"))) for d in days) == [1] * 6
