@@ -246,3 +246,20 @@ def test_only_fresh_events_become_candidates_and_the_others_count(spark):
         whole = {tuple(r) for r in run(ev, control).select(columns).collect()}
         assert {tuple(r) for r in run(ev, control, fresh=fresh).select(columns).collect()} == {r for r in whole if r[2] % 2 == 0}
         assert any(r[2] % 2 for r in whole)
+
+
+def test_wide_baselines_are_walked_for_buckets_that_may_reach_the_threshold():
+    rng = np.random.default_rng(5)
+    for n, scale in ((70, 4), (200, 3), (300, 100_000)):
+        values = rng.poisson(scale, 3000).astype("float64")
+        at = np.arange(n, len(values))
+        for z in (0.5, 1.0, 2.5):
+            mean, stddev = np.array([np.cumsum(values[k - n:k])[-1] / n for k in at]), np.zeros(len(at))
+            for i, k in enumerate(at):
+                gap = values[k - n:k] - mean[i]
+                stddev[i] = np.sqrt(np.cumsum(gap * gap)[-1] / n)
+            reaches, kept = (values[at] - mean) / stddev >= z, zscore.may_reach(values, at, n, mean, z)
+            assert not (reaches & ~kept).any()
+            assert kept.sum() <= reaches.sum() + 2
+    flat = np.full(500, 7.0)
+    assert zscore.may_reach(flat, np.arange(100, 500), 100, np.full(400, 7.0), 1.0).all()
