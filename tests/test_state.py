@@ -5,6 +5,7 @@ from datetime import timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import functions as F
 
@@ -225,3 +226,15 @@ def test_one_wide_profile_leaves_the_others_as_they_are(spark):
     assert sorted(map(tuple, both.collect())) == sorted(map(tuple, alone.collect()))
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert "50000" not in plan.split("FlatMapGroupsInArrow")[0]
+
+
+def test_changes_come_to_the_state_in_packs_without_what_a_delete_ends():
+    rows = [("a", 1, "create"), (None, 2, "create"), ("a", 5, "delete"), ("b", 3, "create"), ("a", 4, "patch"), ("a", 6, "create"), ("b", 7, "patch")]
+    batch = pa.RecordBatch.from_pydict({
+        "rule_id": pa.array([r[0] for r in rows], pa.string()), "seq": [r[1] for r in rows], "at_us": [10 * r[1] for r in rows],
+        "reason": [r[2] for r in rows], "fields": [f'{{"name":"{r[1]}"}}' for r in rows]})
+    got = [r for b in rule_changes.pack_changes(iter([batch])) for r in b.to_pylist()]
+    by_rule = {r["rule_id"]: r for r in got}
+    assert len(got) == 3 and {k: (r["seq"], r["reason"]) for k, r in by_rule.items()} == {
+        "a": ([5, 6], ["delete", "create"]), None: ([2], ["create"]), "b": ([3, 7], ["create", "patch"])}
+    assert by_rule["a"]["at_us"] == [50, 60] and by_rule["b"]["fields"] == ['{"name":"3"}', '{"name":"7"}']
