@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sentrymill.operators import metrics, rules, threshold, zscore
+from sentrymill.plans import catalog
 from sentrymill.sources import codec
 from sentrymill.streaming import rollups, rule_changes, state
 from sentrymill.streaming.pipeline import read_log
@@ -159,6 +160,92 @@ def test_bucket_counts_forget_what_no_baseline_reaches():
     assert {k[0] for k in handle.cell.map} == {1, 2} and handle.timers[0] == 120
 
 
+class SlotHandle:
+    """A state variable per name; those without a value give None, as Spark's do."""
+
+    def __init__(self):
+        self.timers, self.cells = [], {}
+
+    def getValueState(self, name, _):
+        cell = self.cells.setdefault(name, Cell())
+        cell.get = lambda: cell.value
+        return cell
+
+    def getMapState(self, name, *_):
+        cell = self.cells.setdefault(name, Cell())
+        cell.getValue = cell.map.get
+        return cell
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def packed(rows):
+    table = pa.Table.from_pandas(rows.assign(slot=3), preserve_index=False).set_column(
+        rows.columns.get_loc("timestamp"), "timestamp", pa.array(rows.timestamp, pa.timestamp("us")))
+    batch = state._packed(table.to_batches())
+    assert batch.column("slot").to_pylist() == [3]
+    return batch.to_pandas()
+
+
+def test_slots_take_packs_and_drop_what_is_behind_the_last_watermark():
+    slot, handle = state.Slot(state.WindowCounts, "rule_id", list), SlotHandle()
+    slot.init(handle)
+    run = lambda times, first, at: [x for df in slot.handleInputRows((3,), iter([packed(window_rows(times, first))]), Watermark(at)) for x in zip(df.seq, df["count"])]
+    assert run([100, 200, 200], 0, 0) == [(0, 1), (1, 2), (2, 3)]
+    assert run([300], 3, 250) == [(3, 4)]
+    # 250 is the watermark of the micro-batch before: what isn't after it is dropped, what is behind the newest one isn't
+    assert run([260, 240, 250, 700], 4, 600) == [(4, 4), (7, 6)]
+    assert not list(slot.handleInputRows((3,), iter([pd.DataFrame({"slot": [3], "body": [None]})]), Watermark(650)))
+    assert run([650, 651], 8, 800) == [(9, 6)]
+    assert handle.timers == [1, 251, 601, 651, 801]
+
+
+def test_slots_know_the_watermark_from_timers_and_clear_blocks():
+    slot, handle = state.Slot(state.BucketCounts, "profile_id", dict), SlotHandle()
+    slot.init(handle)
+    rows = pd.DataFrame({
+        "profile_id": ["p", "p", "q"], "block": 0, "own": True, "bucket": [0, 1, 1], "bucket_ms": 10, "n_buckets": [2, 2, 9], "z_threshold": 1.0,
+        "cooldown_ms": 0, "event_id": "e", "ts_ms": [1, 10, 10], "seq": range(3), "timestamp": pd.to_datetime([1, 10, 10], unit="ms")})
+    assert not list(slot.handleInputRows((3,), iter([packed(rows)]), Watermark()))
+    assert len(handle.cells["blocks"].map) == 2
+    assert not list(slot.handleExpiredTimer((3,), Watermark(120), None))
+    assert list(handle.cells["blocks"].map) == list(handle.cells["ends"].map) == [('["q", 0]',)]
+    assert handle.cells["clock"].value == (120,) and handle.timers == [1, 121]
+
+
+def test_late_events_over_a_stream(spark, tmp_path):
+    """Parts that each span all times: what is behind the watermark of the micro-batch before is left out."""
+    events = make_events(n=240, grain_ms=1000)
+    parts = [events[k::4] for k in range(4)]
+    made = rule_frame(spark, [("r", "any", True, "info", 60, 0, None, None, ">=", 1)])
+    log, root = str(tmp_path / "log"), str(tmp_path / "out")
+    for k, part in enumerate(parts):
+        write_log(log, part, f"{k:06d}")
+    follow(state.threshold_stream(events_of(spark, log), made, "10 minutes"), root)
+    newest, kept = [max(e["ts_ms"] for e in part) for part in parts], set()
+    for k, part in enumerate(parts):
+        late = max(newest[:k - 1]) - 600_000 if k > 1 else 0
+        kept |= {e["event_id"] for e in part if e["ts_ms"] > late}
+    assert 120 < len(kept) < 240
+    assert {r.event_id for r in spark.read.parquet(f"{root}/found").collect()} == kept
+
+
+def test_parts_have_more_files_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "FILE_ROWS", 7)
+    events = event_frame(spark, make_events(n=240))
+    sizes, follow_on = [], catalog._follow
+
+    def counted(stream, root):
+        sizes.append(len(spark.read.text(f"{root}/log").inputFiles()))
+        follow_on(stream, root)
+
+    monkeypatch.setattr(catalog, "_follow", counted)
+    seen = catalog._run_stream(spark, catalog._parts(events), lambda ev: ev.select("event_id", "seq"))
+    assert sizes == [4 * 5, 8 * 5]
+    assert seen.distinct().count() == seen.count() == 240
+
+
 def test_rule_stream_equals_fold_of_the_log(spark, tmp_path):
     rng = random.Random(11)
     rows = []
