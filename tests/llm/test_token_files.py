@@ -91,3 +91,31 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = queries()["op1_token_files"](spark, sf).collect()
     assert sorted(map(tuple, got)) == brute(rows)
+
+
+def test_accented_words_go_to_the_merges_directly():
+    encoder = tf.WordEncoder(PATH, 1)
+    words = ["".join(chr(c) for c in range(0xC0 + k, 0x100, 5)) + "ab" for k in range(5)] + ["ÉCOLE", "straße", "çà", "ÿ", "Ñandú,", "a×b", "÷", "ÅÅ", "µé", "é", "Å"]
+    texts = [" ".join(words), *words]
+    fallen_back = []
+    full = encoder.tokenizer
+
+    class Watched:
+        def encode_batch_fast(self, parts, **options):
+            fallen_back.extend(parts)
+            return full.encode_batch_fast(parts, **options)
+
+    encoder.tokenizer = Watched()
+    ids, lengths = encoder([t.encode() for t in texts])
+    assert [p.tolist() for p in np.split(ids, np.cumsum(lengths)[:-1])] == whole(texts)
+    assert not set(fallen_back) & {"École", "straße", "çà", "ÿ", "Ñandú"} and {"÷", "µé"} <= set(fallen_back)
+
+
+def test_words_are_forgotten_between_stretches(monkeypatch):
+    monkeypatch.setattr(tf, "REMEMBERED_WORDS", 3)
+    encoder = tf.WordEncoder(PATH, 1)
+    for texts in (["a b c d", "é f"], ["a f"], ["", "x. y a"], [], ["b b"]):
+        ids, lengths = encoder([t.encode() for t in texts])
+        parts = np.split(ids, np.cumsum(lengths)[:-1]) if texts else []
+        assert [p.tolist() for p in parts] == whole(texts)
+        assert len(encoder.known) <= 3 + 6
